@@ -49,14 +49,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def bounded_sample(rows: DataFrame, by: list[str], most: int, key: str, seed: int = 7) -> DataFrame:
-    """Rows of about ``most`` ids per value of ``by`` (all ids where there are fewer), chosen by a hash of ``key``.
+def bounded_sample(rows: DataFrame, by: str, most: int, key: str, seed: int = 7, groups: int = 1000) -> DataFrame:
+    """Rows of about ``most`` ids per value of ``by`` (all where there are fewer), chosen by a hash of ``key``.
 
     The choice depends on the ids alone, so that a repeated task picks the
-    same rows. Only ids and ``by`` are read to count; the expected sample is
-    ``most`` rows a value however large the table is.
+    same rows, and the expected sample is ``most`` rows a value however large
+    the table is. ``by`` has ``groups`` values at most; one count for each
+    reaches the driver.
     """
-    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(by).count().limit(groups + 1).collect()
+    if len(counts) > groups:
+        raise ValueError(f"{by} has more than {groups} values")
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(n, by) if by else rows.crossJoin(F.broadcast(n))
-    return picked.where(unit * F.col("_n") < most).drop("_n")
+    some = {r[by]: most / r["count"] for r in counts if r["count"] > most}
+    if not some:
+        return rows
+    share = F.coalesce(F.create_map(*[F.lit(x) for kv in some.items() for x in kv])[F.col(by)], F.lit(1.0))
+    return rows.where(unit < share)

@@ -21,5 +21,23 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, shards)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_stream": op1_token_stream}
+def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.simhash import hex16, near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
+
+
+def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.language import learn, predicted
+
+    docs = _table(spark, sf_dir, "documents")
+    return predicted(docs, learn(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_stream": op1_token_stream,
+    "op5_simhash_mih": op5_simhash_mih,
+    "op8_rank_order_language": op8_rank_order_language,
+}
 ORACLES: dict[str, str] = {}
