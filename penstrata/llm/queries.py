@@ -21,6 +21,19 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, shards)
 
 
+def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.toxicity import learn, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penstrata.llm.simhash import hex16, near_duplicates
 
@@ -37,6 +50,8 @@ def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
+    "op3_mcd_quality": op3_mcd_quality,
+    "op4_factorization_toxicity": op4_factorization_toxicity,
     "op5_simhash_mih": op5_simhash_mih,
     "op8_rank_order_language": op8_rank_order_language,
 }
