@@ -1,16 +1,53 @@
-"""A corpus pipeline: stages that filter documents, then packing."""
+"""A corpus pipeline: language identification, quality rules, near-duplicates, packing.
+
+Every stage reads what its predecessor kept. The filtering stages return
+their documents with all columns as they were; packing returns the places of
+the documents that are left.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from penstrata.llm import language, packing, quality, simhash
+from penstrata.llm.common import new_folder
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents without a language go (null texts, texts without a letter)."""
+    return language.identified(docs, language.learn(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents that the base rules or the robust outlier test reject go."""
+    return quality.passed(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one document of each group of linked fingerprints stays."""
+    return simhash.one_of_each(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: bucket, batch and slot of every document."""
+    return packing.packed(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", pack)]
+#: A model is learned in two of the stages, which SQL cannot express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written as Parquet and reread by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = new_folder(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            schema = docs.schema
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return docs

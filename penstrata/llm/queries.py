@@ -41,6 +41,12 @@ def op5_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.packing import packed
+
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penstrata.llm.language import learn, predicted
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mcd_quality": op3_mcd_quality,
     "op4_factorization_toxicity": op4_factorization_toxicity,
     "op5_simhash_mih": op5_simhash_mih,
+    "op7_length_buckets": op7_length_buckets,
     "op8_rank_order_language": op8_rank_order_language,
 }
 ORACLES: dict[str, str] = {}
