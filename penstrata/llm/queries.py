@@ -21,6 +21,12 @@ def op1_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, shards)
 
 
+def op2_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from penstrata.llm.covertree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from penstrata.llm.quality import quality
 
@@ -56,10 +62,27 @@ def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_stream": op1_token_stream,
+    "op2_cover_tree_topk": op2_cover_tree_topk,
     "op3_mcd_quality": op3_mcd_quality,
     "op4_factorization_toxicity": op4_factorization_toxicity,
     "op5_simhash_mih": op5_simhash_mih,
     "op7_length_buckets": op7_length_buckets,
     "op8_rank_order_language": op8_rank_order_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_cover_tree_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id
+), r AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
