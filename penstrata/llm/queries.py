@@ -66,6 +66,14 @@ def op6_patience_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(_table(spark, sf_dir, "documents"))
 
 
+def op9_maxplus_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from penstrata.llm.sentencepieces import encoded
+
+    return encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Pages carry no time of their own: the query takes page_id for the day of the fetch, 977 days apart over four years.
 FETCHED = "timestamp_seconds(1577836800 + (page_id * 977 % 1461) * 86400)"
 #: Every fifth host by hash is listed, for 400 days from a day that the hash gives; the hosts of four advertisers for good.
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_patience_license": op6_patience_license,
     "op7_length_buckets": op7_length_buckets,
     "op8_rank_order_language": op8_rank_order_language,
+    "op9_maxplus_sentencepiece": op9_maxplus_sentencepiece,
     "op10_temporal_url_list": op10_temporal_url_list,
 }
 ORACLES: dict[str, str] = {
