@@ -1,16 +1,476 @@
-"""Every query of the library by name, with its SQL for DuckDB."""
+"""Every query of the library by name, with its SQL for DuckDB where SQL can express it.
+
+``general`` judges the synthetic documents unless a query says otherwise. All
+queries read whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from penstrata.functions.text import mask_pii, page_text, scaled, sha_prefix
+from penstrata.operators import collect, compare, domain, evaluate, mining, perplexity, rewrite, rules, score, segment, stats
+from penstrata.packs import load
+from penstrata.plans import oracles as o
+from penstrata.plans import report
 from penstrata.session import table
+from penstrata.sources.synthetic import md_docs, zh_docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ROUNDED = ("sentence_cv", "para_len_cv", "ttr", "conn_density", "ngram_repeat", "dash_density")
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return keep
+
+
+def _rounded(df: DataFrame, columns=ROUNDED) -> DataFrame:
+    return df.withColumns({c: scaled(F.col(c)) for c in columns})
+
+
+def _sql_rounded(columns=ROUNDED) -> str:
+    return ", ".join(f"{o.scaled(c)} AS {c}" for c in columns)
+
+
+# -- documents: plain text in any language --------------------------------
+
+_HIDDEN = "".join(chr(segment.HIDDEN + i) for i in range(len(segment.LATIN.ends)))
+
+
+def _latin_sql() -> str:
+    """Sentences of ``documents``: lines are paragraphs, terminators inside straight quotes are hidden."""
+    e, a, ws = segment.LATIN.ends, segment.ABSORBED + segment.LATIN.ends, o.WS
+    return f"""
+line AS (
+    SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS para, regexp_replace(unnest(x), {o.lit(f'^{ws}+|{ws}+$')}, '', 'g') AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), quoted AS (
+    SELECT doc_id, para, array_to_string(list_transform(string_split(p, '"'), lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, {o.lit(e)}, '{_HIDDEN}') ELSE x END), '"') AS p FROM line WHERE p <> ''
+), cut AS (
+    SELECT doc_id, para, CAST(unnest(range(len(ss))) AS INTEGER) AS pos, translate(unnest(ss), '{_HIDDEN}', {o.lit(e)}) AS text FROM (
+        SELECT doc_id, para, list_filter(list_transform(regexp_extract_all(p, {o.lit(f'[^{e}]*[{e}][{a}]*|[^{e}]+')}), lambda x: regexp_replace(x, {o.lit(f'^{ws}+|{ws}+$')}, '', 'g')), lambda x: x <> '') AS ss FROM quoted)
+), sent AS (
+    SELECT *, regexp_replace(text, {o.lit(o.BARE)}, '', 'g') AS clean FROM cut
+), basic AS (
+    SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(clean)) AS BIGINT) AS n_chars, sum(length(clean) * length(clean)) AS sum_sq, string_agg(clean, '' ORDER BY para, pos) AS clean FROM sent GROUP BY doc_id
+), basic_stats AS (
+    SELECT doc_id, n_sentences, n_chars, {o.cv("n_sentences", "n_chars", "sum_sq")} AS sentence_cv,
+        CASE WHEN n_chars < 8 THEN 0.0 ELSE 1 - CAST(len(list_distinct(g)) AS DOUBLE) / len(g) END AS ngram_repeat
+    FROM (SELECT *, list_transform(range(1, length(clean) - 2), lambda i: substr(clean, i, 4)) AS g FROM basic)
+)"""
+
+
+def basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.doc_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), config=segment.LATIN).where("n_sentences > 0").select("doc_id", "n_sentences", "n_chars", "sentence_cv", "ngram_repeat")
+
+
+@query(o.with_(_latin_sql(), select=f"SELECT doc_id, n_sentences, n_chars, {_sql_rounded(('sentence_cv', 'ngram_repeat'))} FROM basic_stats"))
+def doc_stats_basic(spark, sf_dir):
+    return _rounded(basic_stats(spark, sf_dir), ("sentence_cv", "ngram_repeat"))
+
+
+@query(o.with_(_latin_sql(), select="SELECT doc_id, para, pos, text FROM sent"))
+def document_sentences(spark, sf_dir):
+    return segment.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), segment.LATIN).select("doc_id", "para", "pos", "text")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id")
+    """Statistics of every document."""
+    return doc_stats_basic(spark, sf_dir)
+
+
+# -- synthetic documents: rules, statistics, index -------------------------
+
+GENERAL, ACADEMIC, OFFICIAL, PERSONAL = (load(p) for p in ("general", "academic", "official", "personal"))
+
+
+@query(o.with_(o.zh(), select="SELECT doc_id, para, pos, text, clean FROM zh_sent"))
+def zh_sentences(spark, sf_dir):
+    return segment.sentences(zh_docs(spark, sf_dir)).select("doc_id", "para", "pos", "text", "clean")
+
+
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), select=f"SELECT doc_id, n_paragraphs, n_sentences, n_chars, {_sql_rounded()} FROM stats"))
+def doc_stats_full(spark, sf_dir):
+    return _rounded(stats.doc_stats(zh_docs(spark, sf_dir), ACADEMIC.lexicon)).drop("avg_sentence_len")
+
+
+def _hits(spark, sf_dir, pack=GENERAL, step=7):
+    return rules.gated(rules.rule_hits(segment.sentences(zh_docs(spark, sf_dir, step)), pack))
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select="SELECT doc_id, para, pos, rule_id, array_to_string(matches, '|') AS matches FROM hit"))
+def rule_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).select("doc_id", "para", "pos", "rule_id", F.array_join("matches", "|").alias("matches"))
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select="SELECT doc_id, rule_id, severity, count(*) AS n FROM hit WHERE NOT is_hint GROUP BY ALL"))
+def findings_gated(spark, sf_dir):
+    return _hits(spark, sf_dir).where("not is_hint").groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select="SELECT doc_id, rule_id, para, pos FROM hit WHERE is_hint"))
+def hints(spark, sf_dir):
+    return _hits(spark, sf_dir).where("is_hint").select("doc_id", "rule_id", "para", "pos")
+
+
+@query(o.with_(o.zh(), o.hits(ACADEMIC), select="SELECT doc_id, para, sentence, is_hint FROM hit WHERE rule_id = 'S-CLOS-01'"))
+def shape_hits(spark, sf_dir):
+    return _hits(spark, sf_dir, ACADEMIC).where("rule_id = 'S-CLOS-01'").select("doc_id", "para", "sentence", "is_hint")
+
+
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.doc_rules(ACADEMIC), select=f"SELECT doc_id, rule_id, metric, {o.scaled('value')} AS value FROM whole"))
+def doc_rules(spark, sf_dir):
+    found = rules.doc_findings(stats.doc_stats(zh_docs(spark, sf_dir), ACADEMIC.lexicon), ACADEMIC)
+    return found.select("doc_id", "rule_id", "metric", scaled(F.col("value")).alias("value"))
+
+
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.hits(ACADEMIC), o.doc_rules(ACADEMIC), select="""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, para, pos, rule_ord) AS INTEGER) AS ord, rule_id, para, is_hint FROM (
+    SELECT doc_id, rule_id, para, pos, rule_ord, is_hint, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS rank FROM hit
+    UNION ALL SELECT doc_id, rule_id, -1, -1, rule_ord, false, CASE rule_id WHEN 'D-UNIF-01' THEN 1 ELSE 0 END FROM whole)"""))
+def findings_ordered(spark, sf_dir):
+    return rules.findings(zh_docs(spark, sf_dir), ACADEMIC).select("doc_id", "ord", "rule_id", "para", "is_hint")
+
+
+@query(o.with_(o.zh(), o.flags(), select="SELECT doc_id, array_to_string(kinds, ',') AS kinds FROM flag"))
+def domain_flags(spark, sf_dir):
+    found = domain.domain_flags(segment.sentences(zh_docs(spark, sf_dir)))
+    return found.select("doc_id", F.array_join(F.array_sort("kinds"), ",").alias("kinds"))
+
+
+def _index(spark, sf_dir, pack=GENERAL, step=7):
+    return score.analyzed(zh_docs(spark, sf_dir, step), pack)
+
+
+_SCORED = (o.zh(), o.stats([]), o.hits(GENERAL), o.score(GENERAL))
+
+
+@query(o.with_(*_SCORED, select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score"))
+def style_index(spark, sf_dir):
+    return _index(spark, sf_dir).select("doc_id", scaled(F.col("index")).alias("index"))
+
+
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.hits(ACADEMIC), o.score(ACADEMIC), select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score"))
+def style_index_tiered(spark, sf_dir):
+    return _index(spark, sf_dir, ACADEMIC).select("doc_id", scaled(F.col("index")).alias("index"))
+
+
+@query(o.with_(*_SCORED, select=f"SELECT doc_id, feature, {o.scaled('c')} AS contribution FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, c_{f} AS c FROM score" for f in score.FEATURES) + ") WHERE c IS NOT NULL"))
+def components(spark, sf_dir):
+    return score.components(_index(spark, sf_dir)).select("doc_id", "feature", scaled(F.col("contribution")).alias("contribution"))
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select=f"""
+SELECT doc_id, para, n_sents, {o.scaled('w / n_sents')} AS density, CASE WHEN w / n_sents >= 1 THEN 'high' WHEN w / n_sents >= 0.5 THEN 'medium' ELSE 'low' END AS level, excerpt FROM (
+    SELECT doc_id, para, count(*) AS n_sents, substr(arg_min(text, pos), 1, 16) AS excerpt FROM zh_sent GROUP BY doc_id, para)
+JOIN (SELECT doc_id, para, sum(weight) AS w FROM hit GROUP BY doc_id, para) USING (doc_id, para)"""))
+def para_heat(spark, sf_dir):
+    sents = segment.sentences(zh_docs(spark, sf_dir))
+    return rules.para_heat(sents, rules.rule_hits(sents, GENERAL)).withColumn("density", scaled(F.col("density")))
+
+
+_COUNTS = "sev AS (SELECT doc_id, count(*) FILTER (severity = 'high' AND NOT is_hint) AS high, count(*) FILTER (severity = 'medium' AND NOT is_hint) AS medium, count(*) FILTER (severity = 'low' AND NOT is_hint) AS low FROM hit GROUP BY doc_id)"
+
+
+@query(o.with_(*_SCORED, _COUNTS, select="""
+SELECT doc_id, CAST(round_even(index, 0) AS INTEGER) AS index, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(high + medium + low, 0) AS findings, n_sentences, n_chars FROM score LEFT JOIN sev USING (doc_id)"""))
+def batch_summary(spark, sf_dir):
+    return score.batch_summary(_index(spark, sf_dir))
+
+
+@query(o.with_(*_SCORED, select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score WHERE index > 60"))
+def fail_above(spark, sf_dir):
+    return score.above(_index(spark, sf_dir), 60).select("doc_id", scaled(F.col("index")).alias("index"))
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select="SELECT doc_id, para, pos, rule_id FROM hit WHERE NOT is_hint AND severity IN ('high', 'medium')"))
+def min_severity(spark, sf_dir):
+    return rules.at_least(_hits(spark, sf_dir).where("not is_hint"), "medium").select("doc_id", "para", "pos", "rule_id")
+
+
+@query(o.with_(o.zh(), o.zh("later", 11), o.hits(GENERAL), o.hits(GENERAL, "later", "next"), select="""
+SELECT doc_id, rule_id, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after,
+    CASE WHEN b.n IS NULL THEN 'new' WHEN a.n IS NULL THEN 'gone' WHEN a.n > b.n THEN 'worse' ELSE 'better' END AS status
+FROM (SELECT doc_id, rule_id, count(*) AS n FROM hit WHERE NOT is_hint GROUP BY ALL) b
+FULL JOIN (SELECT doc_id, rule_id, count(*) AS n FROM next WHERE NOT is_hint GROUP BY ALL) a USING (doc_id, rule_id)
+WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""))
+def rule_diff(spark, sf_dir):
+    found = lambda step: _hits(spark, sf_dir, GENERAL, step).where("not is_hint")
+    return compare.rule_diff(found(7), found(11))
+
+
+@query()
+def component_diff(spark, sf_dir):
+    return compare.component_diff(score.components(_index(spark, sf_dir)), score.components(_index(spark, sf_dir, step=11)))
+
+
+@query()
+def rewrite_advice(spark, sf_dir):
+    return rewrite.advised(rewrite.text_lines(zh_docs(spark, sf_dir)), PERSONAL).drop("raw")
+
+
+@query()
+def cleaned_draft(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir)
+    return rewrite.applied(docs, rewrite.advised(rewrite.text_lines(docs), PERSONAL))
+
+
+# -- Markdown and pages ------------------------------------------------------
+
+
+@query(o.with_(o.md(), select="SELECT doc_id, line, kind, text FROM md_line"))
+def md_lines(spark, sf_dir):
+    return segment.lines(md_docs(spark, sf_dir))
+
+
+@query(o.with_(o.md(), select="""
+SELECT doc_id, para, CASE kind WHEN 'p' THEN 'para' WHEN 'li' THEN 'list' ELSE 'table' END AS kind, string_agg(text, chr(10) ORDER BY line) AS text FROM (
+    SELECT *, CAST(sum(CASE WHEN kind <> 'b' AND kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS para
+    FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM md_line)) WHERE kind <> 'b' GROUP BY doc_id, para, kind"""))
+def md_blocks(spark, sf_dir):
+    return segment.blocks(md_docs(spark, sf_dir))
+
+
+@query()
+def md_stripped(spark, sf_dir):
+    return segment.stripped(md_docs(spark, sf_dir))
+
+
+_PAGE = "html"
+for _p, _to in ((r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->", " "), (r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br\s*/?>", "\n"), ("<[^>]*>", " ")):
+    _PAGE = f"regexp_replace({_PAGE}, {o.lit(_p)}, {o.lit(_to)}, 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, {o.lit(_name)}, {o.lit(_char)})"
+
+
+@query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_PAGE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
+def pages_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+
+
+# -- evaluation -------------------------------------------------------------
+
+_LABELLED = "labelled AS (SELECT b.*, documents.lang, documents.source, labels.quality AS label FROM basic_stats b JOIN documents USING (doc_id) JOIN labels USING (doc_id))"
+
+
+def labelled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return basic_stats(spark, sf_dir).join(docs, "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+def _sql_auroc(source: str, by: str, value: str) -> str:
+    return f"""SELECT {by}, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n - p) AS BIGINT) AS n_neg,
+    {o.scaled("CASE WHEN sum(p) > 0 AND sum(n - p) > 0 THEN CAST(sum(p * (2 * below + n + 1)) - sum(p) * (sum(p) + 1) AS DOUBLE) / CAST(2 * sum(p) * sum(n - p) AS DOUBLE) END")} AS auroc
+FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+    FROM (SELECT {by}, {value} AS v, sum(label) AS p, count(*) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL)) GROUP BY {by}"""
+
+
+@query(o.with_(_latin_sql(), _LABELLED, select=_sql_auroc("labelled", "lang", "ngram_repeat")))
+def auroc(spark, sf_dir):
+    return evaluate.auroc(labelled(spark, sf_dir), ["lang"], "ngram_repeat", "label").withColumn("auroc", scaled(F.col("auroc")))
+
+
+@query(o.with_(_latin_sql(), _LABELLED, select=f"""
+SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (s >= t AND label = 1) AS tp, count(*) FILTER (s >= t AND label = 0) AS fp,
+    {o.scaled("CAST(count(*) FILTER (s >= t AND label = 1) AS DOUBLE) / count(*) FILTER (label = 1)")} AS recall, {o.scaled("CAST(count(*) FILTER (s >= t AND label = 0) AS DOUBLE) / count(*) FILTER (label = 0)")} AS fpr,
+    {o.scaled("CAST(count(*) FILTER ((s >= t) = (label = 1)) AS DOUBLE) / count(*)")} AS accuracy
+FROM (SELECT floor(ngram_repeat * 100) AS s, label FROM labelled), (VALUES (5), (10), (20), (40), (60), (80)) v(t) GROUP BY t"""))
+def threshold_sweep(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("s", F.floor(F.col("ngram_repeat") * 100))
+    return _rounded(evaluate.threshold_sweep(rows, "s", "label", [5, 10, 20, 40, 60, 80]), ("recall", "fpr", "accuracy"))
+
+
+@query(o.with_(_latin_sql(), _LABELLED, select=f"SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, {o.scaled('CAST(sum(n_chars) AS DOUBLE) / CAST(sum(n_sentences) AS DOUBLE)')} AS mean_len, {o.scaled('CAST(sum(label) AS DOUBLE) / count(*)')} AS quality FROM labelled GROUP BY source"))
+def means_by_source(spark, sf_dir):
+    g = labelled(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.sum("n_sentences").alias("s"), F.sum("label").alias("y"))
+    return g.select("source", "n", "n_chars", scaled(F.col("n_chars") / F.col("s")).alias("mean_len"), scaled(F.col("y") / F.col("n")).alias("quality"))
+
+
+@query(o.with_(_latin_sql(), _LABELLED, "banded AS (SELECT *, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 600 THEN 'mid' ELSE 'long' END AS band FROM labelled)", select=f"SELECT * FROM (SELECT band, count(*) AS n FROM banded GROUP BY band) LEFT JOIN ({_sql_auroc('banded', 'band', 'ngram_repeat')}) USING (band)"))
+def length_tiers(spark, sf_dir):
+    return evaluate.length_tiers(labelled(spark, sf_dir), "ngram_repeat", "label").withColumn("auroc", scaled(F.col("auroc")))
+
+
+@query(o.with_("ranked AS (SELECT doc_id, quality, toxic, CAST((row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels)", select="SELECT * FROM ranked"))
+def strat_folds(spark, sf_dir):
+    return evaluate.stratified_folds(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], "doc_id", 5)
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) WHERE r <= 10")
+def sample_per_source(spark, sf_dir):
+    return evaluate.sample_per_source(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select=f"""
+SELECT rule_id, {o.scaled("CAST(k1 AS DOUBLE) / n1")} AS share_1, {o.scaled("CAST(k0 AS DOUBLE) / n0")} AS share_0
+FROM (SELECT rule_id, count(DISTINCT doc_id) FILTER (doc_id % 3 = 0) AS k1, count(DISTINCT doc_id) FILTER (doc_id % 3 <> 0) AS k0 FROM hit GROUP BY rule_id),
+    (SELECT count(*) FILTER (doc_id % 3 = 0) AS n1, count(*) FILTER (doc_id % 3 <> 0) AS n0 FROM zh_doc)"""))
+def rule_discrimination(spark, sf_dir):
+    labels = zh_docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+    return _rounded(evaluate.rule_discrimination(_hits(spark, sf_dir), labels), ("share_1", "share_0")).drop("difference")
+
+
+@query()
+def calibrated(spark, sf_dir):
+    rows = labelled(spark, sf_dir).na.drop()
+    return evaluate.apply_fit(rows, *evaluate.logistic_fit(rows, ["sentence_cv", "ngram_repeat"], "label")).select("doc_id", "label", "fitted")
+
+
+@query()
+def cross_validated(spark, sf_dir):
+    rows = evaluate.stratified_folds(labelled(spark, sf_dir).na.drop(), ["lang", "label"], "doc_id", 3).cache()
+    held = evaluate.out_of_fold(rows, ["sentence_cv", "ngram_repeat"], "label", "fold")
+    return evaluate.auroc(held.withColumn("_", F.lit(0)), ["_"], "fitted", "label").drop("_")
+
+
+# -- collection, drift, mining ------------------------------------------------
+
+_MONTH = "CASE WHEN doc_id % 4 < 2 THEN '2026-08' ELSE '2026-09' END"
+_SAMPLE_SQL = f"""
+sample AS (
+    SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'general' ELSE 'essay' END AS profile, {_MONTH} AS month, CAST(round_even(index, 0) AS INTEGER) AS score, coalesce(f, CAST([] AS VARCHAR[])) AS findings
+    FROM score LEFT JOIN (SELECT doc_id, list_sort(list_distinct(list(rule_id))) AS f FROM hit WHERE NOT is_hint GROUP BY doc_id) USING (doc_id)
+), twice AS (SELECT profile, unnest([month, '*']) AS month, score, findings FROM sample)"""
+
+
+def _samples(spark, sf_dir):
+    """Scored documents with a profile and a month made of their ids."""
+    found = _hits(spark, sf_dir).where("not is_hint").groupBy("doc_id").agg(F.array_sort(F.collect_set("rule_id")).alias("findings"))
+    rows = _index(spark, sf_dir).select("doc_id", F.bround("index", 0).cast("int").alias("score")).join(found, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "general").otherwise("essay").alias("profile"), F.expr(_MONTH).alias("month"), "score", F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
+
+
+@query(o.with_(*_SCORED, _SAMPLE_SQL, select=f"""
+SELECT profile, month, count(*) AS n, {o.scaled('CAST(count(score) AS DOUBLE) / count(*)')} AS score_rate,
+    list_sort(list(score) FILTER (score IS NOT NULL))[CAST(least(floor(count(score) * 0.5), count(score) - 1) AS INTEGER) + 1] AS p50,
+    list_sort(list(score) FILTER (score IS NOT NULL))[CAST(least(floor(count(score) * 0.9), count(score) - 1) AS INTEGER) + 1] AS p90
+FROM twice GROUP BY profile, month"""))
+def drift_groups(spark, sf_dir):
+    return collect.drift_groups(_samples(spark, sf_dir)).withColumn("score_rate", scaled(F.col("score_rate")))
+
+
+@query(o.with_(*_SCORED, _SAMPLE_SQL, select=f"""
+SELECT profile, month, rule_id, {o.scaled('CAST(k AS DOUBLE) / n')} AS rate FROM (SELECT profile, month, rule_id, count(*) AS k FROM (SELECT profile, month, unnest(findings) AS rule_id FROM twice) GROUP BY ALL) JOIN (SELECT profile, month, count(*) AS n FROM twice GROUP BY ALL) USING (profile, month)"""))
+def drift_rules(spark, sf_dir):
+    return collect.drift_rules(_samples(spark, sf_dir)).withColumn("rate", scaled(F.col("rate")))
+
+
+@query()
+def drift_signals(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    g, r = collect.drift_groups(rows), collect.drift_rules(rows)
+    old, new = (lambda df: df.where("month = '2026-08'").drop("month")), (lambda df: df.where("month = '2026-09'").drop("month"))
+    return collect.drift_signals(old(g), new(g), old(r), new(r), ["profile"])
+
+
+@query(o.with_(*_SCORED, select=f"SELECT zh_doc.doc_id, text, substr(sha256(text), 1, 16) AS text_sha256, CAST(round_even(index, 0) AS INTEGER) AS score, n_chars FROM zh_doc JOIN score USING (doc_id)"))
+def samples(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir)
+    out = collect.samples(docs, score.analyzed(docs, GENERAL), _hits(spark, sf_dir), "general", "2026-09")
+    return out.select("doc_id", "text", "text_sha256", "score", "n_chars")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN m = 0 THEN '证件【身份证号】。' WHEN m = 1 THEN '电话【手机号】，邮箱【邮箱】。' WHEN m = 2 THEN '卡【卡号】号。' ELSE '单号' || CAST(o_orderkey AS VARCHAR) || '。' END AS text
+FROM (SELECT o_orderkey, o_orderkey % 4 AS m FROM orders)""")
+def pii_masked(spark, sf_dir):
+    k = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    m = F.col("o_orderkey") % 4
+    text = (
+        F.when(m == 0, F.concat(F.lit("证件11010119"), k, F.lit("X。"))).when(m == 1, F.concat(F.lit("电话13"), k, F.lit("，邮箱u."), k, F.lit("@mail.example.com。")))
+        .when(m == 2, F.concat(F.lit("卡62220000"), k, k, F.lit("号。"))).otherwise(F.concat(F.lit("单号"), F.col("o_orderkey").cast("string"), F.lit("。")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", mask_pii(text).alias("text"))
+
+
+_GRAMS = """
+gram_of AS (
+    SELECT doc_id, unnest(list_distinct(list_concat(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4)), list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))))) AS gram
+    FROM (SELECT doc_id, regexp_replace(text, """ + o.lit(o.BARE) + """, '', 'g') AS t FROM zh_doc)
+), df AS (SELECT gram, count(*) FILTER (doc_id % 3 = 0) AS df_1, count(*) FILTER (doc_id % 3 <> 0) AS df_0 FROM gram_of GROUP BY gram HAVING count(*) >= 2)"""
+
+
+def _phrases(spark, sf_dir):
+    return mining.phrase_df(zh_docs(spark, sf_dir).withColumn("label", (F.col("doc_id") % 3 == 0).cast("int")), [4, 6])
+
+
+@query(o.with_(o.zh(), _GRAMS, select="SELECT gram, df_1, df_0 FROM df"))
+def phrase_df(spark, sf_dir):
+    return _phrases(spark, sf_dir)
+
+
+@query()
+def phrase_report(spark, sf_dir):
+    """The forty most telling phrases, a report of the top."""
+    n = zh_docs(spark, sf_dir).select(F.sum((F.col("doc_id") % 3 == 0).cast("int")), F.count("*")).first()
+    best = mining.phrase_ratio(_phrases(spark, sf_dir), n[0], n[1] - n[0]).where("df_1 >= 5 and ratio >= 1.05")
+    return mining.collapse(best).orderBy(F.desc("df_1"), "gram").limit(40)
+
+
+_AUDITED = ["赋能", "不得不说", "总之", "众所周知", "(形成|构建|打造).{0,4}闭环", "据悉", "值得(进一步|深入)"]
+
+
+@query(o.with_(o.zh(), "pattern AS (" + " UNION ALL ".join(f"SELECT DISTINCT doc_id, {o.lit(p)} AS pattern FROM zh_sent WHERE regexp_matches(text, {o.lit(p)})" for p in _AUDITED) + ")", select=f"""
+SELECT pattern, k1, k0, {o.scaled('ratio')} AS ratio, CASE WHEN k1 + k0 < 5 THEN 'undecided' WHEN ratio >= 5 THEN 'strong' WHEN ratio >= 2 THEN 'fair' WHEN ratio >= 1 THEN 'weak' ELSE 'reversed' END AS status
+FROM (SELECT pattern, k1, k0, (CAST(k1 AS DOUBLE) / n1) / greatest(CAST(k0 AS DOUBLE) / n0, 0.5 / n0) AS ratio
+    FROM (SELECT pattern, count(*) FILTER (doc_id % 3 = 0) AS k1, count(*) FILTER (doc_id % 3 <> 0) AS k0 FROM pattern GROUP BY pattern),
+        (SELECT count(*) FILTER (doc_id % 3 = 0) AS n1, count(*) FILTER (doc_id % 3 <> 0) AS n0 FROM zh_doc))"""))
+def pattern_audit(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir)
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("label"))
+    return mining.pattern_audit(segment.sentences(docs), labels, _AUDITED).withColumn("ratio", scaled(F.col("ratio")))
+
+
+@query("""
+SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b
+ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND a.ts <= b.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE""")
+def prompt_outputs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", "event_type")
+    return mining.interval_join(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", 5).select("user_id", "first_id", "then_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def resume(spark, sf_dir):
+    """What is still to do: an anti join with what is done."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+@query(f"""
+SELECT l_orderkey AS doc_id, {o.scaled('s / 1000.0 / n')} AS avg_nll, {o.scaled('exp(least(s / 1000.0 / n, 50.0))')} AS ppl, n AS n_tokens
+FROM (SELECT l_orderkey, CAST(sum(CAST(l_partkey % 7000 AS BIGINT)) AS DOUBLE) AS s, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
+def ppl_stats(spark, sf_dir):
+    tokens = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 7000).alias("nll"))
+    g = perplexity.ppl_stats(tokens, ["doc_id"])
+    mean = F.col("avg_nll") * F.col("n_tokens") / 1000.0 / F.col("n_tokens")
+    return g.select("doc_id", scaled(mean).alias("avg_nll"), scaled(F.exp(F.least(mean, F.lit(50.0)))).alias("ppl"), "n_tokens")
+
+
+# -- renderers -----------------------------------------------------------------
+
+
+@query(o.with_(o.zh(), o.hits(GENERAL), select=r"""
+SELECT doc_id, CAST(para AS INTEGER) AS para, rule_id, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
+    sha1(rule_id || chr(31) || CAST(para AS VARCHAR) || chr(31) || sentence) AS fingerprint FROM hit WHERE NOT is_hint"""))
+def sarif_rows(spark, sf_dir):
+    return report.sarif_results(_hits(spark, sf_dir).where("not is_hint")).select("doc_id", "para", "rule_id", "level", "fingerprint")
+
+
+@query()
+def json_reports(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir)
+    return report.json_reports(score.analyzed(docs, GENERAL), rules.findings(docs, GENERAL))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS digest FROM documents WHERE text IS NOT NULL")
+def digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", sha_prefix(F.col("text")).alias("digest"))
