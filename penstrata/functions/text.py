@@ -51,10 +51,13 @@ def grams(c: Column, sizes: list[int]) -> Column:
     expression would evaluate it anew, and scan the text, at every place.
     """
 
+    def runs(chars: Column, k: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(chars) - (k - 1))
+        made = F.transform(at, lambda i: F.concat(*[F.element_at(chars, i + j) for j in range(k)]))
+        return F.when(F.size(chars) >= k, made).otherwise(F.array().cast("array<string>"))
+
     def of(chars: Column) -> Column:
-        n = F.size(chars)
-        runs = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.concat(*[F.element_at(chars, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>")) for k in sizes]
-        return F.concat(*runs)
+        return F.concat(*[runs(chars, k) for k in sizes])
 
     return F.flatten(F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), of))
 
