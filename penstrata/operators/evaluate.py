@@ -106,3 +106,30 @@ def verdict(frozen: Column, cv: Column, loco: Column, line: float = 0.884) -> Co
 
 def gate(baseline: Column, now: Column, most: float = 0.05) -> Column:
     return F.when(baseline - now < most, "PASS").otherwise("FAIL")
+
+
+def unpivoted(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys…, feature, value): one row per feature."""
+    arms = ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features)
+    return rows.selectExpr(*keys, f"stack({len(features)}, {arms}) AS (feature, value)")
+
+
+def domain_recon(rows: DataFrame, domain: str, label: str, features: list[str]) -> DataFrame:
+    """(domain, feature, n_pos, n_neg, auroc) of every single feature in every domain."""
+    return auroc(unpivoted(rows, [domain, label], features), [domain, "feature"], "value", label)
+
+
+def pool_features(lines: DataFrame, pool: str, patterns: dict[str, str]) -> DataFrame:
+    """(feature, pool, n, hits): lines of each pool that match, for named patterns."""
+    hit = F.array(*[F.struct(F.lit(name).alias("feature"), F.col("text").rlike(p).alias("hit")) for name, p in patterns.items()])
+    return lines.select(pool, F.explode(hit).alias("f")).groupBy("f.feature", pool).agg(F.count("*").alias("n"), F.count_if("f.hit").alias("hits"))
+
+
+def corpus_profile(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, n_chars, p50, punctuation): texts, characters, the middle length and punctuation per thousand characters."""
+    from penstrata.functions.text import PUNCTUATION, chars_in
+    from penstrata.operators.collect import ranked_percentiles
+
+    x = rows.select(by, F.length("text").cast("long").alias("len"), chars_in(F.col("text"), PUNCTUATION).alias("marks"))
+    g = x.groupBy(by).agg(F.count("*").alias("n"), F.sum("len").alias("n_chars"), F.sum("marks").alias("marks"))
+    return g.join(ranked_percentiles(x, [by], "len", {"p50": 0.5}), by).select(by, "n", "n_chars", "p50", (F.col("marks") * 1000.0 / F.col("n_chars")).alias("punctuation"))

@@ -100,3 +100,13 @@ def applied(docs: DataFrame, advice: DataFrame) -> DataFrame:
     kept = raw.join(told, ["doc_id", "line"], "left").where(f"action is null or action <> '{DROP}'")
     text = F.when((F.col("action") == CHANGE) & F.col("candidate").isNotNull(), F.col("candidate")).otherwise(F.col("raw"))
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
+
+
+def attacked(docs: DataFrame, sents: DataFrame, pack: Pack) -> DataFrame:
+    """(doc_id, text): drafts rewritten sentence by sentence, paragraph breaks kept, for scoring an index against its own advice."""
+    lines = sents.select("doc_id", "para", "unit", "pos", "text")
+    told = advised(lines, pack).where(f"action <> '{DROP}'")
+    s = F.when((F.col("action") == CHANGE) & F.col("candidate").isNotNull(), F.col("candidate")).otherwise(F.col("text"))
+    paras = told.groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "pos", s.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "s"))), lambda x: x["s"]), "\n\n")
+    return docs.select("doc_id").join(paras.groupBy("doc_id").agg(text.alias("text")), "doc_id", "left").na.fill("", ["text"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from penstrata.functions.text import BARE, WS
+from penstrata.functions.text import BARE, PUNCTUATION, WS
 from penstrata.operators import domain, segment
 from penstrata.packs import Pack, load
 from penstrata.sources.synthetic import BANK, MARKDOWN
@@ -209,4 +209,4 @@ def with_(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
 
 
-__all__ = ["arr", "count_of", "cut_sentences", "cv", "doc_rules", "flags", "hits", "lit", "load", "md", "re2", "scaled", "score", "stats", "threshold", "with_", "zh"]
+__all__ = ["BARE", "PUNCTUATION", "WS", "arr", "count_of", "cut_sentences", "cv", "doc_rules", "flags", "hits", "lit", "load", "md", "re2", "scaled", "score", "stats", "threshold", "with_", "zh"]

@@ -332,6 +332,38 @@ def cross_validated(spark, sf_dir):
     return evaluate.auroc(held.withColumn("_", F.lit(0)), ["_"], "fitted", "label").drop("_")
 
 
+_RECON = ("sentence_cv", "ngram_repeat", "n_sentences")
+
+
+@query(o.with_(_latin_sql(), _LABELLED, "flat AS (" + " UNION ALL ".join(f"SELECT lang, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM labelled" for f in _RECON) + ")", select=_sql_auroc("flat", "lang, feature", "value")))
+def domain_recon(spark, sf_dir):
+    return evaluate.domain_recon(labelled(spark, sf_dir), "lang", "label", list(_RECON)).withColumn("auroc", scaled(F.col("auroc")))
+
+
+_POOL = {"question": "[?？]", "digit": "[0-9]", "marks": "[%$&*#]{3}"}
+
+
+@query(o.with_(_latin_sql(), select=" UNION ALL ".join(f"SELECT '{n}' AS feature, lang, count(*) AS n, count(*) FILTER (regexp_matches(sent.text, {o.lit(p)})) AS hits FROM sent JOIN documents USING (doc_id) GROUP BY lang" for n, p in _POOL.items())))
+def pool_features(spark, sf_dir):
+    lines = document_sentences(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.pool_features(lines, "lang", _POOL)
+
+
+@query(f"""
+SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, list_sort(list(length(text)))[CAST(least(floor(count(*) * 0.5), count(*) - 1) AS INTEGER) + 1] AS p50,
+    {o.scaled("sum(length(text) - length(translate(text, " + o.lit(o.PUNCTUATION) + ", ''))) * 1000.0 / sum(length(text))")} AS punctuation FROM documents GROUP BY source""")
+def corpus_profile(spark, sf_dir):
+    return evaluate.corpus_profile(table(spark, sf_dir, "documents"), "source").withColumn("punctuation", scaled(F.col("punctuation")))
+
+
+@query()
+def attacked(spark, sf_dir):
+    """The index before and after the advice is taken."""
+    docs = zh_docs(spark, sf_dir)
+    after = score.analyzed(rewrite.attacked(docs, segment.sentences(docs), PERSONAL), GENERAL).select("doc_id", F.col("index").alias("after"))
+    return score.analyzed(docs, GENERAL).select("doc_id", F.col("index").alias("before")).join(after, "doc_id", "left")
+
+
 # -- collection, drift, mining ------------------------------------------------
 
 _MONTH = "CASE WHEN doc_id % 4 < 2 THEN '2026-08' ELSE '2026-09' END"
@@ -416,6 +448,15 @@ def phrase_report(spark, sf_dir):
     return mining.collapse(best).orderBy(F.desc("df_1"), "gram").limit(40)
 
 
+@query(f"""
+SELECT DISTINCT doc_id, gram FROM (SELECT p_partkey AS doc_id, unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) AS gram FROM (SELECT p_partkey, regexp_replace(p_name, {o.lit(o.BARE)}, '', 'g') AS t FROM part))
+WHERE gram IN (SELECT unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) FROM (SELECT regexp_replace(p_type, {o.lit(o.BARE)}, '', 'g') AS t FROM part))""")
+def leaks(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    side = lambda c: p.select(F.col("p_partkey").alias("doc_id"), F.col(c).alias("text"))
+    return mining.leaks(side("p_type"), side("p_name"))
+
+
 _AUDITED = ["赋能", "不得不说", "总之", "众所周知", "(形成|构建|打造).{0,4}闭环", "据悉", "值得(进一步|深入)"]
 
 
