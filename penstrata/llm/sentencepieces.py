@@ -35,10 +35,13 @@ BLANK = "▁"
 #: Characters beyond which a document is cut, and those of a chunk.
 GIANT, CHUNK = 1 << 16, 1 << 14
 #: Words that a Python worker keeps; beyond it the memory is emptied, results stay the same.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Words of more characters are searched alone. Documents whose new words are searched together.
+LONG_WORD, TOGETHER = 40, 512
 NONE = -(1 << 60)
-_PARTS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
+HASH_BY = 0x9E3779B97F4A7C15
 _LOADED: dict[str, Pieces] = {}
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
@@ -63,34 +66,57 @@ class Pieces:
                 self.text[i] = p
         self.unknown = min(s for _, s in self.piece.values()) - 10
         self.most = max(map(len, self.piece))
-        #: The score of each beginning of a piece, None where it is no piece itself.
-        self.begins: dict[str, int | None] = {p[:k]: None for p in self.piece for k in range(1, len(p) + 1)}
-        self.begins |= {p: score for p, (_, score) in self.piece.items()}
-        #: Whether words part the lattice: no piece holds a blank behind another character, or a line feed.
-        self.words_part = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.piece)
+        #: A tree of characters; a node's score is under "" where its path is a piece.
+        self.tree: dict = {}
+        for p, (_, score) in self.piece.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = score
+        self.parts = self._parts()
+        # for batches of words: characters as numbers, pieces by a hash of them
+        self.number = {c: i + 1 for i, c in enumerate(sorted({c for p in self.piece for c in p}))}
+        hashes = np.array([self._hash(p) for p in self.piece], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.scores = hashes[order], np.array([score for _, score in self.piece.values()], np.int64)[order]
         self.known: dict[str, bytes] = {}
 
+    def _parts(self):
+        """Cuts a text where no piece crosses, or None.
+
+        Words part where no piece has a blank behind another character.
+        Letters part from all else where no piece joins a letter to another
+        character but a leading blank; then a word is one entry whatever mark
+        follows it. A line feed stands alone where no piece holds one.
+        """
+        bare = [p.lstrip(BLANK) for p in self.piece]
+        if any(BLANK in p or "\n" in p for p in bare):
+            return None
+        letters = [sum(_LETTER.match(c) is not None for c in p) for p in bare]
+        if all(n in (0, len(p)) for n, p in zip(letters, bare, strict=True)):
+            return re.compile(f"{BLANK}+[^\\W\\d_]*|[^\\W\\d_]+|\n|[^{BLANK}\n]+?(?=[^\\W\\d_]|[{BLANK}\n]|$)").findall
+        return re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
+
     def forward(self, s: str, n: int, start: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
         """Best score and last piece's start at each place of ``s``; pieces start before ``n``. ``start`` lists (place, score)."""
         best, back = [NONE] * (len(s) + 1), [-1] * (len(s) + 1)
         for at, score in start:
             best[at] = score
-        score_of, most, end = self.begins.get, self.most, len(s)
+        tree, end = self.tree, len(s)
         for i in range(n):
             here = best[i]
             if here == NONE:
                 continue
-            single = False
-            for j in range(i + 1, min(i + most, end) + 1):
-                score = score_of(s[i:j], 1)  # 1: the beginning of no piece
-                if score is None:
-                    continue
-                if score == 1:
+            node, j = tree, i
+            while j < end:
+                node = node.get(s[j])
+                if node is None:
                     break
-                single = single or j == i + 1
-                if here + score > best[j]:
+                j += 1
+                score = node.get("")
+                if score is not None and here + score > best[j]:
                     best[j], back[j] = here + score, i
-            if not single and i < end and here + self.unknown > best[i + 1]:
+            if s[i] not in self.piece and here + self.unknown > best[i + 1]:
                 best[i + 1], back[i + 1] = here + self.unknown, i
         return best, back
 
@@ -114,18 +140,84 @@ class Pieces:
             self.known[w] = array("i", self.traced(w, back, len(w))[0]).tobytes()
         return self.known[w]
 
+    def _hash(self, p: str) -> int:
+        h = 0
+        for c in p:
+            h = (h * HASH_BY + self.number[c]) % (1 << 64)
+        return h
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words, those of one length together: the same search, place by place for all of them.
+
+        Pieces are looked up by a 64-bit hash. A path that is no row of pieces
+        shows a false match, and such a word is searched alone.
+        """
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        for n, same in by.items():
+            if n > LONG_WORD or len(same) < 8:
+                for w in same:
+                    self.word(w)
+                continue
+            code = self.number.get
+            c = np.array([[code(x, 0) for x in w] for w in same], np.uint64).T.copy()
+            known = np.stack([self._found(row)[0] for row in c])  # single characters that are pieces
+            best, back = np.full((n + 1, len(same)), NONE, np.int64), np.full((n + 1, len(same)), -1, np.int64)
+            best[0] = 0
+            for i in range(n):
+                h = np.zeros(len(same), np.uint64)
+                for j in range(i, min(n, i + self.most)):
+                    h = h * np.uint64(HASH_BY) + c[j]
+                    hit, score = self._found(h)
+                    cand = np.where(hit, best[i] + score, NONE)
+                    better = cand > best[j + 1]
+                    best[j + 1][better], back[j + 1][better] = cand[better], i
+                cand = np.where(known[i], NONE, best[i] + self.unknown)
+                better = cand > best[i + 1]
+                best[i + 1][better], back[i + 1][better] = cand[better], i
+            piece = self.piece
+            for w, come in zip(same, back.T.tolist(), strict=True):
+                ids, e = [], n
+                while e:
+                    p = w[come[e] : e]
+                    got = piece.get(p)
+                    if got is not None:
+                        ids.append(got[0])
+                    elif len(p) == 1:
+                        ids.extend(reversed(self.ids(p)))
+                    else:
+                        ids = None
+                        break
+                    e = come[e]
+                if ids is None:
+                    self.word(w)
+                else:
+                    ids.reverse()
+                    self.known[w] = array("i", ids).tobytes()
+
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return self.hashes[at] == h, self.scores[at]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text, new words of all of them together."""
+        if self.parts is None:
+            return [self.encode(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        parts = [self.parts(symbols(t)) if t else [] for t in texts]
+        known = self.known
+        self.learn(list({w for p in parts for w in p if w not in known}))
+        return [b"".join([known[w] if w in known else self.word(w) for w in p]) for p in parts]
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers; none for an empty text."""
         if not text:
             return b""
         s = symbols(text)
-        if not self.words_part:
-            return self.word(s)
-        known, words = self.known, _PARTS.findall(s)
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([self.word(w) for w in words])
+        return self.word(s) if self.parts is None else b"".join([self.word(w) for w in self.parts(s)])
 
     def decode(self, ids: bytes, first: bool = True) -> str:
         """The text of ids; ``first`` drops the blank that stands before every text."""
@@ -143,12 +235,36 @@ class Pieces:
         s = s.replace(BLANK, " ")
         return s[1:] if first and s.startswith(" ") else s
 
+    def first_cut(self, s: str, n: int) -> int:
+        """The first place behind all entry states, and before ``n``, that no piece crosses; 0 if there is none."""
+        if self.parts is None:
+            return 0
+        at = 0
+        for w in self.parts(s[: min(n, 64 * self.most)]):
+            at += len(w)
+            if at >= self.most:
+                return at if at < min(n, 64 * self.most) else 0
+        return 0
+
     def transfer(self, s: str, n: int) -> np.ndarray:
-        """The matrix of a chunk of ``n`` characters, whose ``s`` reaches ``most - 1`` beyond it."""
+        """The matrix of a chunk of ``n`` characters, whose ``s`` reaches ``most - 1`` beyond it.
+
+        All paths meet at a place that no piece crosses: behind the first one
+        the lattice is searched once for all states, not once for each.
+        """
         m = np.full((self.most, self.most), NONE, np.int64)
+        c = self.first_cut(s, n)
+        if c:
+            tail = np.full(self.most, NONE, np.int64)
+            best, _ = self.forward(s[c:], n - c, [(0, 0)])
+            tail[: len(best) - (n - c)] = best[n - c : n - c + self.most]
         for i in range(min(self.most, n + 1)):
-            best, _ = self.forward(s, n, [(i, 0)])
-            m[i, : len(best) - n] = best[n : n + self.most]
+            if c:
+                head = self.forward(s[:c], c, [(i, 0)])[0][c]
+                m[i] = np.where((tail == NONE) | (head == NONE), NONE, tail + head)
+            else:
+                best, _ = self.forward(s, n, [(i, 0)])
+                m[i, : len(best) - n] = best[n : n + self.most]
         return m
 
 
@@ -204,7 +320,7 @@ def encoded(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK)
         v = pieces(model)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = [v.encode(t) for t in texts]
+            ids = [x for k in range(0, len(texts), TOGETHER) for x in v.encode_all(texts[k : k + TOGETHER])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([v.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "decoded_ok"])
 
     return rows.where(~is_giant).mapInArrow(small, _DIGEST).unionByName(_giants(rows.where(is_giant), model, chunk))

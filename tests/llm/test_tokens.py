@@ -99,6 +99,57 @@ def test_pieces_by_words_chunks_and_whole_agree(text):
     assert state == 0 and got == want
 
 
+def test_batches_of_words_like_single_ones():
+    import random
+
+    rng = random.Random(6)
+    words = list({"▁" + "".join(rng.choice(["th", "e", "ing", "ü", "漢", "st", "a", "é", "q"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    v = sp.Pieces(PIECES)
+    v.learn(words)
+    batch = dict(v.known)
+    v.known.clear()
+    assert all(batch[w] == v.word(w) for w in words) and list(array("i", batch[words[0]])) == sequential(v, words[0])
+
+
+def test_scores_equal_the_librarys_best_path():
+    """The same pieces and scores in the library, whose model type is turned to a unigram lattice in the file's header."""
+    import sentencepiece
+
+    data = open(PIECES, "rb").read()
+
+    def varint(i):
+        n = shift = 0
+        while True:
+            n, shift, i = n | (data[i] & 127) << shift, shift + 7, i + 1
+            if data[i - 1] < 128:
+                return n, i
+
+    at = 0
+    while at < len(data):
+        key, i = varint(at)
+        size, i = varint(i)
+        if key >> 3 == 2:  # the trainer's part; its field 3 is the type
+            j = i
+            while j < i + size:
+                k, j = varint(j)
+                if k & 7 == 2:
+                    n, j = varint(j)
+                    j += n
+                elif k & 7 == 5:
+                    j += 4
+                else:
+                    if k >> 3 == 3:
+                        data = data[:j] + b"\1" + data[j + 1 :]
+                    _, j = varint(j)
+        at = i + size
+    lib = sentencepiece.SentencePieceProcessor()
+    lib.load_from_serialized_proto(data)
+    v = sp.pieces(PIECES)
+    for w in ["the", "hested", "transformation", "über", "naïve", "a,b", "2024", "schlichung", "ciónmente"]:
+        want = max(sum(lib.get_score(i) for i in ids) for ids in lib.nbest_encode_as_ids(w, 4))
+        assert sum(lib.get_score(i) for i in array("i", v.encode(w))) == want
+
+
 def test_products_are_associative():
     rng = np.random.default_rng(3)
     a, b, c = (np.where(rng.random((4, 4)) < 0.3, sp.NONE, rng.integers(-50, 0, (4, 4))) for _ in range(3))
