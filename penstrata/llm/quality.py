@@ -33,6 +33,8 @@ MIN_WORDS = 50
 #: The share of documents that an estimate rests on; up to the rest may be outliers.
 KEPT_SHARE = 0.75
 STEPS = 4
+#: Parts of a group that meet its model apart.
+SALTS = 64
 #: Groups of fewer documents are pooled by language; a pool of fewer joins the language's largest group, else the largest of all.
 LEAST_GROUP = 60
 #: The chance that a clean normal vector is rejected.
@@ -151,6 +153,17 @@ def _distance() -> Column:
     return total
 
 
+def _met(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """``rows`` with the one row of ``small`` that their group has.
+
+    ``small`` comes once per salt. A join on the group alone would leave all
+    rows of a large group in one task, since the sums by group that follow
+    need no further exchange; this way they are combined part by part.
+    """
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, ["g", "salt"]).drop("salt")
+
+
 def _estimates(sums: DataFrame, factor: float) -> DataFrame:
     """A model per group from its row of sums."""
 
@@ -191,20 +204,21 @@ def grouped(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
 def judged(stats: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS, p: float = REJECT_P, least: int = LEAST_GROUP) -> DataFrame:
     """``stats`` with d2, the squared robust distance (null without a group), and kept."""
     rows = written(grouped(stats, least).withColumns({f"x{i}": x for i, x in enumerate(vector())}), "vectors")
-    fit = rows.where("fit and g is not null").select("g", *[f"x{i}" for i in range(P)])
+    salt = F.pmod(F.xxhash64(F.lit(9), "doc_id", "x0", "x1"), F.lit(SALTS)).cast("int").alias("salt")
+    fit = rows.where("fit and g is not null").select("g", salt, *[f"x{i}" for i in range(P)])
     medians = fit.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(QUANTILE_ACCURACY)).alias(f"m{i}") for i in range(P)])
-    spread = fit.join(medians, "g").groupBy("g").agg(
+    spread = _met(fit, medians).groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
         *[F.greatest(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5), F.lit(QUANTILE_ACCURACY)) * 1.4826, F.lit(floor)).alias(f"d{i}") for i, floor in enumerate(FEATURES.values())],
     )
     zero = F.lit(0.0)
     model = written(spread.select("g", F.array(*[f"m{i}" for i in range(P)]).alias("mu"), F.array(*[1 / (F.col(f"d{i}") * F.col(f"d{i}")) if i == j else zero for i in range(P) for j in range(P)]).alias("inv")), "model")
     for _ in range(steps):
-        held = fit.join(model, "g").withColumn("d2", _distance()).drop("mu", "inv")
+        held = _met(fit, model).withColumn("d2", _distance()).drop("mu", "inv")
         cut = held.groupBy("g").agg(F.percentile_approx("d2", F.lit(share), F.lit(QUANTILE_ACCURACY)).alias("cut"))
-        model = written(_estimates(held.join(cut, "g").where("d2 <= cut").groupBy("g").agg(*_sums()), consistency(share)), "model")
+        model = written(_estimates(_met(fit, model.join(cut, "g")).withColumn("d2", _distance()).where("d2 <= cut").groupBy("g").agg(*_sums()), consistency(share)), "model")
     inner = 0.975
-    held = fit.join(model, "g").withColumn("d2", _distance()).where(F.col("d2") <= chi2_quantile(inner, P))
+    held = _met(fit, model).withColumn("d2", _distance()).where(F.col("d2") <= chi2_quantile(inner, P))
     model = written(_estimates(held.groupBy("g").agg(*_sums()), consistency(inner)), "model")
     out = rows.join(model, "g", "left").withColumn("d2", _distance())
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(1 - p, P)))
