@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstrata.llm.common import dropped, written
@@ -58,16 +58,16 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp) of every row, and the columns ``more`` of it; a null text has no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t or b"") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    return rows.mapInArrow(each, ", ".join(["doc_id long", "fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))
 
 
 def links(fps: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
@@ -122,6 +122,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def rooted(nodes: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
+    """``nodes``, one row per distinct ``fp``, with ``root``, the least fingerprint of its component."""
+    roots = components(links(nodes.select("fp"), hot))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs(doc_id, text)``.
 
@@ -133,8 +139,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     """
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), hot))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = rooted(nodes, hot)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
@@ -146,15 +151,21 @@ def hex16(fp: str = "fp"):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the least doc_id, with all its columns.
-
-    Rows that share a doc_id are versions of one document, of which the least
-    text stays. A component without any id keeps one row.
+    """The rows of ``docs`` that stay, with all columns: exactly one of each component.
+
+    It is a row of the least doc_id; a component without any id keeps a row
+    with a null id. Of rows that share this doc_id the one with the least
+    digest of its text stays. Rows are told apart by a number of their own,
+    not by doc_id: what an unrelated text with the same id, or with a null
+    one, does in its component changes nothing here. Rows are written with
+    their numbers first, so that a repeated task meets the same ones.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
-    from pyspark.sql import Window
-
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), key)).orderBy("text"))
-    return kept.withColumn("_version", first).where("_version = 1").drop("_version")
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    fps = fingerprints(numbered, F.md5(F.col("text").cast("binary")).alias("digest"), F.col(row).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n"))
+    nodes = written(fps.groupBy("fp").agg(first.alias("first")), "nodes")
+    keep = rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(row))
+    return numbered.join(keep, row, "left_semi").select(*[numbered[f"`{c}`"] for c in docs.columns])

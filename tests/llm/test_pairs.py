@@ -85,6 +85,27 @@ def test_near_duplicates_of_odd_rows(docs, empty, rows):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    import random
+
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) for _ in range(4)]
+    near = lambda k, n: [base[k], *(f"{base[k]} tail{i}" for i in range(n - 1))]
+    rows = [(None, t, "en", "s") for t in near(0, 4)]  # no id at all
+    rows += [(None, t, "en", "s") for t in near(1, 3)] + [(5, f"{base[1]} with id", "en", "s")]
+    rows += [(7, base[2], "en", "s"), (7, base[3], "en", "s"), (7, base[3], "en", "s"), (9, f"{base[3]} later", "en", "s")]  # one id, two texts
+    root = slow_components({slow_fingerprint(t) for _, t, _, _ in rows})
+    part = lambda r: root[slow_fingerprint(r[1])]
+    assert len({part(r) for r in rows}) == 4
+    for docs in (make(spark, rows), make(spark, rows[::-1]).repartition(3)):
+        got = simhash.one_of_each(docs)
+        assert got.columns == docs.columns
+        got = [(r.doc_id, r.text, r.lang, r.source) for r in got.collect()]
+        assert len(got) == 4 and set(got) <= set(rows)
+        assert {part(r): r[0] for r in got} == {part(rows[0]): None, part(rows[4]): 5, part((7, base[2])): 7, part((7, base[3])): 7}
+        assert {t for i, t, *_ in got if i == 7} == {base[2], base[3]}
+
+
 def slow_top(vectors, k=5, every=50):
     out = []
     for q, v in vectors.items():
