@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -77,16 +79,21 @@ def counted(text: bytes | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, COUNTS, base_failed of every row."""
+def _told_apart(docs: DataFrame) -> list[Column]:
+    """doc_id, lang, source and digest of the text: rows that agree in these have one verdict."""
+    return [docs["doc_id"].cast("long"), docs["lang"].cast("string"), docs["source"].cast("string"), F.md5(docs["text"].cast("binary"))]
+
+
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lang, source, COUNTS, base_failed of every row, and the columns ``more`` of it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([counted(t) for t in b.column(3).to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(got[:, i]) for i in range(len(COUNTS)))], names=["doc_id", "lang", "source", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(got[:, i]) for i in range(len(COUNTS))), *b.columns[4:]], names=["doc_id", "lang", "source", *COUNTS, *b.schema.names[4:]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(each, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"), *more)
+    out = rows.mapInArrow(each, ", ".join(["doc_id long, lang string, source string", *(f"{c} long" for c in COUNTS), *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[4:])]))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -238,6 +245,13 @@ def quality(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def passed(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, unchanged, that are kept. Rows that share a doc_id go only together, if all are rejected; those with a null id are judged as one."""
-    keep = quality(docs, **parameters).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
+    """The rows of ``docs``, unchanged, that are kept, each by its own verdict.
+
+    Verdicts come back by doc_id, language, source and a digest of the text,
+    nulls among them; rows that agree in all of these have the same verdict.
+    A rejected row goes, whatever becomes of others with its doc_id.
+    """
+    own = _told_apart(docs)
+    keep = judged(written(statistics(docs, own[-1].alias("digest")), "statistics"), **parameters).where("kept").select("doc_id", "lang", "source", "digest").distinct().toDF("_id", "_lang", "_source", "_digest")
+    same = [mine.eqNullSafe(keep[name]) for mine, name in zip(own, keep.columns, strict=True)]
+    return docs.join(keep, reduce(and_, same), "left_semi")

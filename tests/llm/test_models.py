@@ -121,6 +121,22 @@ def test_quality_of_odd_rows(docs, empty, rows):
     assert quality.quality(empty).count() == 0 and quality.passed(empty).count() == 0
 
 
+def test_each_row_passes_by_its_own_verdict(spark):
+    import random
+
+    rng = random.Random(3)
+    good = lambda: prose(rng, rng.randint(60, 300), ["ab", "cde", "f", "ghij"])
+    noise = lambda: " ".join(f"w{rng.random()}|" for _ in range(80))  # noqa: E731  an outlier of the robust test
+    rows = [(i, good(), "en", "big") for i in range(120)]
+    stay = [(None, good(), "en", "big"), (None, good(), None, None), (500, good(), "en", "big")]
+    stay += [stay[0], (None, good(), "en", None)]  # a repeated row; null source
+    go = [(None, "too short", "en", "big"), (None, None, "en", "big"), (None, noise(), "en", "big"), (500, noise(), "en", "big"), (500, "x " * 90, "en", "big")]
+    docs = make(spark, rows + stay + go)
+    kept = quality.passed(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:4] for r in kept.collect()), key=str) == sorted(rows + stay, key=str)
+
+
 def test_pairs_of_terms_matter():
     """Two terms that are harmless alone and toxic together: no additive model can tell."""
     rng = np.random.default_rng(0)
