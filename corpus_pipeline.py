@@ -16,7 +16,7 @@ from penstrata.llm.common import new_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents without a language go (null texts, texts without a letter)."""
+    """Operator 8: documents without a language go (null texts, texts without a letter or without an n-gram of any learned language)."""
     return language.identified(docs, language.learn(docs))
 
 

@@ -147,12 +147,17 @@ def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, unchanged, whose text has a language with a score above 0 and of ``least`` or more.
+
+    A score of 0 means that the text shares no n-gram with any profile, as one
+    in a script that none was learned in; the name that ``predicted`` gives it
+    is but the first of all, so it has no language here.
+    """
     schema, at = docs.schema, docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [profiles.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+            yield b.filter(pa.array([lang != UNKNOWN and score > 0 and score >= least for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(each, schema)

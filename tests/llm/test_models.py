@@ -54,6 +54,15 @@ def test_language_of_every_row(docs, empty, rows):
     assert {r.lang_pred for r in language.predicted(docs, nothing).collect()} == {"und"}
 
 
+def test_text_of_an_unknown_script_has_no_language(spark):
+    rows = [(i, "the thing and the other thing" if i % 2 else "der ding und das andere ding", "en" if i % 2 else "de", "s") for i in range(40)]
+    foreign = [(100, "Это совсем другой язык", None, "s"), (None, "日本語 テキスト", None, "s")]
+    model = language.learn(make(spark, rows))
+    docs = make(spark, rows + foreign)
+    assert {r.score for r in language.predicted(docs.where("doc_id = 100 or doc_id is null"), model).collect()} == {0.0}
+    assert sorted(r.doc_id for r in language.identified(docs, model).collect()) == list(range(40))
+
+
 def slow_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
