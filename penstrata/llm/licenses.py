@@ -131,11 +131,12 @@ class Scanner:
         return [(name, f[0], -f[2], -f[3]) for name, f in order]
 
     def _matches(self, words: list[str], template: list[str], need: int) -> Iterator[tuple[int, int, int]]:
-        """Dense matches in a region. Stray words far off are left at the sides, and a repeated notice is met in each window about its length."""
+        """Dense matches in a region. Stray words far off are left at the sides, and a repeated notice, whose words are unique nowhere in the whole, is met in windows about its length, every half of it and where its first two words stand."""
         n = len(template)
         spans = [(0, len(words))]
-        if len(words) > 3 * n:
-            spans += [(s, s + 2 * n) for s in range(0, len(words) - n, max(1, n // 2))]
+        if len(words) > n:
+            begins = {i for i in range(len(words) - n + 1) if words[i : i + 2] == template[:2]}
+            spans += [(s, s + 2 * n) for s in sorted(begins.union(range(0, len(words) - n, max(1, n // 2))))]
         for s, e in spans:
             pairs = aligned(words[s:e], template)
             while len(pairs) >= need:

@@ -224,6 +224,17 @@ def test_license_scans(spark, docs, empty, rows):
     assert licenses.scanned(docs).count() == len(rows) and licenses.scanned(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_repeated_notices_in_short_texts(copies):
+    scanner = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            n = len(licenses.words_of(t))
+            for before, after in ((1, 1), (2, 0), (0, 3), (n // 2, 1), (n, n)):
+                text = " ".join(["foo"] * before + [t] * copies + ["bar"] * after)
+                assert (name, 1.0, before, before + n - 1) in scanner.scan(text), (t, before, after)
+
+
 def test_url_list_like_plain_code(spark):
     import datetime as dt
     import random
