@@ -21,7 +21,7 @@ from penstrata.llm.common import written
 BUCKETS = 16
 #: Padded tokens of a batch; a document longer than it is a batch of its own.
 BUDGET = 16384
-#: Distinct lengths that the dynamic program takes; where a table has more, lengths are rounded up to a power of two that leaves fewer. No document is left out.
+#: Distinct lengths that the dynamic program turns from arrays into Python's numbers at a time. It takes all of them, however many.
 MOST_LENGTHS = 1 << 16
 
 
@@ -37,49 +37,55 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     d = len(lengths)
     if d == 0:
         return []
-    ends = [int(x) for x in lengths]
-    c = [0, *np.cumsum(counts.astype(object)).tolist()]
-    t = [0, *np.cumsum((lengths.astype(object) * counts.astype(object))).tolist()]
-    best: list[int | None] = [0] + [None] * d
+    c = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    t = np.concatenate([[0], np.cumsum(lengths * counts, dtype=np.int64)])
+    best = np.full(d + 1, -1, np.int64)  # -1: not with so many buckets
+    best[0] = 0
     chosen = []
     for _ in range(min(buckets, d)):
-        after: list[int | None] = [None] * (d + 1)
-        come = [0] * (d + 1)
+        after = np.full(d + 1, -1, np.int64)
+        come = np.zeros(d + 1, np.int64)
         hull: list[tuple[int, int, int]] = []  # slope, intercept, i
         at = 0
-        for j in range(1, d + 1):
-            if best[j - 1] is not None:
-                m, q = -c[j - 1], best[j - 1] + t[j - 1]
-                while len(hull) >= 2 and (q - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
-                    hull.pop()
-                hull.append((m, q, j - 1))
-                at = min(at, len(hull) - 1)
-            if not hull:
-                continue
-            x = ends[j - 1]
-            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
-                at += 1
-            after[j] = x * c[j] - t[j] + hull[at][0] * x + hull[at][1]
-            come[j] = hull[at][2]
+        for lo in range(0, d, MOST_LENGTHS):
+            own, nxt = slice(lo, lo + MOST_LENGTHS), slice(lo + 1, lo + 1 + MOST_LENGTHS)
+            cost, via = [], []
+            for j, x, b, c0, t0, c1, t1 in zip(range(lo + 1, d + 1), *(v.tolist() for v in (lengths[own], best[own], c[own], t[own], c[nxt], t[nxt])), strict=False):
+                if b >= 0:
+                    m, q = -c0, b + t0
+                    while len(hull) >= 2 and (q - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
+                        hull.pop()
+                    hull.append((m, q, j - 1))
+                    at = min(at, len(hull) - 1)
+                if not hull:
+                    cost.append(-1)
+                    via.append(0)
+                    continue
+                while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                    at += 1
+                cost.append(x * c1 - t1 + hull[at][0] * x + hull[at][1])
+                via.append(hull[at][2])
+            after[nxt], come[nxt] = cost, via
         chosen.append(come)
         best = after
     out, j = [], d
     for come in reversed(chosen):
-        out.append(ends[j - 1])
-        j = come[j]
+        out.append(int(lengths[j - 1]))
+        j = int(come[j])
     return out[::-1]
 
 
-def histogram(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct lengths, their counts and the unit they are rounded up to, over all of ``sizes(n_tokens)``."""
-    n = sizes.agg(F.countDistinct("n_tokens")).first()[0]
-    unit = 1
-    while n > MOST_LENGTHS:
-        unit *= 2
-        n = sizes.agg(F.countDistinct(F.ceil(F.col("n_tokens") / unit))).first()[0]
-    rows = sizes.groupBy((F.ceil(F.col("n_tokens") / unit) * unit).cast("long").alias("n")).count().collect()
-    rows.sort(key=lambda r: r["n"])
-    return np.array([r["n"] for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64), unit
+def histogram(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct lengths of ``sizes(n_tokens)``, ascending, and their counts.
+
+    They reach the driver as arrays of numbers. There are few: d different
+    lengths take d * d / 2 tokens at least, so 10^10 tokens have at most
+    141,421 and 10^12 at most 1,414,213.
+    """
+    rows = sizes.groupBy("n_tokens").count().toArrow()
+    n, counts = (rows.column(k).to_numpy().astype(np.int64) for k in range(2))
+    order = np.argsort(n)
+    return n[order], counts[order]
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -110,8 +116,7 @@ def packed(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Dat
     """
     spark = docs.sparkSession
     sizes = written(lengths(docs), "lengths")
-    known, counts, unit = histogram(sizes)
-    ends = boundaries(known, counts, buckets)
+    ends = boundaries(*histogram(sizes), buckets)
     if not ends:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, padded long, batch long, slot int")
     bucket = F.lit(0)

@@ -189,6 +189,18 @@ def test_many_lengths_are_rounded_up(spark, monkeypatch):
     check_packing(got, 100)
 
 
+def test_many_lengths_have_optimal_boundaries(spark, monkeypatch):
+    hist = {n + 1: 1 + (n * n) % 3 for n in range(40)}
+    cost = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in hist.items())
+    best = min(cost([*x, 40]) for x in itertools.combinations(range(1, 40), 2))
+    monkeypatch.setattr(packing, "MOST_LENGTHS", 5)
+    docs = make(spark, [(100 * n + k, "w " * (n - 1), "en", "s") for n, c in hist.items() for k in range(c)])
+    got = packing.packed(docs, buckets=3, budget=100).collect()
+    assert len(got) == sum(hist.values()) and max(r.padded for r in got) == 40
+    assert sum(r.padded - r.n_tokens for r in got) == best
+    check_packing(got, 100)
+
+
 def slow_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
