@@ -114,18 +114,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_cover_tree_topk": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
-    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id
-), r AS (
-    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    SELECT q.r AS query_row, q.vec_id AS query_id, p.vec_id AS vec_id, CASE WHEN least(len(q.v), len(p.v)) = 0 THEN 0
+        ELSE CAST(list_inner_product(list_resize(q.v, least(len(q.v), len(p.v))), list_resize(p.v, least(len(q.v), len(p.v)))) AS BIGINT) END AS score
+    FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.r <> p.r
+), ranked AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank
     FROM s
 )
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op10_temporal_url_list": r"""
 WITH page AS (

@@ -106,29 +106,59 @@ def test_one_row_of_each_component_stays(spark):
         assert {t for i, t, *_ in got if i == 7} == {base[2], base[3]}
 
 
-def slow_top(vectors, k=5, every=50):
+def slow_top(rows, k=5, every=50):
+    """Rows (vec_id, whole numbers): every row is a query and a candidate of its own; shorter vectors end in zeros."""
+    width = max(len(v) for _, v in rows)
+    pad = [(i, list(v) + [0] * (width - len(v))) for i, v in rows]
     out = []
-    for q, v in vectors.items():
+    for n, (q, v) in enumerate(pad):
         if q % every == 0:
-            s = sorted((-int(np.dot(v, w)), i) for i, w in vectors.items() if i != q)[:k]
+            s = sorted((-int(np.dot(v, w)), i) for m, (i, w) in enumerate(pad) if m != n)[:k]
             out += [(q, r, i, -x) for r, (x, i) in enumerate(s, 1)]
     return sorted(out)
 
 
-def test_top_k_like_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "DATA_BLOCK", 64)
-    rng = np.random.default_rng(3)
-    middle = rng.normal(size=(6, 8))
-    x = np.round(middle[rng.integers(0, 6, 700)] + 0.1 * rng.normal(size=(700, 8)), 2)
-    x[300:420] = x[300]  # a third or so of equal vectors: ties
+def clustered(n, width, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(24, width))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    x = middle[rng.integers(0, 24, n)] + 0.03 * rng.normal(size=(n, width))
+    return np.round(x / np.linalg.norm(x, axis=1)[:, None], 4)
+
+
+@pytest.mark.parametrize("block,fan", [(64, 5), (2048, 32)])
+def test_top_k_like_brute_force(spark, monkeypatch, block, fan):
+    """Several levels of cells, of which one is a vector 120 times, or one block; repeated ids, an empty and a short vector."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", block)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(covertree, "CENTRES", fan)
+    monkeypatch.setattr(covertree, "DEAL", 100)
+    x = clustered(700, 8)
+    x[300:420] = x[300]
     rows = [(int(i), [float(y) for y in v], 0) for i, v in enumerate(x)]
-    want = slow_top({i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows})
-    odd = [(700, None, 0), (750, [1.0, None], 0), (800, [float("nan")] * 8, 0), (850, [float("inf")] * 8, 0), (None, [1.0] * 8, 0), (900, [], 0), rows[50]]
+    rows += [rows[50], rows[51], (50, rows[52][1], 0), (900, [], 0), (950, [0.5, -0.25], 0)]
+    want = slow_top([(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows])
+    odd = [(700, None, 0), (750, [1.0, None], 0), (800, [float("nan")] * 8, 0), (850, [float("inf")] * 8, 0), (None, [1.0] * 8, 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")
     assert sorted(map(tuple, covertree.top_k(df).collect())) == want
-    assert covertree.top_k(df.where("false")).count() == 0
-    few = covertree.top_k(df.where("vec_id in (50, 51, 52)")).collect()
-    assert sorted((r.query_id, r["rank"]) for r in few) == [(50, 1), (50, 2)]
+    if block == 64:
+        assert covertree.top_k(df.where("false")).count() == 0
+        few = covertree.top_k(df.where("vec_id in (51, 52, 100)")).collect()
+        assert sorted((r.query_id, r["rank"]) for r in few) == [(100, 1), (100, 2), (100, 3)]
+
+
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    """Of the pairs of leaves of all blocks fewer than a tenth are scored."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 256)
+    x = clustered(4000, 16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    told = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = covertree.top_k(df, told=told).collect()
+    assert sorted(map(tuple, got)) == slow_top([(i, np.floor(256 * v).astype(int)) for i, v in enumerate(x)])
+    rows = covertree.parted(covertree.scaled(df), 256)
+    leaves = lambda r: sum(covertree._unpacked(b)[3].leaves for b in r.collect())
+    every = leaves(covertree.blocks(rows.where("vec_id % 50 = 0"), covertree.QUERY_BLOCK)) * leaves(covertree.blocks(rows, 256))
+    assert 0 < told[0].value <= told[1].value and told[0].value < every / 10
 
 
 def test_trees_cover_and_prune():
@@ -137,14 +167,35 @@ def test_trees_cover_and_prune():
     t = covertree.Tree(p)
     for n in range(len(t.centre)):
         own = t.order[t.lo[n] : t.hi[n]]
-        assert (np.sqrt(((p[own] - p[t.centre[n]]) ** 2).sum(axis=1)) <= t.radius[n] + 1e-9).all()
-    leaves = sum(a == b for a, b in t.kids)
+        assert (np.sqrt(((p[own] - p[t.centre[n]]) ** 2).sum(axis=1)) <= t.nodes.radius[n] + 1e-9).all()
+        assert t.centre[n] in own
+        a, b = t.kids[n]
+        if a < b:  # children part the node, and their centres are no closer than any child's radius
+            assert sorted(np.concatenate([t.order[t.lo[x] : t.hi[x]] for x in range(a, b)])) == sorted(own)
+            c = p[t.centre[a:b]].astype(float)
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2)) + np.where(np.eye(b - a) > 0, np.inf, 0)
+            assert apart.min() >= t.nodes.radius[a:b].max() - 1e-9
+        else:
+            assert len(own) <= covertree.LEAF or t.nodes.radius[n] == 0
     q, best = p[:40], covertree.Best(40, 5)
     qt = covertree.Tree(q, leaf=10)
-    scored = covertree.search(q, np.arange(40) + 10**6, qt, p, np.arange(len(p)), t, best)
+    scored, every = covertree.search(q, np.arange(40) + 10**6, qt, p, np.arange(len(p)), np.arange(len(p)), t, best)
     want = np.sort(q @ p.T, axis=1)[:, ::-1][:, :5]
     assert (best.score == want).all()
-    assert scored < leaves * sum(a == b for a, b in qt.kids) / 2
+    assert scored < every / 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 6), st.sampled_from([1, 50, 3000]))
+def test_bounds_hold(seed, width, size):
+    rng = np.random.default_rng(seed)
+    p, q = (rng.integers(-size, size + 1, (n, width)) + rng.integers(-size, size + 1, width) * rng.integers(0, 4) for n in (60, 40))
+    a, b = covertree.Tree(q, leaf=3, fan=3), covertree.Tree(p, leaf=3, fan=3)
+    top = covertree.bound(a.nodes, b.nodes)
+    s = q @ p.T
+    for i in range(len(a.lo)):
+        for j in range(len(b.lo)):
+            assert s[np.ix_(a.order[a.lo[i] : a.hi[i]], b.order[b.lo[j] : b.hi[j]])].max() <= top[i, j]
 
 
 def test_products_beyond_doubles_are_exact():
