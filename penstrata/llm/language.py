@@ -23,8 +23,8 @@ N_RANKS = 300
 PER_LANGUAGE = 4000
 #: The answer for a text that is null or has no letter.
 UNKNOWN = "und"
-#: Languages at most, so that all profiles fit into one task's closure.
-MOST_LANGUAGES = 1000
+#: Labels at most that a profile is learned for, those with most documents: the bound of the model, which goes to every task.
+MOST_LANGUAGES = 4096
 _TABLE: list[np.ndarray] = []
 
 
@@ -102,8 +102,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = N_RANKS
     """Profiles from the labelled documents outside the held-out fold.
 
     About ``per_language`` documents of each language are read, all where
-    there are fewer. Counts of n-grams are summed per partition before they
-    meet; ``most`` rows per language reach the driver.
+    there are fewer, and of more than MOST_LANGUAGES labels, as dirty ones may
+    be, those with most documents. Counts of n-grams are summed per partition
+    before they meet; ``most`` rows per language reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +133,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = N_RANKS
 def predicted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
-    Ties go to the smaller name. A null or letterless text is ``und`` with
-    score 0, as is every text where nothing was learned. A null id is in no
-    fold: never learned from, held_out false. Nothing but the text is used.
+    Ties go to the smaller name. A null, empty or letterless text is ``und``
+    with score 0, as is every text where nothing was learned. A very long text
+    is read whole. A null id is in no fold: never learned from, held_out
+    false. Repeated rows each come back, an empty table gives none. Nothing
+    but the text is used, and no other column is read.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,10 @@ def identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataF
 
     A score of 0 means that the text shares no n-gram with any profile, as one
     in a script that none was learned in; the name that ``predicted`` gives it
-    is but the first of all, so it has no language here.
+    is but the first of all, so it has no language here. Null, empty and
+    letterless texts go. Each row is judged by its own text, whatever its id,
+    so repeated rows stay or go together; an empty table stays empty, and
+    columns of any name come back as they were.
     """
     schema, at = docs.schema, docs.columns.index("text")
 
