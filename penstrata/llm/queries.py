@@ -130,7 +130,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """,
     "op10_temporal_url_list": r"""
 WITH page AS (
-    SELECT DISTINCT page_id, url, make_timestamp((1577836800 + (page_id * 977 % 1461) * 86400) * 1000000) AS fetched_at,
+    SELECT row_number() OVER () AS k, page_id, url, make_timestamp((1577836800 + (page_id * 977 % 1461) * 86400) * 1000000) AS fetched_at,
         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host
     FROM pages
 ), hosts AS (
@@ -148,7 +148,7 @@ WITH page AS (
     SELECT entry, moment AS valid_from, lead(moment) OVER (PARTITION BY entry ORDER BY moment) AS valid_to, action FROM one
 ), hit AS (
     SELECT page.page_id, page.url, page.fetched_at, entry, valid_from,
-        row_number() OVER (PARTITION BY page.page_id, page.url, page.fetched_at ORDER BY length(entry) DESC NULLS LAST, entry DESC) AS r
+        row_number() OVER (PARTITION BY page.k ORDER BY length(entry) DESC NULLS LAST, entry DESC) AS r
     FROM page LEFT JOIN life
         ON action = 'add' AND (host = entry OR ends_with(host, '.' || entry))
         AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)

@@ -27,6 +27,8 @@ from penstrata.llm.common import new_folder
 
 #: Distinct words that a Python worker keeps encoded; beyond it the memory is emptied, results stay the same.
 CACHE_WORDS = 600_000
+#: Bytes of the table that make a shard, and tasks for every core at least.
+SHARD_BYTES, TASKS_A_CORE = 128 << 20, 4
 #: Bytes of text that go to the tokenizer in one call, so that its result objects stay small.
 CALL_BYTES = 1 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -227,6 +229,14 @@ def opened(uri: str) -> pa.NativeFile:
     return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
 
 
+def size_of(rows: DataFrame) -> int:
+    """Bytes of a table as its files tell them, without a scan; where the plan cannot tell, the texts are added up."""
+    told = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if told < rows.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes():
+        return told
+    return rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
 def write_stream_files(docs: DataFrame, tokenizer: str, folder: str | None = None, seq_len: int = 2048, batch_rows: int = 16, end_id: int = 0) -> list[dict]:
     """Encode ``docs(doc_id, text)`` and write its shards; the list of shards in order.
 
@@ -278,7 +288,8 @@ def write_stream_files(docs: DataFrame, tokenizer: str, folder: str | None = Non
             yield pa.RecordBatch.from_pydict({"shard": [shard], "base": [base], "n_docs": [n_docs], "n_tokens": [out.n]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    parts = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-size_of(rows) // SHARD_BYTES))
+    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = dealt.mapInArrow(encode, "shard long, base string, n_docs long, n_tokens long").collect()
     found, start = [], 0
     for s in sorted(shards, key=lambda s: s["shard"]):
@@ -288,17 +299,23 @@ def write_stream_files(docs: DataFrame, tokenizer: str, folder: str | None = Non
 
 
 def read_digests(spark, shards: list[dict]) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, and its shard and place there."""
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32, and its shard and place there.
+
+    The shards are a table of one row for each task, so a task is told of its
+    own file only.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, shard_start long"
+    if not shards:
+        return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in b.column(0).to_pylist():
-                s = shards[k]
+            for s in b.to_pylist():
                 ids = StreamReader(opened(f"{s['base']}.ids.arrows"))
                 for docs in pa.ipc.open_stream(opened(f"{s['base']}.docs.arrows")):
                     at, n = docs.column(1).to_numpy(), docs.column(2).to_numpy()
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids.spans(at, n)]
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(at + s["start"]), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), s["shard"], np.int64)), pa.array(at)], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "shard_start"])
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, schema)
+    told = spark.createDataFrame([(s["shard"], s["base"], s["start"]) for s in shards], "shard long, base string, start long")
+    return told.repartitionByRange(len(shards), "shard").mapInArrow(read, schema)

@@ -45,23 +45,29 @@ def _bin(at: Column) -> Column:
 
 
 def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
-    """(page_id, url, fetched_at, blocked, entry, listed_at) of every distinct capture.
+    """(page_id, url, fetched_at, blocked, entry, listed_at) of every capture.
 
     ``captures(page_id, url, fetched_at)``; ``entry`` is the longest active
-    one and ``listed_at`` the start of its interval. A null or relative URL
-    and a null time match nothing. Rows that are equal in all three columns
-    are one capture; an empty list blocks nothing. Other columns are not read.
+    one and ``listed_at`` the start of its interval. A null, empty or relative
+    URL and a null time match nothing. Repeated rows each come back; an empty
+    table gives none, an empty list blocks nothing. Other columns are not read.
+
+    Parent domains are looked up for distinct hosts, so that a host with most
+    captures is one row there, and a domain above most hosts goes unless the
+    list names it. Captures then meet only what is listed for their own host
+    and bin, by an equality whose larger side can be split.
     """
-    rows = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
-    labels = F.split(host_of(F.col("url")), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = rows.withColumn("bin", _bin(F.col("fetched_at"))).withColumn("host", F.explode_outer(F.when(host_of(F.col("url")).isNotNull(), hosts)))
-    span = rows.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high"))
+    rows = captures.select(F.monotonically_increasing_id().alias("k"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("bin", _bin(F.col("fetched_at")))
+    span = rows.agg(F.min("fetched_at").alias("low"), F.max("fetched_at").alias("high"))  # one row
     live = intervals(events).crossJoin(F.broadcast(span)).where("valid_from <= high and (valid_to is null or valid_to > low)")
     first, last = _bin(F.greatest("valid_from", "low")), _bin(F.least(F.coalesce("valid_to", "high"), "high"))
-    cut = live.select("entry", "valid_from", "valid_to", F.explode(F.sequence(first, last)).alias("b"))
-    active = (F.col("host") == F.col("entry")) & (F.col("bin") == F.col("b")) & (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    found = keys.join(cut, active, "left")
+    cut = live.select("entry", "valid_from", "valid_to", F.explode(F.sequence(first, last)).alias("bin"))
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = rows.where("host is not null").select("host").distinct().select("host", F.explode(above).alias("entry")).join(cut, "entry")
+    within = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
+    found = rows.alias("c").join(listed.alias("e"), (F.col("c.host") == F.col("e.host")) & (F.col("c.bin") == F.col("e.bin")) & within, "left")
     best = F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), "entry", "valid_from"))).alias("best")
-    out = found.groupBy("page_id", "url", "fetched_at").agg(best)
+    out = found.groupBy("k", "page_id", "url", "fetched_at").agg(best)
     return out.select("page_id", "url", "fetched_at", F.col("best").isNotNull().alias("blocked"), F.col("best.entry").alias("entry"), F.col("best.valid_from").alias("listed_at"))

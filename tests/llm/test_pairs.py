@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from penstrata.llm import covertree, language, licenses, packing, quality, simhash, urllist
+from penstrata.llm import common, covertree, language, licenses, packing, quality, simhash, urllist
 from tests.llm.conftest import make
 
 
@@ -310,8 +310,9 @@ def test_url_list_like_plain_code(spark):
     pages += [(900, None, day(5)), (901, "/relative", day(5)), (902, "http://a.com", None), (903, "http://a.com./x", day(899)), pages[0]]
     odd = [(None, day(1), "add"), ("a.com", None, "add"), ("d.org", day(3), "other"), ("", day(3), "add")]
     df = spark.createDataFrame(pages, "page_id long, url string, fetched_at timestamp").selectExpr("*", "1 AS blocked", "'x' AS entry")
-    got = {r.page_id: r for r in urllist.judged(df, spark.createDataFrame(events + odd, "entry string, at timestamp, action string")).collect()}
-    assert len(got) == 304
+    found = urllist.judged(df, spark.createDataFrame(events + odd, "entry string, at timestamp, action string")).collect()
+    got = {r.page_id: r for r in found}
+    assert len(found) == 305 and len(got) == 304  # a repeated capture comes back twice
 
     def active(host, at):
         past = [(t, a) for h, t, a in events if h == host and t <= at]
@@ -341,6 +342,29 @@ def test_pipeline_like_its_parts_by_hand(spark, docs, rows, tmp_path):
         assert here.columns == docs.columns, name
 
 
+def test_pipeline_leaves_no_tables(spark, docs, tmp_path, monkeypatch):
+    """Of what the filtering stages write, only the rows of the last one are left for packing to read."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    left = sorted(p.name.rpartition("-")[0] for p in (tmp_path / "shared" / "penstrata").iterdir() if not p.name.startswith("."))
+    assert left == ["dealt", "lengths", "pipeline-near_duplicates"]
+    assert got.count() > 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
