@@ -7,12 +7,10 @@ the documents that are left.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from penstrata.llm import language, packing, quality, simhash
-from penstrata.llm.common import new_folder
+from penstrata.llm.common import dropped, new_folder, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = new_folder(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            schema = docs.schema
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    return docs
+    """All stages over ``documents``, each written as Parquet and reread by the next.
+
+    What a stage wrote for itself, and what its predecessor kept, goes as soon
+    as its own rows are written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        folder = new_folder(spark, f"pipeline-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            schema = kept.schema
+            kept.write.mode("overwrite").parquet(folder)
+        if before is not None:
+            dropped(before)
+        docs = before = spark.read.schema(schema).parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
