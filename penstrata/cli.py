@@ -86,7 +86,7 @@ def _rewrite(spark, a) -> int:
 
 def _collect(spark, a) -> int:
     pack, docs = load(a.profile), _docs(spark, a.target)
-    rows = collect.samples(docs, score.analyzed(docs, pack), rules.findings(docs, pack), a.profile, a.month, a.label).drop("doc_id")
+    rows = collect.samples(docs, score.analyzed(docs, pack), a.profile, a.month, a.label).drop("doc_id")
     rows.write.mode("append").json(a.out)
     return 0
 

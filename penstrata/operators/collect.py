@@ -12,14 +12,13 @@ KIND = "style-calibration-sample"
 POINTS, SCORE_SHARE, RULE_SHARE = 15.0, 0.20, 0.10
 
 
-def samples(docs: DataFrame, rows: DataFrame, found: DataFrame, profile: str, month: str, label: str = "hit") -> DataFrame:
-    """(type, time, label, profile, text, text_sha256, score, findings, n_chars) of analysed documents; the text is masked first."""
-    rules = found.where("not is_hint").groupBy("doc_id").agg(F.array_sort(F.collect_set("rule_id")).alias("findings"))
+def samples(docs: DataFrame, rows: DataFrame, profile: str, month: str, label: str = "hit") -> DataFrame:
+    """(type, time, label, profile, text, text_sha256, score, findings, n_chars) of ``docs`` and their analysed ``rows``; the text is masked first."""
     text = mask_pii(F.col("text"))
-    out = docs.select("doc_id", text.alias("text")).join(rows.select("doc_id", "index", "n_chars"), "doc_id").join(rules, "doc_id", "left")
+    out = docs.select("doc_id", text.alias("text")).join(rows.select("doc_id", "index", "n_chars", "rule_ids"), "doc_id")
     return out.select(
         "doc_id", F.lit(KIND).alias("type"), F.lit(month).alias("time"), F.lit(label).alias("label"), F.lit(profile).alias("profile"), "text", sha_prefix(F.col("text")).alias("text_sha256"),
-        F.bround("index", 0).cast("int").alias("score"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), F.col("n_chars").cast("long").alias("n_chars"),
+        F.bround("index", 0).cast("int").alias("score"), F.col("rule_ids").alias("findings"), F.col("n_chars").cast("long").alias("n_chars"),
     )
 
 

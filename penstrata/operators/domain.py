@@ -37,33 +37,48 @@ def _shape(clean: Column, n: Column, balanced: Column, sentences: Column, length
     return F.when(n >= LEAST_CHARS, F.filter(kinds, lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def domain_flags(sents: DataFrame, genre: bool = False, officialese: bool = True) -> DataFrame:
-    """(doc_id, kinds, non_chinese, has_content): kinds in order, each once.
+def of_sentence() -> dict[str, Column]:
+    """even: two clauses of verse length, with their lengths in lens."""
+    parts = F.filter(F.split("text", "[，、；]"), lambda p: F.trim(bare(p)) != "")
+    lens = F.transform(parts, lambda p: F.length(bare(p)))
+    even = F.coalesce((F.size(parts) == 2) & F.forall(lens, lambda x: x.between(*CLAUSE)), F.lit(False))
+    return {"even": even, "lens": F.when(even, lens).otherwise(F.array().cast("array<int>")), "head": F.coalesce(F.col("text").startswith(OFFICIAL_HEADS[0]) | F.col("text").startswith(OFFICIAL_HEADS[1]), F.lit(False))}
+
+
+def of_para() -> list[Column]:
+    return [F.count_if("even").alias("b"), F.array_distinct(F.flatten(F.collect_list("lens"))).alias("lens"), F.bool_or("head").alias("head")]
+
+
+def para_kinds() -> Column:
+    """Kinds of a paragraph with its sentences in ``s``."""
+    clean = F.array_join(F.transform("s", lambda x: x["clean"]), "")
+    return _shape(clean, F.length(clean), F.col("b"), F.col("n"), F.col("lens"))
+
+
+def of_doc() -> list[Column]:
+    return [F.sum("b").alias("b"), F.array_distinct(F.flatten(F.collect_list("lens"))).alias("lens"), F.bool_or("head").alias("head")]
+
+
+def kinds(genre: bool = False, officialese: bool = True) -> dict[str, Column]:
+    """kinds in order, each once, non_chinese and has_content of a row of ``facts``.
 
     Whole-document kinds come first, then those of single paragraphs, genre,
     officialese and non-chinese.
     """
-    parts = F.filter(F.split("text", "[，、；]"), lambda p: F.trim(bare(p)) != "")
-    lens = F.transform(parts, lambda p: F.length(bare(p)))
-    even = (F.size(parts) == 2) & F.forall(lens, lambda x: x.between(*CLAUSE))
-    by_para = sents.withColumn("even", even).withColumn("lens", F.when(even, lens).otherwise(F.array().cast("array<int>"))).groupBy("doc_id", "para").agg(
-        F.array_sort(F.collect_list(F.struct("unit", "pos", "text", "clean"))).alias("s"), F.count("*").alias("n"), F.count_if("even").alias("b"), F.array_distinct(F.flatten(F.collect_list("lens"))).alias("lens"),
-    )
-    by_para = by_para.withColumn("clean", F.array_join(F.transform("s", lambda x: x["clean"]), ""))
-    by_para = by_para.withColumn("kinds", _shape(F.col("clean"), F.length("clean"), F.col("b"), F.col("n"), F.col("lens")))
-    heads = F.exists("s", lambda x: F.lit(False) if not OFFICIAL_HEADS else x["text"].startswith(OFFICIAL_HEADS[0]) | x["text"].startswith(OFFICIAL_HEADS[1]))
-    ordered = F.array_sort(F.collect_list(F.struct("para", "clean", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("raw"), "kinds")))
-    doc = by_para.withColumn("head", heads).groupBy("doc_id").agg(ordered.alias("p"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.array_distinct(F.flatten(F.collect_list("lens"))).alias("lens"), F.bool_or("head").alias("head"))
-    doc = doc.withColumn("clean", F.array_join(F.transform("p", lambda x: x["clean"]), "")).withColumn("raw", F.array_join(F.transform("p", lambda x: x["raw"]), ""))
     n = F.length("clean")
     long = n >= LEAST_CHARS
     official = long & (F.col("raw").rlike("|".join(OFFICIAL)) | F.col("head"))
     foreign = long & (F.length(F.regexp_replace("clean", "[^一-鿿]", "")) / n < CJK_MIN)
     when = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    kinds = [_shape(F.col("clean"), n, F.col("b"), F.col("n"), F.col("lens")), F.flatten(F.transform("p", lambda x: x["kinds"]))]
+    found = [_shape(F.col("clean"), n, F.col("b"), F.col("n_sentences"), F.col("lens")), F.flatten(F.transform("p", lambda x: x["kinds"]))]
     if genre:
-        kinds += [when(long & F.col("raw").contains(phrase), k) for k, phrase in GENRES.items()]
+        found += [when(long & F.col("raw").contains(phrase), k) for k, phrase in GENRES.items()]
     if officialese:
-        kinds.append(when(official, "officialese"))
-    kinds.append(when(foreign, "non-chinese"))
-    return doc.select("doc_id", F.array_distinct(F.concat(*kinds)).alias("kinds"), foreign.alias("non_chinese"), F.col("raw").rlike("[0-9A-Za-z一-鿿]").alias("has_content"))
+        found.append(when(official, "officialese"))
+    found.append(when(foreign, "non-chinese"))
+    return {"kinds": F.array_distinct(F.concat(*found)), "non_chinese": foreign, "has_content": F.col("raw").rlike("[0-9A-Za-z一-鿿]")}
+
+
+def domain_flags(facts: DataFrame, genre: bool = False, officialese: bool = True) -> DataFrame:
+    """(doc_id, kinds, non_chinese, has_content) of rows of ``facts`` with flags."""
+    return facts.withColumns(kinds(genre, officialese)).select("doc_id", "kinds", "non_chinese", "has_content")

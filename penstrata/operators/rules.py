@@ -6,57 +6,29 @@ prepares each once; a non-literal pattern column would be compiled per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penstrata.functions.text import scaled
-from penstrata.operators.segment import ZH, Config, has_content, sentences
-from penstrata.operators.stats import doc_stats
+from penstrata.operators.facts import facts, gated_found, per_rule
+from penstrata.operators.segment import ZH, Config
+from penstrata.operators.stats import stats_of
 from penstrata.packs import Pack, Rule
 
-#: Characters of a one-sentence paragraph that the shape rule takes for a stamp.
-SHAPE_CHARS = 40
 SEVERITY_RANK = {"high": 2, "medium": 1, "low": 0}
 
 
-def java(pattern: str) -> str:
-    """A pattern of a pack in Java's dialect."""
-    return pattern
-
-
-def _matches(rule: Rule, text: Column) -> Column:
-    """First matches of the rule's patterns, in order; patterns without one are left out."""
-    one = [F.when(text.rlike(java(p)), F.regexp_extract(text, java(p), 0)) for p in rule.patterns]
-    return F.filter(F.array(*one), lambda m: m.isNotNull())
-
-
-def rule_hits(sents: DataFrame, pack: Pack) -> DataFrame:
-    """(doc_id, para, unit, pos, rule_ord, rule_id, severity, weight, sentence, matches), ungated.
+def hits_of(rows: DataFrame, pack: Pack) -> DataFrame:
+    """(doc_id, para, unit, pos, rule_ord, rule_id, severity, weight, sentence, matches, is_hint) of rows of ``facts``.
 
     A row for each rule and sentence with content, and for each shape rule
     and paragraph of one short sentence.
     """
-    rules = [(i, r) for i, r in enumerate(pack.rules) if r.scope == "sentence"]
-    kind = "struct<rule_ord: int, rule_id: string, severity: string, weight: double, matches: array<string>>"
-    hit = lambda i, r, m: F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"), m.alias("matches")).cast(kind)
-    out = sents.where(has_content(F.col("text")))
-    found = [hit(i, r, _matches(r, F.col("text"))) for i, r in rules]
-    hits = out.select("doc_id", "para", "unit", "pos", F.col("text").alias("sentence"), F.explode(F.filter(F.array(*found), lambda h: F.size(h["matches"]) > 0)).alias("h")) if found else None
-    shapes = [(i, r) for i, r in enumerate(pack.rules) if r.scope == "shape"]
-    if shapes:
-        by = sents.where("kind = 'para'").groupBy("doc_id", "para").agg(F.count("*").alias("n"), F.first("unit").alias("unit"), F.first("pos").alias("pos"), F.first("text").alias("sentence"))
-        one = by.where((F.col("n") == 1) & (F.length("sentence") <= SHAPE_CHARS) & has_content(F.col("sentence")))
-        made = one.select("doc_id", "para", "unit", "pos", "sentence", F.explode(F.array(*[hit(i, r, F.array(F.col("sentence"))) for i, r in shapes])).alias("h"))
-        hits = made if hits is None else hits.unionByName(made)
-    if hits is None:
-        raise ValueError(f"{pack.name} has no rule for sentences")
-    return hits.select("doc_id", "para", "unit", "pos", "h.rule_ord", "h.rule_id", "h.severity", "h.weight", "sentence", "h.matches")
-
-
-def gated(hits: DataFrame) -> DataFrame:
-    """``hits`` with is_hint: a low rule that hits once in a document accuses nothing."""
-    n = F.count("*").over(Window.partitionBy("doc_id", "rule_id"))
-    return hits.withColumn("is_hint", (F.col("severity") == "low") & (n == 1))
+    return rows.select("doc_id", F.explode(gated_found(pack)).alias("h")).select("doc_id", "h.*")
+
+
+def rule_hits(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
+    """All hits of documents, findings and hints alike."""
+    return hits_of(facts(docs, pack, config=config), pack)
 
 
 def threshold_of(rule: Rule, n_chars: Column) -> Column:
@@ -67,29 +39,35 @@ def threshold_of(rule: Rule, n_chars: Column) -> Column:
     return out
 
 
-def doc_findings(stats: DataFrame, pack: Pack) -> DataFrame:
-    """(doc_id, rule_ord, rule_id, severity, metric, value, threshold) of document rules that hold; comparison is strict."""
+_DOC = "array<struct<rule_ord: int, rule_id: string, severity: string, metric: string, value: double, threshold: double>>"
+
+
+def doc_rules(pack: Pack) -> Column:
+    """Document rules that hold for a row of statistics; comparison is strict."""
     made = []
     for i, r in enumerate(pack.rules):
         if r.scope == "doc":
             value, limit = F.col(r.metric), threshold_of(r, F.col("n_chars"))
             holds = (F.col("n_sentences") >= r.min_sentences) & (value > limit if r.compare == "above" else value < limit)
             made.append(F.when(holds, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.metric).alias("metric"), value.alias("value"), limit.alias("threshold"))))
-    if not made:
-        return stats.select("doc_id").where("false").selectExpr("doc_id", "0 AS rule_ord", "'' AS rule_id", "'' AS severity", "'' AS metric", "0D AS value", "0D AS threshold")
-    return stats.select("doc_id", F.explode(F.filter(F.array(*made), lambda h: h.isNotNull())).alias("h")).select("doc_id", "h.*")
+    return F.array_compact(F.array(*made)).cast(_DOC) if made else F.array().cast(_DOC)
+
+
+def doc_findings(stats: DataFrame, pack: Pack) -> DataFrame:
+    """(doc_id, rule_ord, rule_id, severity, metric, value, threshold) of document rules that hold."""
+    return stats.select("doc_id", F.explode(doc_rules(pack)).alias("h")).select("doc_id", "h.*")
 
 
 def findings(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
     """All findings and hints, document rules with para -1, and ``ord``, the order of a report: severity, place, first hit of the rule."""
-    sents = sentences(docs, config)
-    hits = gated(rule_hits(sents, pack)).select("doc_id", "para", "unit", "pos", "rule_ord", "rule_id", "severity", "weight", "sentence", "matches", "is_hint")
-    whole = doc_findings(doc_stats(docs, pack.lexicon, config), pack)
-    text = F.concat("metric", F.lit("="), F.format_string("%.3f", "value"), F.lit(" ("), F.col("threshold").cast("string"), F.lit(")"))
-    doc = whole.select("doc_id", F.lit(-1).alias("para"), F.lit(-1).alias("unit"), F.lit(-1).alias("pos"), "rule_ord", "rule_id", "severity", F.lit(0.0).alias("weight"), F.lit("").alias("sentence"), F.array(text).alias("matches"), F.lit(False).alias("is_hint"))
-    rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
-    order = Window.partitionBy("doc_id").orderBy(F.desc(rank), "para", "unit", "pos", "rule_ord")
-    return hits.unionByName(doc).withColumn("ord", F.row_number().over(order))
+    rows = stats_of(facts(docs, pack, config=config), pack.lexicon, "found").withColumn("whole", doc_rules(pack))
+    rank = lambda s: F.when(s == "high", -2).when(s == "medium", -1).otherwise(0)
+    fields = ("para", "unit", "pos", "rule_ord", "rule_id", "severity", "weight", "sentence", "matches", "is_hint")
+    told = lambda h: F.array(F.concat(h["metric"], F.lit("="), F.format_string("%.3f", h["value"]), F.lit(" ("), h["threshold"].cast("string"), F.lit(")")))
+    none = F.lit(-1)
+    local = F.transform(gated_found(pack), lambda h: F.struct(rank(h["severity"]).alias("rank"), *[h[f].alias(f) for f in fields]))
+    whole = F.transform("whole", lambda h: F.struct(rank(h["severity"]).alias("rank"), none.alias("para"), none.alias("unit"), none.alias("pos"), h["rule_ord"].alias("rule_ord"), h["rule_id"].alias("rule_id"), h["severity"].alias("severity"), F.lit(0.0).alias("weight"), F.lit("").alias("sentence"), told(h).alias("matches"), F.lit(False).alias("is_hint")))
+    return rows.select("doc_id", F.posexplode(F.array_sort(F.concat(local, whole))).alias("ord", "h")).select("doc_id", *[f"h.{f}" for f in fields], (F.col("ord") + 1).alias("ord"))
 
 
 def at_least(found: DataFrame, severity: str) -> DataFrame:
@@ -98,18 +76,12 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(F.col("severity").isin(keep))
 
 
-def hit_sums(hits: DataFrame) -> DataFrame:
-    """(doc_id, weight) summed over findings and hints alike."""
-    return hits.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
-
-
-def para_heat(sents: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, para, n_sents, density, level, excerpt) of paragraphs with a hit."""
-    size = sents.groupBy("doc_id", "para").agg(F.count("*").alias("n_sents"), F.min_by("text", F.struct("unit", "pos")).alias("head"))
-    hot = hits.groupBy("doc_id", "para").agg(F.sum("weight").alias("w"))
+def para_heat(rows: DataFrame, pack: Pack) -> DataFrame:
+    """(doc_id, para, n_sents, density, level, excerpt) of paragraphs with a hit, of rows of ``facts``."""
+    weights = per_rule(pack, "weight")
+    weight = lambda q: F.aggregate(F.filter("found", lambda h: h["para"] == q["para"]), F.lit(0.0), lambda t, h: t + F.element_at(weights, h["rule_ord"] + 1))
+    hot = F.transform("p", lambda q: F.struct(q["para"].alias("para"), F.size(q["s"]).cast("long").alias("n_sents"), weight(q).alias("w"), F.get(q["s"], F.lit(0))["text"].alias("head")))
+    rows = rows.select("doc_id", F.explode(F.filter(hot, lambda q: q["w"] > 0)).alias("q")).select("doc_id", "q.*")
     density = F.col("w") / F.col("n_sents")
     level = F.when(density >= 1.0, "high").when(density >= 0.5, "medium").otherwise("low")
-    return size.join(hot, ["doc_id", "para"]).select("doc_id", "para", "n_sents", density.alias("density"), level.alias("level"), F.substring("head", 1, 16).alias("excerpt"))
-
-
-__all__ = ["at_least", "doc_findings", "findings", "gated", "hit_sums", "para_heat", "rule_hits", "scaled", "threshold_of"]
+    return rows.select("doc_id", "para", "n_sents", density.alias("density"), level.alias("level"), F.substring("head", 1, 16).alias("excerpt"))

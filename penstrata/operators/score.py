@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penstrata.operators.domain import domain_flags
-from penstrata.operators.rules import gated, hit_sums, para_heat, rule_hits
-from penstrata.operators.segment import ZH, Config, sentences
-from penstrata.operators.stats import doc_stats
+from penstrata.operators.domain import kinds
+from penstrata.operators.facts import facts, gated_found
+from penstrata.operators.rules import doc_rules
+from penstrata.operators.segment import ZH, Config
+from penstrata.operators.stats import stats_of
 from penstrata.packs import Pack
 
 LEAST_SENTENCES = 8
@@ -16,13 +17,21 @@ FEATURES = ("hit_density", "sentence_cv", "ttr", "ngram_repeat", "conn_density")
 
 
 def coefficient(scoring: dict, name: str, n_chars: Column) -> Column:
-    """Of the last tier whose least length is reached, else of the whole model."""
+    """Of the last tier whose least length is reached, else of the whole model; of the genre's own model where there is one."""
     out = F.lit(scoring.get(name))
     for t in scoring.get("tiers", []):
         out = F.when(n_chars >= t["min_chars"], F.lit(t.get(name))).otherwise(out)
+    for kind, model in scoring.get("genres", {}).items():
+        if not model.get("suppress"):
+            out = F.when(F.col("genre") == kind, F.lit(model.get(name))).otherwise(out)
     return out.cast("double")
 
 
+def genre_of(scoring: dict) -> Column:
+    """The first kind that the model has a word on, or null."""
+    return F.get(F.filter("kinds", lambda k: k.isin(list(scoring.get("genres", {})))), F.lit(0)) if scoring.get("genres") else F.lit(None).cast("string")
+
+
 def scored(rows: DataFrame, pack: Pack) -> DataFrame:
     """``rows`` of statistics and hit weight with index and one ``c_`` column per feature, all null where nothing is scored."""
     s = pack.scoring
@@ -41,17 +50,20 @@ def scored(rows: DataFrame, pack: Pack) -> DataFrame:
 
 
 def analyzed(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
-    """One row per document with sentences: statistics, counts of findings, index, components, domain kinds and a note."""
+    """One row per document with a block: statistics, counts of findings, the rules behind them (``rule_ids``, document rules among them), index, components, domain kinds and a note."""
     s = pack.scoring or {}
-    sents = sentences(docs, config)
-    hits = gated(rule_hits(sents, pack))
-    found = hits.groupBy("doc_id").agg(
-        F.sum("weight").alias("weight"), *[F.count_if((F.col("severity") == v) & ~F.col("is_hint")).alias(v) for v in ("high", "medium", "low")], F.count_if("is_hint").alias("hints"),
-    )
-    flags = domain_flags(sents, bool(s.get("genre_ood")), pack.name != "official")
-    rows = scored(doc_stats(docs, pack.lexicon, config).join(found, "doc_id", "left").na.fill(0, ["high", "medium", "low", "hints"]), pack)
-    rows = rows.join(flags, "doc_id", "left")
-    suppressed = F.coalesce(F.arrays_overlap("kinds", F.array(*[F.lit(g) for g in s.get("suppressed_genres", [])]).cast("array<string>")), F.lit(False))
+    rows = facts(docs, pack, config=config, flags=True)
+    rows = rows.withColumns(kinds(bool(s.get("genre_ood")), pack.name != "official")).withColumn("hits", gated_found(pack))
+    count = lambda f: F.size(F.filter("hits", f)).cast("long")
+    rows = rows.withColumn("weight", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["weight"]))
+    formal = lambda severity: count(lambda h: (h["severity"] == severity) & ~h["is_hint"])
+    rows = rows.withColumns({v: formal(v) for v in ("high", "medium", "low")}).withColumn("hints", count(lambda h: h["is_hint"]))
+    local = F.transform(F.filter("hits", lambda h: ~h["is_hint"]), lambda h: h["rule_id"])
+    rows = rows.withColumn("rule_ids", local)
+    rows = stats_of(rows, pack.lexicon, "weight", "high", "medium", "low", "hints", "rule_ids", "kinds", "non_chinese", "has_content")
+    rows = rows.withColumn("rule_ids", F.array_sort(F.array_union("rule_ids", F.transform(doc_rules(pack), lambda h: h["rule_id"]))))
+    rows = scored(rows.withColumn("genre", genre_of(s)), pack)
+    suppressed = F.coalesce(F.col("genre").isin([k for k, v in s.get("genres", {}).items() if v.get("suppress")]), F.lit(False))
     no_text = ~F.coalesce("has_content", F.lit(False))
     foreign = F.coalesce("non_chinese", F.lit(False))
     note = F.when(no_text, "no valid text").when(foreign, "not Chinese").when(suppressed, "genre not calibrated")
@@ -77,5 +89,3 @@ def above(rows: DataFrame, limit: float) -> DataFrame:
     """What a gate at ``limit`` stops."""
     return rows.where(F.col("index") > limit)
 
-
-__all__ = ["above", "analyzed", "batch_summary", "coefficient", "components", "hit_sums", "para_heat", "scored"]

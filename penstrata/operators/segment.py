@@ -4,15 +4,13 @@ Lines are typed by built-in expressions, fences by a running sum and blocks
 as islands of equal kinds, in windows over a document's lines; rows stay
 dealt by doc_id from there on, so that what follows by document needs no
 further shuffle. Sentences are cut by one regular expression; quoted
-terminators are hidden first, by built-ins where only straight quotes occur,
-else by a function over Arrow batches.
+terminators are hidden first. All are built-in expressions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,45 +109,43 @@ def stripped(docs: DataFrame) -> DataFrame:
     return blocks(docs).groupBy("doc_id").agg(text.alias("text"))
 
 
-def _hide_by_depth(ends: str):
-    """Hides terminators inside nested or straight quotes; null passes."""
+def hidden(text: Column, ends: str) -> Column:
+    """``text`` with the terminators inside quotes replaced. Curly quotes nest, a straight one opens or closes all.
 
-    def hide(s: str) -> str:
-        out, depth, after = [], 0, False
-        for c in s:
-            if c in OPEN_QUOTES:
-                depth += 1
-            elif c in CLOSE_QUOTES:
-                depth = max(0, depth - 1)
-            elif c == '"':
-                depth = 0 if depth else 1
-            elif depth and c in ends:
-                c = chr(HIDDEN + ends.index(c))
-            out.append(c)
-        return "".join(out)
+    The text falls into quotes and runs between them; the depth runs along
+    these, which are few, and not along characters.
+    """
+    away = "".join(chr(HIDDEN + i) for i in range(len(ends)))
+    runs = F.regexp_extract_all(text, F.lit(f'[{OPEN_QUOTES}{CLOSE_QUOTES}"]|[^{OPEN_QUOTES}{CLOSE_QUOTES}"]+'), F.lit(0))
 
-    @F.pandas_udf("string")
-    def udf(s: pd.Series) -> pd.Series:
-        return s.map(hide, na_action="ignore")
+    def step(state: Column, run: Column) -> Column:
+        d = state["d"]
+        depth = F.when(run.isin(list(OPEN_QUOTES)), d + 1).when(run.isin(list(CLOSE_QUOTES)), F.greatest(d - 1, F.lit(0))).when(run == '"', F.when(d > 0, 0).otherwise(1)).otherwise(d)
+        return F.struct(depth.alias("d"), F.array_append(state["out"], F.when(d > 0, F.translate(run, ends, away)).otherwise(run)).alias("out"))
 
-    return udf
+    start = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(runs, start, step, lambda state: F.array_join(state["out"], ""))
 
 
 def split_sentences(text: Column, config: Config = ZH) -> Column:
     """The sentences of a unit as an array; a terminator inside quotes ends none."""
-    hidden = "".join(chr(HIDDEN + i) for i in range(len(config.ends)))
-    curly = text.rlike(f"[{OPEN_QUOTES}{CLOSE_QUOTES}]")
-    straight = F.array_join(F.transform(F.split(text, '"'), lambda x, i: F.when(i % 2 == 1, F.translate(x, config.ends, hidden)).otherwise(x)), '"')
-    shown = F.when(curly, _hide_by_depth(config.ends)(F.when(curly, text))).when(text.contains('"'), straight).otherwise(text)
+    away = "".join(chr(HIDDEN + i) for i in range(len(config.ends)))
+    shown = F.when(text.rlike(f'[{OPEN_QUOTES}{CLOSE_QUOTES}"]'), hidden(text, config.ends)).otherwise(text)
     e, a = config.ends.replace("]", r"\]"), ABSORBED + config.ends
     cut = F.regexp_extract_all(shown, F.lit(f"[^{e}]*[{e}][{a}]*|[^{e}]+"), F.lit(0))
-    return F.filter(F.transform(cut, lambda x: strip(F.translate(x, hidden, config.ends))), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: strip(F.translate(x, away, config.ends))), lambda x: x != "")
 
 
-def sentences(docs: DataFrame, config: Config = ZH) -> DataFrame:
-    """(doc_id, para, kind, unit, pos, text, clean): every sentence in place; ``clean`` is without punctuation."""
-    cut = units(docs, config).select("doc_id", "para", "kind", "unit", F.posexplode(split_sentences(F.col("text"), config)).alias("pos", "text"))
-    return cut.withColumn("clean", bare(F.col("text")))
+def sentences(docs: DataFrame, config: Config = ZH, outer: bool = False) -> DataFrame:
+    """(doc_id, para, kind, unit, pos, text, clean): every sentence in place; ``clean`` is without punctuation.
+
+    With ``outer`` a unit without a sentence keeps a row without pos and text,
+    for its block counts as a paragraph.
+    """
+    if not config.markdown:  # dealt by document before texts fall into rows; with Markdown the windows over lines do it
+        docs = docs.repartition("doc_id")
+    cut = (F.posexplode_outer if outer else F.posexplode)(split_sentences(F.col("text"), config)).alias("pos", "text")
+    return units(docs, config).select("doc_id", "para", "kind", "unit", cut).withColumn("clean", bare(F.col("text")))
 
 
 def has_content(c: Column) -> Column:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penstrata.functions.text import count_of, cv
-from penstrata.operators.segment import ZH, Config, sentences, units
+from penstrata.functions.text import cv
+from penstrata.operators.facts import facts
+from penstrata.operators.segment import ZH, Config
 
 MATTR_WINDOW = 100
 GRAM = 4
@@ -51,37 +52,21 @@ def _sums(clean: str):
     return udf(clean)
 
 
-def counts(docs: DataFrame, lexicon: list[str] = (), config: Config = ZH) -> DataFrame:
-    """The whole numbers behind all statistics, one row for each document with a block."""
-    s = sentences(docs, config)
-    words = sum((count_of(F.col("text"), w) for w in lexicon), F.lit(0)).cast("long")
-    n = F.length("clean").cast("long")
-    by_para = s.groupBy("doc_id", "para").agg(
-        F.count("*").alias("n"), F.sum(n).alias("len"), F.sum(n * n).alias("sq"), F.sum(words).alias("words"),
-        F.array_sort(F.collect_list(F.struct("unit", "pos", "text", "clean"))).alias("s"),
-    )
-    whole = units(docs, config).groupBy("doc_id").agg(F.countDistinct("para").alias("n_paragraphs"))
-    join = lambda field: F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("para", "s"))), lambda p: F.transform(p["s"], lambda x: x[field]))), "")
-    doc = by_para.groupBy("doc_id").agg(
-        F.sum("n").alias("n_sentences"), F.sum("len").alias("n_chars"), F.sum("sq").alias("sum_sq"),
-        F.sum(F.col("len") * F.col("len")).alias("para_sq"), F.sum("words").alias("conn"), join("text").alias("raw"), join("clean").alias("clean"),
-    )
-    doc = whole.join(doc, "doc_id", "left").na.fill(0, ["n_sentences", "n_chars", "sum_sq", "para_sq", "conn"]).na.fill("", ["raw", "clean"])
-    double = count_of(F.col("raw"), "——")
-    dashes = double + (count_of(F.col("raw"), "—") - 2 * double)
-    return doc.withColumn("dashes", dashes).withColumn("w", _sums("clean")).select("doc_id", "n_paragraphs", "n_sentences", "n_chars", "sum_sq", "para_sq", "conn", "dashes", "w.*")
-
-
 def doc_stats(docs: DataFrame, lexicon: list[str] = (), config: Config = ZH) -> DataFrame:
     """doc_id, n_paragraphs, n_sentences, n_chars, sentence_cv, para_len_cv, ttr, conn_density, ngram_repeat, dash_density, avg_sentence_len.
 
     What cannot be judged is null, never NaN. A document without a block has no row.
     """
-    c = counts(docs, lexicon, config)
+    return stats_of(facts(docs, lexicon=lexicon, config=config), lexicon)
+
+
+def stats_of(c: DataFrame, lexicon: list[str] = (), *more: str) -> DataFrame:
+    """The statistics of rows of ``facts``, and their columns ``more``."""
+    c = c.withColumn("w", _sums("clean")).select("*", "w.*")
     n = F.col("n_sentences").cast("double")
     w = F.least(F.col("tokens"), F.lit(MATTR_WINDOW)).cast("double")
     return c.select(
-        "doc_id", "n_paragraphs", "n_sentences", "n_chars",
+        "doc_id", "n_paragraphs", "n_sentences", "n_chars", *more,
         cv(F.col("n_sentences"), F.col("n_chars"), F.col("sum_sq")).alias("sentence_cv"),
         cv(F.col("n_paragraphs"), F.col("n_chars"), F.col("para_sq")).alias("para_len_cv"),
         F.when(F.col("tokens") > 0, F.col("window_sum") / (w * (F.col("tokens") - w + 1))).alias("ttr"),

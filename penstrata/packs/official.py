@@ -60,6 +60,6 @@ SCORING = {
     "p50": 4,
     "p90": 58,
     "genre_ood": True,
-    "suppressed_genres": ['issuance-notice', 'approval-reply'],
+    "genres": {"issuance-notice": {"suppress": True}, "approval-reply": {"suppress": True}},
     "tiers": [],
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from penstrata.functions.text import BARE, PUNCTUATION, WS
 from penstrata.operators import domain, segment
 from penstrata.packs import Pack, load
-from penstrata.sources.synthetic import BANK, MARKDOWN
+from penstrata.sources.synthetic import BANK, EVERY, MARKDOWN, SPECIAL
 
 
 def lit(s: str) -> str:
@@ -16,12 +16,25 @@ def arr(xs: list[str]) -> str:
     return "[" + ", ".join(map(lit, xs)) + "]"
 
 
+_CJK = r"[\x{4e00}-\x{9fa5}]"
+#: The one pattern with a lookahead: the third item of eight characters may not stand before 等, a shorter one ends where it must.
+_TRIAD = r"[\u4e00-\u9fa5]{2,8}[、][\u4e00-\u9fa5]{2,8}[、][\u4e00-\u9fa5]{2,8}(?!等)"
+_TRIAD_RE2 = f"({_CJK}{{2,8}}、{_CJK}{{2,8}}、{_CJK}{{8}})(?:[^等]|$)|({_CJK}{{2,8}}、{_CJK}{{2,8}}、{_CJK}{{2,7}})(?:[^等]|$)"
+
+
 def re2(pattern: str) -> str:
-    """A pattern of a pack in RE2's dialect. The one lookahead is left out: none of the sentences here needs it."""
-    return pattern.replace("(?!等)", "").replace("\\u4e00", "\\x{4e00}").replace("\\u9fa5", "\\x{9fa5}")
+    """A pattern of a pack in RE2's dialect."""
+    return _TRIAD_RE2 if pattern == _TRIAD else pattern
+
+
+def first_match(text: str, pattern: str) -> str:
+    """The first match of a pattern of a pack, or null."""
+    p = lit(re2(pattern))
+    found = f"coalesce(nullif(regexp_extract({text}, {p}, 1), ''), regexp_extract({text}, {p}, 2))" if pattern == _TRIAD else f"regexp_extract({text}, {p})"
+    return f"CASE WHEN regexp_matches({text}, {p}) THEN {found} END"
 
 
-def zh(name: str = "zh", step: int = 7) -> str:
+def zh(name: str = "zh", step: int = 7, between: str = "") -> str:
     """The synthetic documents, their paragraphs and sentences: ``{name}_doc``, ``{name}_para``, ``{name}_sent``."""
     return f"""
 {name}_item AS (
@@ -30,21 +43,33 @@ def zh(name: str = "zh", step: int = 7) -> str:
             '{{q}}', CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR)) AS s
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), {name}_doc AS (
-    SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY ok) AS text
-    FROM (SELECT doc_id, ok, string_agg(s, '' ORDER BY ln, s) AS p FROM {name}_item GROUP BY doc_id, ok) GROUP BY doc_id
+    SELECT doc_id, CASE WHEN doc_id % {EVERY} < {len(SPECIAL)} THEN ({arr(SPECIAL)})[CAST(doc_id % {EVERY} + 1 AS INTEGER)] ELSE string_agg(p, chr(10) || chr(10) ORDER BY ok) END AS text
+    FROM (SELECT doc_id, ok, string_agg(s, {lit(between)} ORDER BY ln, s) AS p FROM {name}_item GROUP BY doc_id, ok) GROUP BY doc_id
 ), {name}_para AS (
     SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS para, unnest(ps) AS p
     FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM {name}_doc)
 ), {name}_sent AS ({cut_sentences(f"SELECT doc_id, para, p FROM {name}_para", segment.ENDS)})"""
 
 
+def hidden(p: str, ends: str, away: str) -> str:
+    """``p`` with the terminators inside quotes replaced: a fold over runs, whose state begins with the depth as a character."""
+    o, c = segment.OPEN_QUOTES, segment.CLOSE_QUOTES
+    listed = lambda q: ", ".join(lit(x) for x in q)
+    return f"""substr(list_reduce(list_prepend('0', regexp_extract_all({p}, {lit(f'[{o}{c}"]|[^{o}{c}"]+')})), lambda a, x: CASE
+        WHEN x IN ({listed(o)}) THEN chr(ascii(a) + 1) || substr(a, 2) || x
+        WHEN x IN ({listed(c)}) THEN chr(greatest(48, ascii(a) - 1)) || substr(a, 2) || x
+        WHEN x = '"' THEN CASE WHEN ascii(a) > 48 THEN '0' ELSE '1' END || substr(a, 2) || x
+        WHEN ascii(a) > 48 THEN a || translate(x, {lit(ends)}, {lit(away)}) ELSE a || x END), 2)"""
+
+
 def cut_sentences(source: str, ends: str) -> str:
-    """(doc_id, para, pos, text, clean, n) from (doc_id, para, p) without quotes."""
+    """(doc_id, para, pos, text, clean, n) from (doc_id, para, p)."""
     e, a = ends, segment.ABSORBED + ends
+    away = "".join(chr(segment.HIDDEN + i) for i in range(len(ends)))
     return f"""
     SELECT doc_id, para, pos, text, regexp_replace(text, {lit(BARE)}, '', 'g') AS clean, CAST(length(regexp_replace(text, {lit(BARE)}, '', 'g')) AS BIGINT) AS n
-    FROM (SELECT doc_id, para, CAST(unnest(range(len(ss))) AS INTEGER) AS pos, unnest(ss) AS text FROM (
-        SELECT doc_id, para, list_filter(list_transform(regexp_extract_all(p, {lit(f'[^{e}]*[{e}][{a}]*|[^{e}]+')}),
+    FROM (SELECT doc_id, para, CAST(unnest(range(len(ss))) AS INTEGER) AS pos, translate(unnest(ss), {lit(away)}, {lit(e)}) AS text FROM (
+        SELECT doc_id, para, list_filter(list_transform(regexp_extract_all({hidden("p", e, away)}, {lit(f'[^{e}]*[{e}][{a}]*|[^{e}]+')}),
             lambda x: regexp_replace(x, {lit(f'^{WS}+|{WS}+$')}, '', 'g')), lambda x: x <> '') AS ss
         FROM ({source})))"""
 
@@ -89,8 +114,8 @@ by_para AS (
         {cv("n_sentences", "n_chars", "sum_sq")} AS sentence_cv, {cv("n_paragraphs", "n_chars", "para_sq")} AS para_len_cv,
         CAST(window_sum AS DOUBLE) / (CAST(w AS DOUBLE) * (tokens - w + 1)) AS ttr, {conn} AS conn_density,
         CASE WHEN n_chars < 8 THEN 0.0 ELSE 1 - CAST(distinct_grams AS DOUBLE) / grams END AS ngram_repeat,
-        CAST({count_of("raw", "——")} + {count_of("raw", "—")} - 2 * {count_of("raw", "——")} AS DOUBLE) / n_sentences AS dash_density
-    FROM counts JOIN mattr USING (doc_id) JOIN gram USING (doc_id)
+        CAST({count_of("raw", "——")} + {count_of("raw", "—")} - 2 * {count_of("raw", "——")} AS DOUBLE) / n_sentences AS dash_density, CAST(n_chars AS DOUBLE) / n_sentences AS avg_sentence_len
+    FROM counts LEFT JOIN mattr USING (doc_id) JOIN gram USING (doc_id)
 )"""
 
 
@@ -99,7 +124,7 @@ def hits(pack: Pack, name: str = "zh", out: str = "hit") -> str:
     found = []
     for i, r in enumerate(pack.rules):
         if r.scope == "sentence":
-            one = ", ".join(f"CASE WHEN regexp_matches(text, {lit(re2(p))}) THEN regexp_extract(text, {lit(re2(p))}) END" for p in r.patterns)
+            one = ", ".join(first_match("text", p) for p in r.patterns)
             found.append(f"{{'rule_ord': {i}, 'rule_id': {lit(r.id)}, 'severity': {lit(r.severity)}, 'weight': CAST({r.weight} AS DOUBLE), 'matches': list_filter([{one}], lambda x: x IS NOT NULL)}}")
     shape = ""
     for i, r in enumerate(pack.rules):
@@ -131,32 +156,49 @@ def doc_rules(pack: Pack) -> str:
 
 
 def score(pack: Pack) -> str:
-    """``score``: parts and index."""
+    """``score``: parts, note and index; ``flag`` must be there, as must ``stats`` and ``hit``."""
     s = pack.scoring
 
     def coef(f: str) -> str:
         out = str(s.get(f, "NULL"))
         for t in s.get("tiers", []):
             out = f"CASE WHEN n_chars >= {t['min_chars']} THEN {t.get(f, 'NULL')} ELSE {out} END"
+        for kind, model in s.get("genres", {}).items():
+            out = out if model.get("suppress") else f"CASE WHEN genre = {lit(kind)} THEN {model.get(f, 'NULL')} ELSE {out} END"
         return f"CAST({out} AS DOUBLE)"
 
     features = ("hit_density", "sentence_cv", "ttr", "ngram_repeat", "conn_density")
+    if not s:
+        parts = "".join(f", CAST(NULL AS DOUBLE) AS c_{f}" for f in features)
+        return f"score AS (SELECT doc_id, n_sentences, n_chars{parts}, CAST(NULL AS DOUBLE) AS index, CASE WHEN NOT has_content THEN 'no valid text' WHEN non_chinese THEN 'not Chinese' WHEN n_sentences >= 8 THEN 'profile not calibrated' END AS note FROM stats JOIN flag USING (doc_id))"
     z = " + ".join([coef("intercept"), *(f"coalesce(c_{f}, 0.0)" for f in features)])
+    suppressed = " OR ".join(f"genre = {lit(k)}" for k, v in s.get("genres", {}).items() if v.get("suppress")) or "false"
+    genre = f"list_filter(kinds, lambda x: list_contains({arr(list(s['genres']))}, x))[1]" if s.get("genres") else "CAST(NULL AS VARCHAR)"
     return f"""
 weights AS (SELECT doc_id, sum(weight) AS weight FROM hit GROUP BY doc_id),
-feature AS (SELECT stats.*, coalesce(weight, 0.0) / n_sentences AS hit_density FROM stats LEFT JOIN weights USING (doc_id)),
-part AS (SELECT doc_id, n_sentences, n_chars, {', '.join(f'CASE WHEN n_sentences >= 8 THEN {coef(f)} * {f} END AS c_{f}' for f in features)} FROM feature),
-score AS (SELECT *, CASE WHEN n_sentences >= 8 THEN 100.0 / (1.0 + exp(-greatest(-30.0, least(30.0, {z})))) END AS index FROM part)"""
+genred AS (SELECT *, {genre} AS genre FROM flag),
+feature AS (
+    SELECT stats.*, coalesce(weight, 0.0) / n_sentences AS hit_density, CASE WHEN NOT has_content THEN 'no valid text' WHEN non_chinese THEN 'not Chinese' WHEN {suppressed} THEN 'genre not calibrated' END AS note, genre
+    FROM stats JOIN genred USING (doc_id) LEFT JOIN weights USING (doc_id)
+),
+part AS (SELECT doc_id, n_sentences, n_chars, note, {', '.join(f'CASE WHEN n_sentences >= 8 AND note IS NULL THEN {coef(f)} * {f} END AS c_{f}' for f in features)} FROM feature),
+score AS (SELECT *, CASE WHEN n_sentences >= 8 AND note IS NULL THEN 100.0 / (1.0 + exp(-greatest(-30.0, least(30.0, {z})))) END AS index FROM part)"""
 
 
-def flags() -> str:
-    """``flag``: kinds of the synthetic documents, outside the official profile."""
+def flags(genre: bool = False, officialese: bool = True) -> str:
+    """``flag``: kinds of the synthetic documents in order, each once."""
     def shape(clean: str, bal: str, n: str, lens: str) -> str:
         rate = lambda chars: f"(length({clean}) - length(translate({clean}, {lit(chars)}, ''))) / CAST(length({clean}) AS DOUBLE)"
         return f"""CASE WHEN length({clean}) >= 80 THEN list_filter([
             CASE WHEN {rate(domain.PARTICLES)} < {domain.DE_MAX} AND {rate(domain.STRONG)} >= {domain.STRONG_MIN} AND {rate(domain.LE)} < {domain.LE_MAX} THEN 'classical' END,
             CASE WHEN {bal} >= 4 AND {bal} / CAST({n} AS DOUBLE) >= 0.6 AND len(list_distinct({lens})) = 1 THEN 'verse' END], lambda x: x IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END"""
 
+    when = lambda c, kind: f"CASE WHEN length(clean) >= 80 AND ({c}) THEN ['{kind}'] ELSE CAST([] AS VARCHAR[]) END"
+    parts = [shape("clean", "b", "n", "lens"), "inner_kinds"]
+    parts += [when(f"contains(raw, {lit(phrase)})", k) for k, phrase in domain.GENRES.items()] if genre else []
+    parts += [when(f"regexp_matches(raw, {lit('|'.join(domain.OFFICIAL))}) OR head", "officialese")] if officialese else []
+    foreign = "length(clean) >= 80 AND length(regexp_replace(clean, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / CAST(length(clean) AS DOUBLE) < 0.3"
+    parts.append(when(foreign, "non-chinese"))
     return f"""
 clause AS (
     SELECT *, len(c) = 2 AND len(list_filter(c, lambda x: x BETWEEN 5 AND 9)) = 2 AS even FROM (
@@ -169,11 +211,10 @@ clause AS (
 flag_doc AS (
     SELECT doc_id, sum(n) AS n, sum(b) AS b, flatten(list(lens)) AS lens, string_agg(clean, '' ORDER BY para) AS clean, string_agg(raw, '' ORDER BY para) AS raw, bool_or(head) AS head, flatten(list(kinds ORDER BY para)) AS inner_kinds
     FROM flag_shape GROUP BY doc_id
+), flag_list AS (
+    SELECT doc_id, clean, raw, flatten([{", ".join(parts)}]) AS all_kinds FROM flag_doc
 ), flag AS (
-    SELECT doc_id, list_sort(list_distinct(list_concat({shape("clean", "b", "n", "lens")}, inner_kinds,
-        CASE WHEN length(clean) >= 80 AND (regexp_matches(raw, {lit('|'.join(domain.OFFICIAL))}) OR head) THEN ['officialese'] ELSE [] END,
-        CASE WHEN length(clean) >= 80 AND length(regexp_replace(clean, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) / CAST(length(clean) AS DOUBLE) < 0.3 THEN ['non-chinese'] ELSE [] END))) AS kinds
-    FROM flag_doc
+    SELECT doc_id, list_filter(all_kinds, lambda x, i: list_position(all_kinds, x) = i) AS kinds, {foreign} AS non_chinese, regexp_matches(raw, '[0-9A-Za-z\\x{{4e00}}-\\x{{9fff}}]') AS has_content FROM flag_list
 )"""
 
 
@@ -208,5 +249,3 @@ md_doc AS (
 def with_(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n" + select.strip()
 
-
-__all__ = ["BARE", "PUNCTUATION", "WS", "arr", "count_of", "cut_sentences", "cv", "doc_rules", "flags", "hits", "lit", "load", "md", "re2", "scaled", "score", "stats", "threshold", "with_", "zh"]

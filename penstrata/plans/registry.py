@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from penstrata.functions.text import mask_pii, page_text, scaled, sha_prefix
 from penstrata.operators import collect, compare, domain, evaluate, mining, perplexity, rewrite, rules, score, segment, stats
+from penstrata.operators.facts import facts
 from penstrata.packs import load
 from penstrata.plans import oracles as o
 from penstrata.plans import report
@@ -69,8 +70,9 @@ line AS (
 )"""
 
 
-def basic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.doc_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), config=segment.LATIN).where("n_sentences > 0").select("doc_id", "n_sentences", "n_chars", "sentence_cv", "ngram_repeat")
+def basic_stats(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return stats.doc_stats(docs.select("doc_id", "text"), config=segment.LATIN).where("n_sentences > 0").select("doc_id", "n_sentences", "n_chars", "sentence_cv", "ngram_repeat")
 
 
 @query(o.with_(_latin_sql(), select=f"SELECT doc_id, n_sentences, n_chars, {_sql_rounded(('sentence_cv', 'ngram_repeat'))} FROM basic_stats"))
@@ -98,13 +100,13 @@ def zh_sentences(spark, sf_dir):
     return segment.sentences(zh_docs(spark, sf_dir)).select("doc_id", "para", "pos", "text", "clean")
 
 
-@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), select=f"SELECT doc_id, n_paragraphs, n_sentences, n_chars, {_sql_rounded()} FROM stats"))
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), select=f"SELECT doc_id, n_paragraphs, n_sentences, n_chars, {_sql_rounded((*ROUNDED, 'avg_sentence_len'))} FROM stats"))
 def doc_stats_full(spark, sf_dir):
-    return _rounded(stats.doc_stats(zh_docs(spark, sf_dir), ACADEMIC.lexicon)).drop("avg_sentence_len")
+    return _rounded(stats.doc_stats(zh_docs(spark, sf_dir), ACADEMIC.lexicon), (*ROUNDED, "avg_sentence_len"))
 
 
 def _hits(spark, sf_dir, pack=GENERAL, step=7):
-    return rules.gated(rules.rule_hits(segment.sentences(zh_docs(spark, sf_dir, step)), pack))
+    return rules.rule_hits(zh_docs(spark, sf_dir, step), pack)
 
 
 @query(o.with_(o.zh(), o.hits(GENERAL), select="SELECT doc_id, para, pos, rule_id, array_to_string(matches, '|') AS matches FROM hit"))
@@ -143,23 +145,23 @@ def findings_ordered(spark, sf_dir):
 
 @query(o.with_(o.zh(), o.flags(), select="SELECT doc_id, array_to_string(kinds, ',') AS kinds FROM flag"))
 def domain_flags(spark, sf_dir):
-    found = domain.domain_flags(segment.sentences(zh_docs(spark, sf_dir)))
-    return found.select("doc_id", F.array_join(F.array_sort("kinds"), ",").alias("kinds"))
+    found = domain.domain_flags(facts(zh_docs(spark, sf_dir), flags=True))
+    return found.select("doc_id", F.array_join("kinds", ",").alias("kinds"))
 
 
 def _index(spark, sf_dir, pack=GENERAL, step=7):
     return score.analyzed(zh_docs(spark, sf_dir, step), pack)
 
 
-_SCORED = (o.zh(), o.stats([]), o.hits(GENERAL), o.score(GENERAL))
+_SCORED = (o.zh(), o.stats([]), o.hits(GENERAL), o.flags(), o.score(GENERAL))
 
 
-@query(o.with_(*_SCORED, select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score"))
+@query(o.with_(*_SCORED, select=f"SELECT doc_id, {o.scaled('index')} AS index, note FROM score"))
 def style_index(spark, sf_dir):
-    return _index(spark, sf_dir).select("doc_id", scaled(F.col("index")).alias("index"))
+    return _index(spark, sf_dir).select("doc_id", scaled(F.col("index")).alias("index"), "note")
 
 
-@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.hits(ACADEMIC), o.score(ACADEMIC), select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score"))
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.hits(ACADEMIC), o.flags(), o.score(ACADEMIC), select=f"SELECT doc_id, {o.scaled('index')} AS index FROM score"))
 def style_index_tiered(spark, sf_dir):
     return _index(spark, sf_dir, ACADEMIC).select("doc_id", scaled(F.col("index")).alias("index"))
 
@@ -174,8 +176,7 @@ SELECT doc_id, para, n_sents, {o.scaled('w / n_sents')} AS density, CASE WHEN w
     SELECT doc_id, para, count(*) AS n_sents, substr(arg_min(text, pos), 1, 16) AS excerpt FROM zh_sent GROUP BY doc_id, para)
 JOIN (SELECT doc_id, para, sum(weight) AS w FROM hit GROUP BY doc_id, para) USING (doc_id, para)"""))
 def para_heat(spark, sf_dir):
-    sents = segment.sentences(zh_docs(spark, sf_dir))
-    return rules.para_heat(sents, rules.rule_hits(sents, GENERAL)).withColumn("density", scaled(F.col("density")))
+    return rules.para_heat(facts(zh_docs(spark, sf_dir), GENERAL), GENERAL).withColumn("density", scaled(F.col("density")))
 
 
 _COUNTS = "sev AS (SELECT doc_id, count(*) FILTER (severity = 'high' AND NOT is_hint) AS high, count(*) FILTER (severity = 'medium' AND NOT is_hint) AS medium, count(*) FILTER (severity = 'low' AND NOT is_hint) AS low FROM hit GROUP BY doc_id)"
@@ -264,7 +265,9 @@ _LABELLED = "labelled AS (SELECT b.*, documents.lang, documents.source, labels.q
 
 def labelled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return basic_stats(spark, sf_dir).join(docs, "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    texts = table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")  # what has no label is not segmented
+    return basic_stats(spark, sf_dir, texts).join(docs, "doc_id").join(labels, "doc_id")
 
 
 def _sql_auroc(source: str, by: str, value: str) -> str:
@@ -366,22 +369,24 @@ def attacked(spark, sf_dir):
 
 # -- collection, drift, mining ------------------------------------------------
 
-_MONTH = "CASE WHEN doc_id % 4 < 2 THEN '2026-08' ELSE '2026-09' END"
+_MONTH = "CASE WHEN doc_id % 94 < 47 THEN '2026-08' ELSE '2026-09' END"
+#: Small groups, so that some drift.
+_PROFILE = "concat('p', doc_id % 47)"
 _SAMPLE_SQL = f"""
+found AS (SELECT doc_id, rule_id FROM hit WHERE NOT is_hint UNION SELECT doc_id, rule_id FROM whole),
 sample AS (
-    SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'general' ELSE 'essay' END AS profile, {_MONTH} AS month, CAST(round_even(index, 0) AS INTEGER) AS score, coalesce(f, CAST([] AS VARCHAR[])) AS findings
-    FROM score LEFT JOIN (SELECT doc_id, list_sort(list_distinct(list(rule_id))) AS f FROM hit WHERE NOT is_hint GROUP BY doc_id) USING (doc_id)
+    SELECT doc_id, {_PROFILE} AS profile, {_MONTH} AS month, CAST(round_even(index, 0) AS INTEGER) AS score, coalesce(f, CAST([] AS VARCHAR[])) AS findings
+    FROM score LEFT JOIN (SELECT doc_id, list_sort(list_distinct(list(rule_id))) AS f FROM found GROUP BY doc_id) USING (doc_id)
 ), twice AS (SELECT profile, unnest([month, '*']) AS month, score, findings FROM sample)"""
 
 
 def _samples(spark, sf_dir):
     """Scored documents with a profile and a month made of their ids."""
-    found = _hits(spark, sf_dir).where("not is_hint").groupBy("doc_id").agg(F.array_sort(F.collect_set("rule_id")).alias("findings"))
-    rows = _index(spark, sf_dir).select("doc_id", F.bround("index", 0).cast("int").alias("score")).join(found, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "general").otherwise("essay").alias("profile"), F.expr(_MONTH).alias("month"), "score", F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
+    rows = _index(spark, sf_dir).select("doc_id", F.bround("index", 0).cast("int").alias("score"), F.col("rule_ids").alias("findings"))
+    return rows.select("doc_id", F.expr(_PROFILE).alias("profile"), F.expr(_MONTH).alias("month"), "score", "findings")
 
 
-@query(o.with_(*_SCORED, _SAMPLE_SQL, select=f"""
+@query(o.with_(*_SCORED, o.doc_rules(GENERAL), _SAMPLE_SQL, select=f"""
 SELECT profile, month, count(*) AS n, {o.scaled('CAST(count(score) AS DOUBLE) / count(*)')} AS score_rate,
     list_sort(list(score) FILTER (score IS NOT NULL))[CAST(least(floor(count(score) * 0.5), count(score) - 1) AS INTEGER) + 1] AS p50,
     list_sort(list(score) FILTER (score IS NOT NULL))[CAST(least(floor(count(score) * 0.9), count(score) - 1) AS INTEGER) + 1] AS p90
@@ -390,25 +395,38 @@ def drift_groups(spark, sf_dir):
     return collect.drift_groups(_samples(spark, sf_dir)).withColumn("score_rate", scaled(F.col("score_rate")))
 
 
-@query(o.with_(*_SCORED, _SAMPLE_SQL, select=f"""
+@query(o.with_(*_SCORED, o.doc_rules(GENERAL), _SAMPLE_SQL, select=f"""
 SELECT profile, month, rule_id, {o.scaled('CAST(k AS DOUBLE) / n')} AS rate FROM (SELECT profile, month, rule_id, count(*) AS k FROM (SELECT profile, month, unnest(findings) AS rule_id FROM twice) GROUP BY ALL) JOIN (SELECT profile, month, count(*) AS n FROM twice GROUP BY ALL) USING (profile, month)"""))
 def drift_rules(spark, sf_dir):
     return collect.drift_rules(_samples(spark, sf_dir)).withColumn("rate", scaled(F.col("rate")))
 
 
-@query()
+def _sql_side(month: str, name: str) -> str:
+    g = "list_sort(list(score) FILTER (score IS NOT NULL))[CAST(least(floor(count(score) * {p}), count(score) - 1) AS INTEGER) + 1]"
+    return f"""{name} AS (SELECT profile, CAST(count(score) AS DOUBLE) / count(*) AS score_rate, {g.format(p=0.5)} AS p50, {g.format(p=0.9)} AS p90, count(*) AS n FROM sample WHERE month = '{month}' GROUP BY profile),
+{name}_rule AS (SELECT profile, rule_id, CAST(count(*) AS DOUBLE) / any_value(n) AS rate FROM (SELECT profile, unnest(findings) AS rule_id FROM sample WHERE month = '{month}') JOIN {name} USING (profile) GROUP BY profile, rule_id)"""
+
+
+@query(o.with_(*_SCORED, o.doc_rules(GENERAL), _SAMPLE_SQL, _sql_side("2026-08", "a"), _sql_side("2026-09", "b"), select=f"""
+SELECT profile, signal, {o.scaled('before')} AS before, {o.scaled('after')} AS after FROM (
+    SELECT profile, 'p50' AS signal, CAST(a.p50 AS DOUBLE) AS before, CAST(b.p50 AS DOUBLE) AS after FROM a JOIN b USING (profile) WHERE abs(b.p50 - a.p50) >= 15
+    UNION ALL SELECT profile, 'p90', a.p90, b.p90 FROM a JOIN b USING (profile) WHERE abs(b.p90 - a.p90) >= 15
+    UNION ALL SELECT profile, 'score_rate', a.score_rate, b.score_rate FROM a JOIN b USING (profile) WHERE abs(b.score_rate - a.score_rate) >= 0.2
+    UNION ALL SELECT profile, rule_id, coalesce(a_rule.rate, 0.0), b_rule.rate FROM b_rule JOIN a USING (profile) LEFT JOIN a_rule USING (profile, rule_id) WHERE abs(b_rule.rate - coalesce(a_rule.rate, 0.0)) >= 0.1)"""))
 def drift_signals(spark, sf_dir):
     rows = _samples(spark, sf_dir)
     g, r = collect.drift_groups(rows), collect.drift_rules(rows)
     old, new = (lambda df: df.where("month = '2026-08'").drop("month")), (lambda df: df.where("month = '2026-09'").drop("month"))
-    return collect.drift_signals(old(g), new(g), old(r), new(r), ["profile"])
+    return _rounded(collect.drift_signals(old(g), new(g), old(r), new(r), ["profile"]), ("before", "after"))
 
 
-@query(o.with_(*_SCORED, select=f"SELECT zh_doc.doc_id, text, substr(sha256(text), 1, 16) AS text_sha256, CAST(round_even(index, 0) AS INTEGER) AS score, n_chars FROM zh_doc JOIN score USING (doc_id)"))
+@query(o.with_(*_SCORED, o.doc_rules(GENERAL), _SAMPLE_SQL, select="""
+SELECT doc_id, text, substr(sha256(text), 1, 16) AS text_sha256, CAST(round_even(index, 0) AS INTEGER) AS score, array_to_string(findings, ',') AS findings, n_chars
+FROM (SELECT doc_id, replace(text, '13800138000', '【手机号】') AS text FROM zh_doc) JOIN score USING (doc_id) JOIN (SELECT doc_id, findings FROM sample) USING (doc_id)"""))
 def samples(spark, sf_dir):
     docs = zh_docs(spark, sf_dir)
-    out = collect.samples(docs, score.analyzed(docs, GENERAL), _hits(spark, sf_dir), "general", "2026-09")
-    return out.select("doc_id", "text", "text_sha256", "score", "n_chars")
+    out = collect.samples(docs, score.analyzed(docs, GENERAL), "general", "2026-09")
+    return out.select("doc_id", "text", "text_sha256", "score", F.array_join("findings", ",").alias("findings"), "n_chars")
 
 
 @query("""

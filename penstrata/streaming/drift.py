@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from penstrata.operators import rules, segment
+from penstrata.operators import facts, segment
 from penstrata.packs import Pack
 
 
 def live_hits(docs: DataFrame, pack: Pack) -> DataFrame:
     """Sentence hits of a stream of plain documents (doc_id, ts, text): stateless, line by line, ungated."""
     lines = docs.select("doc_id", "ts", F.posexplode(F.split("text", "\n")).alias("para", "line"))
-    s = lines.select("doc_id", "ts", "para", F.posexplode(segment.split_sentences(F.col("line"))).alias("pos", "text")).withColumn("unit", F.lit(0)).withColumn("kind", F.lit("para"))
-    found = [F.when(F.size(rules._matches(r, F.col("text"))) > 0, F.lit(r.id)) for r in pack.of_scope("sentence")]
-    hit = F.filter(F.array(*found), lambda x: x.isNotNull())
+    s = lines.select("doc_id", "ts", "para", F.posexplode(segment.split_sentences(F.col("line"))).alias("pos", "text"))
+    ids = facts.per_rule(pack, "id")
+    hit = F.transform(facts.sentence_hits(pack, F.col("text")), lambda h: F.element_at(ids, h["rule_ord"] + 1))
     return s.where(segment.has_content(F.col("text"))).select("doc_id", "ts", "para", "pos", F.explode(hit).alias("rule_id"))
 
 
