@@ -90,13 +90,29 @@ def mask_pii(c: Column) -> Column:
     return c
 
 
-def page_text(html: Column, least_cjk: int = 0) -> Column:
-    """Visible text of a page: scripts, styles, comments and tags go, block ends break lines, common entities are read."""
+#: Entities by name, with what they stand for.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&middot;", "·"), ("&amp;", "&"))
+#: Words of page furniture.
+FURNITURE = "版权所有|主办单位|承办单位|网站标识码|ICP备|公网安备|联系我们|网站地图|扫一扫|打印本页|关闭窗口"
+
+
+def page_text(html: Column, least_cjk: int = 0, furniture: bool = True) -> Column:
+    """Visible text of a page: scripts, styles, comments and tags go, block ends break lines, common entities are read.
+
+    With ``least_cjk`` only blocks of so many CJK characters stay; without
+    ``furniture`` those with a word of page furniture go.
+    """
     c = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->", " ")
     c = F.regexp_replace(c, r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br\s*/?>", "\n")
     c = F.regexp_replace(c, r"<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " ")))
-    keep = F.filter(lines, lambda x: (x != "") & (F.regexp_count(x, F.lit("[一-鿿]")) >= least_cjk))
+    keep = F.filter(lines, lambda x: (x != "") & (F.regexp_count(x, F.lit("[一-鿿]")) >= least_cjk) & (F.lit(furniture) | ~x.rlike(FURNITURE)))
     return F.array_join(keep, "\n")
+
+
+def page_links(html: Column) -> Column:
+    """Targets of a page's links in order, once each; places within the page and scripts are none."""
+    found = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'#][^\"']*)[\"']"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda x: ~F.lower(x).startswith("javascript:")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import mask_pii, sha_prefix
@@ -22,39 +22,90 @@ def samples(docs: DataFrame, rows: DataFrame, profile: str, month: str, label: s
     )
 
 
-def at_rank(values: str, p: float) -> Column:
-    """The value at position min(floor(n * p), n - 1) of the ascending values; null where there are none."""
-    a = F.array_sort(F.collect_list(values))
-    return F.when(F.size(a) > 0, F.element_at(a, (F.least(F.floor(F.size(a) * F.lit(p)), F.size(a) - 1) + 1).cast("int")))
+def bin_of(value: Column) -> Column:
+    """A bin that rises with the value, some 40 for each doubling: the same whoever computes it."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long")
+
+
+def below(h: DataFrame, by: list[str], value: str, n: str, name: str = "below") -> DataFrame:
+    """``h`` with the sum of ``n`` over all rows of the same ``by`` with a lesser ``value``.
+
+    Rows are summed inside bins of the value, bins by their totals, of which
+    there are few: a group with most rows is parted by value and never sorted
+    in one task.
+    """
+    binned = h.withColumn("_bin", bin_of(F.col(value).cast("double")))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_bin"]
+    totals = binned.groupBy(*keys).agg(F.sum(n).alias("_total")).withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    right = totals.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_start")
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return binned.withColumn("_inside", inside).join(right, same).withColumn(name, F.col("_start") + F.col("_inside")).select(*h.columns, name)
 
 
 def ranked_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The same percentiles by ranks, so that no group is gathered: a histogram by value, then its running total."""
-    h = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    run = h.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return run.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1), F.col(value))).alias(name) for name, p in shares.items()])
+    """(by…, n, known, percentiles): rows, rows with a value, and the value at position min(floor(known * p), known - 1) of the ascending ones, null where there are none.
+
+    By ranks over a histogram, so that no group is gathered.
+    """
+    h = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
+    h = h.withColumn("k", F.when(F.col(value).isNotNull(), F.col("c")).otherwise(0))
+    totals = h.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("k").alias("known"))
+    run = below(h.where(F.col(value).isNotNull()), by, value, "k")
+    right = totals.select(*[F.col(k).alias(f"_t_{k}") for k in by], "n", "known")
+    both = right.join(run, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in by] or F.lit(True), "left")
+    at = lambda p: F.least(F.floor(F.col("known") * F.lit(p)), F.col("known") - 1)
+    picks = [F.min(F.when((F.col("below") <= at(p)) & (at(p) < F.col("below") + F.col("k")), F.col(value))).alias(name) for name, p in shares.items()]
+    return both.groupBy(*[f"_t_{k}" for k in by]).agg(F.first("n").alias("n"), F.first("known").alias("known"), *picks).withColumnsRenamed({f"_t_{k}": k for k in by})
 
 
 def drift_groups(rows: DataFrame) -> DataFrame:
     """(profile, month, n, score_rate, p50, p90) by profile and by profile and month; month is ``*`` for a whole profile."""
     both = rows.select("profile", F.explode(F.array("month", F.lit("*"))).alias("month"), "score")
-    base = both.groupBy("profile", "month").agg(F.count("*").alias("n"), (F.count("score") / F.count("*")).alias("score_rate"))
-    return base.join(ranked_percentiles(both, ["profile", "month"], "score", {"p50": 0.5, "p90": 0.9}), ["profile", "month"], "left")
+    g = ranked_percentiles(both, ["profile", "month"], "score", {"p50": 0.5, "p90": 0.9})
+    return g.select("profile", "month", "n", (F.col("known") / F.col("n")).alias("score_rate"), "p50", "p90")
+
+
+def _rates(rows: DataFrame) -> DataFrame:
+    """Rates by rule; the row whose rule is null stands for all samples of its group, rate 1."""
+    both = rows.select("profile", F.explode(F.array("month", F.lit("*"))).alias("month"), F.explode(F.array_append(F.array_distinct("findings"), F.lit(None).cast("string"))).alias("rule_id"))
+    k = both.groupBy("profile", "month", "rule_id").agg(F.count("*").alias("k"))
+    n = F.max(F.when(F.col("rule_id").isNull(), F.col("k"))).over(Window.partitionBy("profile", "month"))  # a row per rule
+    return k.select("profile", "month", "rule_id", (F.col("k") / n).alias("rate"))
 
 
 def drift_rules(rows: DataFrame) -> DataFrame:
     """(profile, month, rule_id, rate): the share of samples with the rule, of ``rows(profile, month, findings)``."""
-    both = rows.select("profile", F.explode(F.array("month", F.lit("*"))).alias("month"), "findings")
-    n = both.groupBy("profile", "month").agg(F.count("*").alias("n"))
-    hits = both.select("profile", "month", F.explode(F.array_distinct("findings")).alias("rule_id")).groupBy("profile", "month", "rule_id").agg(F.count("*").alias("k"))
-    return hits.join(n, ["profile", "month"]).select("profile", "month", "rule_id", (F.col("k") / F.col("n")).alias("rate"))
-
-
-def drift_signals(old: DataFrame, new: DataFrame, old_rules: DataFrame, new_rules: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys…, signal, before, after) of all that moved further than allowed; rules from the new side only."""
-    both = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("score_rate", "p50", "p90")]).join(new.select(*keys, "score_rate", "p50", "p90"), keys)
-    moved = lambda c, most: both.where(F.abs(F.col(c) - F.col(f"o_{c}")) >= most).select(*keys, F.lit(c).alias("signal"), F.col(f"o_{c}").cast("double").alias("before"), F.col(c).cast("double").alias("after"))
-    rules = new_rules.select(*keys, "rule_id", F.col("rate").alias("after")).join(old.select(*keys), keys).join(old_rules.select(*keys, "rule_id", F.col("rate").alias("before")), [*keys, "rule_id"], "left")
-    rules = rules.withColumn("before", F.coalesce("before", F.lit(0.0))).where(F.abs(F.col("after") - F.col("before")) >= RULE_SHARE).select(*keys, F.col("rule_id").alias("signal"), "before", "after")
-    return moved("p50", POINTS).unionByName(moved("p90", POINTS)).unionByName(moved("score_rate", SCORE_SHARE)).unionByName(rules)
+    return _rates(rows).where("rule_id is not null")
+
+
+def drift_signals(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """(profile, signal, before, after) of all that moved further than allowed between two months of samples ``rows(profile, month, score, findings)``.
+
+    Profiles must have both months; a rule that the new month lacks is not
+    reported.
+    """
+    some = rows.where(F.col("month").isin(old, new))
+    at = lambda month, c: F.max(F.when(F.col("month") == month, F.col(c)))
+    values = ("score_rate", "p50", "p90")
+    g = drift_groups(some).groupBy("profile").agg(at(old, "n").alias("was"), at(new, "n").alias("now"), *[at(m, c).cast("double").alias(f"{p}_{c}") for c in values for m, p in ((old, "o"), (new, "n"))]).where("was > 0 and now > 0")
+    most = {"score_rate": SCORE_SHARE, "p50": POINTS, "p90": POINTS}
+    moved = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(f"o_{c}").alias("before"), F.col(f"n_{c}").alias("after"), F.lit(most[c]).alias("most")) for c in values]))
+    of_groups = g.select("profile", moved.alias("m")).select("profile", "m.*").where("abs(after - before) >= most").drop("most")
+    pairs = _rates(some).groupBy("profile", "rule_id").agg(at(old, "rate").alias("before"), at(new, "rate").alias("after"))
+    whole = F.max(F.col("rule_id").isNull() & F.col("before").isNotNull() & F.col("after").isNotNull()).over(Window.partitionBy("profile"))
+    of_rules = pairs.withColumn("whole", whole).where("whole and rule_id is not null and after is not null")
+    of_rules = of_rules.select("profile", F.col("rule_id").alias("signal"), F.coalesce("before", F.lit(0.0)).alias("before"), "after").where(F.abs(F.col("after") - F.col("before")) >= RULE_SHARE)
+    return of_groups.unionByName(of_rules)
+
+
+def save_baseline(rows: DataFrame, path: str) -> None:
+    """Statistics of samples, without any text, for a later comparison."""
+    drift_groups(rows).write.mode("overwrite").parquet(f"{path}/groups")
+    drift_rules(rows).write.mode("overwrite").parquet(f"{path}/rules")
+
+
+def load_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The groups and the rates of rules that ``save_baseline`` wrote."""
+    return spark.read.parquet(f"{path}/groups"), spark.read.parquet(f"{path}/rules")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstrata.operators.collect import ranked_percentiles
@@ -22,8 +22,14 @@ def ppl_stats(tokens: DataFrame, by: list[str]) -> DataFrame:
 def ppl_features(sents: DataFrame, least: int = 8) -> DataFrame:
     """(doc_id, n, median, p10) of ``sents(doc_id, ppl)`` for documents of ``least`` sentences or more; the values at ranks n // 2 and n // 10."""
     ranks = ranked_percentiles(sents, ["doc_id"], "ppl", {"median": 0.5, "p10": 0.1})
-    n = sents.where("ppl is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return n.join(ranks, "doc_id").where(F.col("n") >= least)
+    return ranks.where(F.col("known") >= least).select("doc_id", F.col("known").alias("n"), "median", "p10")
+
+
+def smoothest(sents: DataFrame, share: int = 10) -> DataFrame:
+    """(doc_id, pos, ppl, rank): of each document the ``1 / share`` of its sentences with the lowest perplexity, one at least."""
+    w = Window.partitionBy("doc_id")
+    ranked = sents.where("ppl is not null").withColumn("rank", F.row_number().over(w.orderBy("ppl", "pos"))).withColumn("n", F.count("*").over(w))
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / share))).select("doc_id", "pos", "ppl", "rank")
 
 
 def token_nll(sents: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:

@@ -6,7 +6,7 @@ prepares each once; a non-literal pattern column would be compiled per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penstrata.operators.facts import facts, gated_found, per_rule
@@ -76,6 +76,32 @@ def at_least(found: DataFrame, severity: str) -> DataFrame:
     return found.where(F.col("severity").isin(keep))
 
 
+def grouped(found: DataFrame) -> DataFrame:
+    """(doc_id, para, sentence, ord, top, rule_ids, times, explained): formal findings by sentence, as a report shows them.
+
+    A sentence that stands twice in a paragraph is one group. ``top`` is its
+    highest severity, ``rule_ids`` are its rules in order, once each, ``times``
+    counts all findings in it, and ``explained`` are the rules that the report
+    meets here first, document rules and those of earlier groups apart.
+    """
+    formal = found.where("not is_hint")
+    items = F.array_sort(F.collect_list(F.struct("ord", "rule_id")))
+    rank = F.max(F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0))
+    first = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("at", "ord")) == 1
+    at = F.min("ord").over(Window.partitionBy("doc_id", "para", "sentence"))
+    marked = formal.where("para >= 0").withColumn("at", at).withColumn("new", first)
+    g = marked.groupBy("doc_id", "para", "sentence").agg(F.min("ord").alias("ord"), rank.alias("rank"), items.alias("items"), F.array_sort(F.collect_list(F.when(F.col("new"), F.struct("ord", "rule_id")))).alias("fresh"))
+    ids = lambda c: F.array_distinct(F.transform(c, lambda x: x["rule_id"]))
+    top = F.when(F.col("rank") == 2, "high").when(F.col("rank") == 1, "medium").otherwise("low")
+    return g.select("doc_id", "para", "sentence", "ord", top.alias("top"), ids("items").alias("rule_ids"), F.size("items").alias("times"), ids("fresh").alias("explained"))
+
+
+def first_hints(found: DataFrame, most: int = 12) -> DataFrame:
+    """The first hints of each document, as many as a report lists."""
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    return found.where("is_hint").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def para_heat(rows: DataFrame, pack: Pack) -> DataFrame:
     """(doc_id, para, n_sents, density, level, excerpt) of paragraphs with a hit, of rows of ``facts``."""
     weights = per_rule(pack, "weight")

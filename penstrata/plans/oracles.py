@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from penstrata.functions.text import BARE, PUNCTUATION, WS
-from penstrata.operators import domain, segment
-from penstrata.packs import Pack, load
+from penstrata.operators import domain, rewrite, segment
+from penstrata.packs import Pack
 from penstrata.sources.synthetic import BANK, EVERY, MARKDOWN, SPECIAL
 
 
@@ -45,7 +45,12 @@ def zh(name: str = "zh", step: int = 7, between: str = "") -> str:
 ), {name}_doc AS (
     SELECT doc_id, CASE WHEN doc_id % {EVERY} < {len(SPECIAL)} THEN ({arr(SPECIAL)})[CAST(doc_id % {EVERY} + 1 AS INTEGER)] ELSE string_agg(p, chr(10) || chr(10) ORDER BY ok) END AS text
     FROM (SELECT doc_id, ok, string_agg(s, {lit(between)} ORDER BY ln, s) AS p FROM {name}_item GROUP BY doc_id, ok) GROUP BY doc_id
-), {name}_para AS (
+), {segments(name)}"""
+
+
+def segments(name: str) -> str:
+    """``{name}_para`` and ``{name}_sent`` of ``{name}_doc``."""
+    return f"""{name}_para AS (
     SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS para, unnest(ps) AS p
     FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM {name}_doc)
 ), {name}_sent AS ({cut_sentences(f"SELECT doc_id, para, p FROM {name}_para", segment.ENDS)})"""
@@ -181,7 +186,7 @@ feature AS (
     SELECT stats.*, coalesce(weight, 0.0) / n_sentences AS hit_density, CASE WHEN NOT has_content THEN 'no valid text' WHEN non_chinese THEN 'not Chinese' WHEN {suppressed} THEN 'genre not calibrated' END AS note, genre
     FROM stats JOIN genred USING (doc_id) LEFT JOIN weights USING (doc_id)
 ),
-part AS (SELECT doc_id, n_sentences, n_chars, note, {', '.join(f'CASE WHEN n_sentences >= 8 AND note IS NULL THEN {coef(f)} * {f} END AS c_{f}' for f in features)} FROM feature),
+part AS (SELECT doc_id, n_sentences, n_chars, note, genre, {', '.join(f'CASE WHEN n_sentences >= 8 AND note IS NULL THEN {coef(f)} * {f} END AS c_{f}' for f in features)} FROM feature),
 score AS (SELECT *, CASE WHEN n_sentences >= 8 AND note IS NULL THEN 100.0 / (1.0 + exp(-greatest(-30.0, least(30.0, {z})))) END AS index FROM part)"""
 
 
@@ -218,6 +223,84 @@ flag_doc AS (
 )"""
 
 
+STRIP = lambda x: f"regexp_replace({x}, {lit(f'^{WS}+|{WS}+$')}, '', 'g')"
+
+
+def advice(source: str, pack: Pack, keys: str, out: str = "advice") -> str:
+    """``{out}``: keys, text, action, rules, taste, candidate and direction of (keys, text) of ``source``."""
+    rules = pack.of_scope("sentence")
+    hit = {r.id: "(" + " OR ".join(f"regexp_matches(text, {lit(p)})" for p in r.patterns) + ")" for r in rules}
+    ids = ", ".join(f"CASE WHEN {hit[r.id]} THEN {lit(r.id)} END" for r in rules)
+    taste = "MAP {" + ", ".join(f"{lit(r.id)}: {lit(r.taste)}" for r in rules) + "}"
+    bare_paren = lambda x: STRIP(f"regexp_replace({x}, {lit(rf'[（(][^）)]*[）)]{WS}*$')}, '')")
+    has = lambda i: f"list_contains(rules, '{i}')"
+    m = lambda x, p: f"regexp_matches({x}, {lit(p)})"
+    manual = "len(list_filter(rules, lambda x: starts_with(x, 'T-MANUAL'))) > 0"
+    you = rewrite.YOU_WHO
+    plan = [
+        (manual, None, "delete: instructions are not kept"),
+        (has("T-VOICE-05"), None, "delete: say it in one sentence without reasons"),
+        (f"{has('T-VOICE-01')} AND {m('body', rewrite.COMFORT)}", None, "delete: comfort without a fact"),
+        (f"{has('T-VOICE-01')} AND two AND NOT {m('heads[1]', rewrite.EMPTY_HEAD)} AND NOT several", "heads[1] || '。'", ""),
+        (f"{has('T-VOICE-01')} AND two AND NOT {m('heads[1]', rewrite.EMPTY_HEAD)}", None, "drop the comforting half after the comma"),
+        (f"{has('T-VOICE-01')} AND two", None, "delete: the first half says nothing"),
+        (f"{has('T-VOICE-02')} AND two AND NOT several", "heads[1] || '。'", ""),
+        (f"{has('T-VOICE-02')} AND two", None, "drop the uplifting half, keep the action"),
+        (f"{has('T-VOICE-07')} AND you <> '' AND NOT {m('you', rewrite.SEVERAL)}", f"{STRIP('you')} || '。'", ""),
+        (f"{has('T-VOICE-11')} AND {STRIP('bare_of')} <> ''", "bare_of || '。'", ""),
+        (has("T-VOICE-11"), None, "delete: nothing but summing up"),
+        (f"{has('T-VOICE-10')} OR {has('T-VOICE-12')} OR {has('T-VOICE-04')}", None, "delete: slogans inform nobody"),
+        (f"{m('body', rewrite.NOUN)} OR {m('body', rewrite.MEME)}", None, "cut the mannered half, keep the fact"),
+        ("true", None, "cut the mannered half, keep the fact; add a concrete noun"),
+    ]
+    cases = " ".join(f"WHEN {c} THEN {{'candidate': {x or 'CAST(NULL AS VARCHAR)'}, 'direction': {lit(d)}}}" for c, x, d in plan)
+    flat = lambda x: f"regexp_replace({x}, {lit('[。！？～' + WS[1:-1] + ']')}, '', 'g')"
+    keep = "(important OR len(rules) = 0)"
+    return f"""
+{out}_rules AS (
+    SELECT *, list_filter([{ids}], lambda x: x IS NOT NULL) AS rules, {m('text', rewrite.IMPORTANT)} AS important, {bare_paren("regexp_replace(text, '[。！？～]+$', '')")} AS body FROM {source}
+), {out}_parts AS (
+    SELECT *, list_filter(list_transform(string_split_regex(body, '[，,]'), lambda x: {STRIP('x')}), lambda x: x <> '') AS heads, {m('body', rewrite.SEVERAL)} AS several,
+        regexp_extract(body, {lit(you)}, 1) AS you, regexp_replace(body, {lit(rewrite.SUMMING + WS + '*')}, '', 'g') AS bare_of
+    FROM {out}_rules
+), {out}_plan AS (
+    SELECT *, CASE {cases} END AS p FROM (SELECT *, len(heads) >= 2 AS two FROM {out}_parts)
+), {out}_told AS (
+    SELECT *, CASE WHEN same THEN NULL ELSE p.candidate END AS cand, CASE WHEN same AND p.direction = '' THEN 'cut the mannered half, keep the fact' ELSE p.direction END AS dir
+    FROM (SELECT *, p.candidate IS NOT NULL AND {flat('p.candidate')} = {flat('text')} AS same FROM {out}_plan)
+), {out} AS (
+    SELECT {keys}, text, rules, list_filter(list_transform(rules, lambda x: {taste}[x]), lambda x: x <> '') AS taste,
+        CASE WHEN {keep} THEN 'keep' WHEN {manual} OR (cand IS NULL AND starts_with(dir, 'delete')) THEN 'delete' WHEN cand IS NOT NULL OR length({bare_paren('text')}) > {rewrite.SUBSTANCE} THEN 'rewrite' ELSE 'delete' END AS action,
+        CASE WHEN NOT {keep} THEN cand END AS candidate,
+        CASE WHEN important THEN '' WHEN len(rules) = 0 THEN CASE WHEN {m('text', rewrite.NOUN)} OR {m('text', rewrite.MEME)} THEN '' ELSE 'if this is copy, add a concrete noun' END ELSE dir END AS direction
+    FROM {out}_told
+)"""
+
+
+def text_lines(name: str) -> str:
+    """``{name}_raw`` and ``{name}_line`` of ``{name}_doc``: lines from 1 on, those with text apart."""
+    return f"""
+{name}_raw AS (
+    SELECT doc_id, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {name}_doc)
+), {name}_line AS (
+    SELECT * FROM (SELECT doc_id, line, raw, {STRIP(f"regexp_replace(raw, {lit(f'^{WS}*[-*+]{WS}+')}, '')")} AS text FROM {name}_raw) WHERE text <> ''
+)"""
+
+
+def collapsed(sizes: list[int]) -> str:
+    """``kept`` of ``candidate(gram, df_1)``, one length after the other from the longest down."""
+    parts, done = [], []
+    for n in sorted(sizes, reverse=True):
+        if done:
+            longer = " UNION ALL ".join(f"SELECT * FROM kept_{x}" for x in done)
+            parts.append(f"over_{n} AS (SELECT gram, max(df_1) AS over FROM (SELECT unnest(list_distinct(list_transform(range(1, length(gram) - {n} + 2), lambda i: substr(gram, i, {n})))) AS gram, df_1 FROM ({longer})) GROUP BY gram)")
+            parts.append(f"kept_{n} AS (SELECT gram, df_1 FROM candidate LEFT JOIN over_{n} USING (gram) WHERE length(gram) = {n} AND (over IS NULL OR df_1 > 2 * over))")
+        else:
+            parts.append(f"kept_{n} AS (SELECT gram, df_1 FROM candidate WHERE length(gram) = {n})")
+        done.append(n)
+    return ",\n".join(parts) + ",\nkept AS (" + " UNION ALL ".join(f"SELECT * FROM kept_{x}" for x in done) + ")"
+
+
 def md() -> str:
     """``md_line``, typed lines of the Markdown view."""
     w = WS

@@ -7,14 +7,15 @@ queries read whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstrata.functions.text import mask_pii, page_text, scaled, sha_prefix
+from penstrata.functions.text import ENTITIES, mask_pii, page_links, page_text, scaled, sha_prefix
 from penstrata.operators import collect, compare, domain, evaluate, mining, perplexity, rewrite, rules, score, segment, stats
 from penstrata.operators.facts import facts
-from penstrata.packs import load
+from penstrata.packs import PROFILES, load
 from penstrata.plans import oracles as o
 from penstrata.plans import report
 from penstrata.session import table
@@ -149,6 +150,22 @@ def domain_flags(spark, sf_dir):
     return found.select("doc_id", F.array_join("kinds", ",").alias("kinds"))
 
 
+@query(o.with_(o.zh(), o.flags(genre=True, officialese=False), select="SELECT doc_id, array_to_string(kinds, ',') AS kinds FROM flag"))
+def domain_flags_official(spark, sf_dir):
+    found = domain.domain_flags(facts(zh_docs(spark, sf_dir), flags=True), genre=True, officialese=False)
+    return found.select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(o.with_(o.zh(), *[o.hits(load(p), out=f"hit_{p}") for p in PROFILES], select=" UNION ALL ".join(f"SELECT '{p}' AS pack, rule_id, is_hint, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hit_{p} GROUP BY rule_id, is_hint" for p in PROFILES)))
+def pack_hits(spark, sf_dir):
+    """Every rule of every pack."""
+    docs, out = zh_docs(spark, sf_dir), None
+    for p in PROFILES:
+        part = rules.rule_hits(docs, load(p)).groupBy("rule_id", "is_hint").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).select(F.lit(p).alias("pack"), "rule_id", "is_hint", "n", "n_docs")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _index(spark, sf_dir, pack=GENERAL, step=7):
     return score.analyzed(zh_docs(spark, sf_dir, step), pack)
 
@@ -166,6 +183,20 @@ def style_index_tiered(spark, sf_dir):
     return _index(spark, sf_dir, ACADEMIC).select("doc_id", scaled(F.col("index")).alias("index"))
 
 
+#: The official profile with a model of its own for one genre, made up for the query.
+GENRED = replace(OFFICIAL, scoring={**OFFICIAL.scoring, "genres": {"issuance-notice": {"suppress": True}, "approval-reply": {"intercept": 3.0, "hit_density": 1.5, "ttr": -4.0}}})
+
+
+@query(o.with_(o.zh(), o.stats(OFFICIAL.lexicon), o.hits(OFFICIAL), o.flags(genre=True, officialese=False), o.score(GENRED), select=f"SELECT doc_id, {o.scaled('index')} AS index, note FROM score"))
+def genre_scored(spark, sf_dir):
+    return _index(spark, sf_dir, GENRED).select("doc_id", scaled(F.col("index")).alias("index"), "note")
+
+
+@query(o.with_(o.zh(), o.stats([]), o.hits(PERSONAL), o.flags(), o.score(PERSONAL), select="SELECT doc_id, note FROM score"))
+def notes_unscored(spark, sf_dir):
+    return _index(spark, sf_dir, PERSONAL).select("doc_id", "note")
+
+
 @query(o.with_(*_SCORED, select=f"SELECT doc_id, feature, {o.scaled('c')} AS contribution FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, c_{f} AS c FROM score" for f in score.FEATURES) + ") WHERE c IS NOT NULL"))
 def components(spark, sf_dir):
     return score.components(_index(spark, sf_dir)).select("doc_id", "feature", scaled(F.col("contribution")).alias("contribution"))
@@ -209,22 +240,57 @@ def rule_diff(spark, sf_dir):
     return compare.rule_diff(found(7), found(11))
 
 
-@query()
+def _sql_components(step: int) -> str:
+    arms = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, c_{f} AS c FROM score" for f in score.FEATURES)
+    return o.with_(o.zh(step=step), o.stats([]), o.hits(GENERAL), o.flags(), o.score(GENERAL), select=f"SELECT * FROM ({arms}) WHERE c IS NOT NULL")
+
+
+@query(f"""
+SELECT doc_id, feature, {o.scaled('coalesce(a.c, 0.0)')} AS before, {o.scaled('coalesce(b.c, 0.0)')} AS after, {o.scaled('coalesce(b.c, 0.0) - coalesce(a.c, 0.0)')} AS delta
+FROM ({_sql_components(7)}) a FULL JOIN ({_sql_components(11)}) b USING (doc_id, feature)""")
 def component_diff(spark, sf_dir):
-    return compare.component_diff(score.components(_index(spark, sf_dir)), score.components(_index(spark, sf_dir, step=11)))
+    return _rounded(compare.component_diff(score.components(_index(spark, sf_dir)), score.components(_index(spark, sf_dir, step=11))), ("before", "after", "delta"))
 
 
-@query()
+@query(o.with_(o.zh("ln", 7, "\n"), o.text_lines("ln"), o.advice("ln_line", PERSONAL, "doc_id, line"), select="SELECT doc_id, line, text, action, array_to_string(rules, ',') AS rules, array_to_string(taste, ',') AS taste, candidate, direction FROM advice"))
 def rewrite_advice(spark, sf_dir):
-    return rewrite.advised(rewrite.text_lines(zh_docs(spark, sf_dir)), PERSONAL).drop("raw")
+    told = rewrite.advised(rewrite.text_lines(zh_docs(spark, sf_dir, between="\n")), PERSONAL)
+    return told.drop("raw").withColumns({c: F.array_join(c, ",") for c in ("rules", "taste")})
 
 
-@query()
+@query(o.with_(o.zh("ln", 7, "\n"), o.text_lines("ln"), o.advice("ln_line", PERSONAL, "doc_id, line"), select="""
+SELECT doc_id, string_agg(CASE WHEN action = 'rewrite' AND candidate IS NOT NULL THEN candidate ELSE raw END, chr(10) ORDER BY line) AS text
+FROM ln_raw LEFT JOIN (SELECT doc_id, line, action, candidate FROM advice) USING (doc_id, line) WHERE action IS NULL OR action <> 'delete' GROUP BY doc_id"""))
 def cleaned_draft(spark, sf_dir):
-    docs = zh_docs(spark, sf_dir)
+    docs = zh_docs(spark, sf_dir, between="\n")
     return rewrite.applied(docs, rewrite.advised(rewrite.text_lines(docs), PERSONAL))
 
 
+_ORDERED = """
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, para, pos, rule_ord) AS ord FROM (
+        SELECT doc_id, rule_id, severity, para, pos, rule_ord, sentence, is_hint, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS rank FROM hit
+        UNION ALL SELECT doc_id, rule_id, NULL, -1, -1, rule_ord, '', false, CASE rule_id WHEN 'D-UNIF-01' THEN 1 ELSE 0 END FROM whole)
+)"""
+
+
+@query(o.with_(o.zh(), o.stats(ACADEMIC.lexicon), o.hits(ACADEMIC), o.doc_rules(ACADEMIC), _ORDERED, """
+placed AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, para, sentence) AS place FROM ordered WHERE NOT is_hint AND para >= 0),
+met AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY place, ord) = 1 AS new FROM placed),
+once AS (SELECT doc_id, para, sentence, rule_id, min(ord) AS ord, bool_or(new) AS new, max(rank) AS rank, count(*) AS n, min(place) AS place FROM met GROUP BY ALL)""", select="""
+SELECT doc_id, para, sentence, CAST(min(place) AS INTEGER) AS ord, CASE max(rank) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS top, string_agg(rule_id, '+' ORDER BY ord) AS rule_ids, CAST(sum(n) AS INTEGER) AS times,
+    coalesce(string_agg(rule_id, '+' ORDER BY ord) FILTER (new), '') AS explained
+FROM once GROUP BY doc_id, para, sentence"""))
+def findings_grouped(spark, sf_dir):
+    g = rules.grouped(rules.findings(zh_docs(spark, sf_dir), ACADEMIC))
+    return g.withColumns({c: F.array_join(c, "+") for c in ("rule_ids", "explained")})
+
+
+@query(o.with_(o.zh(), o.stats([]), o.hits(PERSONAL), o.doc_rules(PERSONAL), _ORDERED, select="SELECT doc_id, rule_id, para, pos, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM ordered WHERE is_hint) WHERE place <= 2"))
+def first_hints(spark, sf_dir):
+    return rules.first_hints(rules.findings(zh_docs(spark, sf_dir), PERSONAL), 2).select("doc_id", "rule_id", "para", "pos", "place")
+
+
 # -- Markdown and pages ------------------------------------------------------
 
 
@@ -241,7 +307,11 @@ def md_blocks(spark, sf_dir):
     return segment.blocks(md_docs(spark, sf_dir))
 
 
-@query()
+@query(o.with_(o.md(), """
+md_block AS (
+    SELECT doc_id, para, string_agg(text, chr(10) ORDER BY line) AS text FROM (
+        SELECT *, sum(CASE WHEN kind <> 'b' AND kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS para
+        FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM md_line)) WHERE kind <> 'b' GROUP BY doc_id, para)""", select="SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY para) AS text FROM md_block GROUP BY doc_id"))
 def md_stripped(spark, sf_dir):
     return segment.stripped(md_docs(spark, sf_dir))
 
@@ -249,10 +319,28 @@ def md_stripped(spark, sf_dir):
 _PAGE = "html"
 for _p, _to in ((r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->", " "), (r"(?i)</(p|div|h[1-6]|li|tr|article|section)>|<br\s*/?>", "\n"), ("<[^>]*>", " ")):
     _PAGE = f"regexp_replace({_PAGE}, {o.lit(_p)}, {o.lit(_to)}, 'g')"
-for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+for _name, _char in ENTITIES:
     _PAGE = f"replace({_PAGE}, {o.lit(_name)}, {o.lit(_char)})"
 
 
+@query(r"""SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']([^"''#][^"'']*)["'']', 1), lambda x: NOT starts_with(lower(x), 'javascript:')))) AS link FROM pages""")
+def pages_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(page_links(F.col("html"))).alias("link"))
+
+
+_HTML = (("<div class=\"top\">网站地图 | 联系我们</div>", "</p><p>"), ("<div>主办单位：县水利站，承办单位：河道清淤办公室，请各位居民互相转告并留意通知栏里的变化</div><script>var a = 1;</script>", "<br/>"))
+
+
+@query(o.with_(o.zh(), "block AS (SELECT doc_id, para, trim(regexp_replace(p, '[ \\t\\r\\n]+', ' ', 'g')) AS p FROM zh_para)", select="SELECT doc_id, coalesce(string_agg(p, chr(10) ORDER BY para) FILTER (length(regexp_replace(p, '[^一-鿿]', '', 'g')) >= 30), '') AS text FROM block GROUP BY doc_id"))
+def page_blocks(spark, sf_dir):
+    """Pages made of the synthetic documents: furniture and short blocks go."""
+    docs = zh_docs(spark, sf_dir)
+    head = F.when(F.col("doc_id") % 2 == 0, _HTML[0][0]).otherwise(_HTML[1][0])
+    gap = F.when(F.col("doc_id") % 2 == 0, _HTML[0][1]).otherwise(_HTML[1][1])
+    html = F.concat(head, F.lit("<p>"), F.replace(F.col("text"), F.lit("\n\n"), gap), F.lit("</p>"))
+    return docs.select("doc_id", page_text(html, least_cjk=30, furniture=False).alias("text"))
+
+
 @query(rf"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_PAGE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def pages_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
@@ -292,15 +380,17 @@ def threshold_sweep(spark, sf_dir):
     return _rounded(evaluate.threshold_sweep(rows, "s", "label", [5, 10, 20, 40, 60, 80]), ("recall", "fpr", "accuracy"))
 
 
-@query(o.with_(_latin_sql(), _LABELLED, select=f"SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, {o.scaled('CAST(sum(n_chars) AS DOUBLE) / CAST(sum(n_sentences) AS DOUBLE)')} AS mean_len, {o.scaled('CAST(sum(label) AS DOUBLE) / count(*)')} AS quality FROM labelled GROUP BY source"))
+@query(o.with_(_latin_sql(), _LABELLED, select=f"SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, {o.scaled('CAST(sum(n_chars) AS DOUBLE) / CAST(sum(n_sentences) AS DOUBLE)')} AS mean_len, {o.scaled('CAST(sum(CAST(floor(sentence_cv * 10000 + 0.5) AS BIGINT)) AS DOUBLE) / 10000 / count(sentence_cv)')} AS mean_cv, {o.scaled('CAST(sum(CAST(floor(ngram_repeat * 10000 + 0.5) AS BIGINT)) AS DOUBLE) / 10000 / count(ngram_repeat)')} AS mean_repeat, {o.scaled('CAST(sum(label) AS DOUBLE) / count(*)')} AS quality FROM labelled GROUP BY source"))
 def means_by_source(spark, sf_dir):
-    g = labelled(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.sum("n_sentences").alias("s"), F.sum("label").alias("y"))
-    return g.select("source", "n", "n_chars", scaled(F.col("n_chars") / F.col("s")).alias("mean_len"), scaled(F.col("y") / F.col("n")).alias("quality"))
+    mean = lambda c: scaled(F.sum(scaled(F.col(c))).cast("double") / 10000 / F.count(c))  # noqa: E731  of four decimals, which add up alike everywhere
+    g = labelled(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"), F.sum("n_sentences").alias("s"), F.sum("label").alias("y"), mean("sentence_cv").alias("mean_cv"), mean("ngram_repeat").alias("mean_repeat"))
+    return g.select("source", "n", "n_chars", scaled(F.col("n_chars") / F.col("s")).alias("mean_len"), "mean_cv", "mean_repeat", scaled(F.col("y") / F.col("n")).alias("quality"))
 
 
-@query(o.with_(_latin_sql(), _LABELLED, "banded AS (SELECT *, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 600 THEN 'mid' ELSE 'long' END AS band FROM labelled)", select=f"SELECT * FROM (SELECT band, count(*) AS n FROM banded GROUP BY band) LEFT JOIN ({_sql_auroc('banded', 'band', 'ngram_repeat')}) USING (band)"))
+@query(o.with_(_latin_sql(), _LABELLED, "banded AS (SELECT *, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 600 THEN 'mid' ELSE 'long' END AS band FROM labelled)", select=f"""
+SELECT * FROM (SELECT band, count(*) AS n, {o.scaled("list_sort(list(ngram_repeat))[CAST(least(floor(count(*) * 0.5), count(*) - 1) AS INTEGER) + 1]")} AS median FROM banded GROUP BY band) LEFT JOIN ({_sql_auroc('banded', 'band', 'ngram_repeat')}) USING (band)"""))
 def length_tiers(spark, sf_dir):
-    return evaluate.length_tiers(labelled(spark, sf_dir), "ngram_repeat", "label").withColumn("auroc", scaled(F.col("auroc")))
+    return _rounded(evaluate.length_tiers(labelled(spark, sf_dir), "ngram_repeat", "label"), ("auroc", "median"))
 
 
 @query(o.with_("ranked AS (SELECT doc_id, quality, toxic, CAST((row_number() OVER (PARTITION BY quality, toxic ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels)", select="SELECT * FROM ranked"))
@@ -330,11 +420,86 @@ def calibrated(spark, sf_dir):
 
 @query()
 def cross_validated(spark, sf_dir):
-    rows = evaluate.stratified_folds(labelled(spark, sf_dir).na.drop(), ["lang", "label"], "doc_id", 3).cache()
+    rows = evaluate.stratified_folds(labelled(spark, sf_dir).na.drop(), ["lang", "label"], "doc_id", 3)
     held = evaluate.out_of_fold(rows, ["sentence_cv", "ngram_repeat"], "label", "fold")
     return evaluate.auroc(held.withColumn("_", F.lit(0)), ["_"], "fitted", "label").drop("_")
 
 
+_ARMS = "arm AS (SELECT doc_id % 3 = 0 AS label, coalesce(w, 0) / n_sentences AS ungated, coalesce(g, 0) / n_sentences AS gated FROM stats LEFT JOIN (SELECT doc_id, sum(weight) AS w, sum(weight) FILTER (NOT is_hint) AS g FROM hit GROUP BY doc_id) USING (doc_id))"
+
+
+def _arms(spark, sf_dir):
+    """Synthetic documents with both densities, statistics and a label made of their ids."""
+    rows = stats.stats_of(facts(zh_docs(spark, sf_dir), GENERAL).withColumn("hits", rules.gated_found(GENERAL)), GENERAL.lexicon, "hits")
+    weigh = lambda c: F.aggregate(c, F.lit(0.0), lambda t, h: t + h["weight"]) / F.col("n_sentences")
+    return rows.where("n_sentences > 0").select("doc_id", "n_chars", (F.col("doc_id") % 3 == 0).cast("int").alias("label"), weigh("hits").alias("ungated"), weigh(F.filter("hits", lambda h: ~h["is_hint"])).alias("gated"), "sentence_cv", "ttr", "ngram_repeat")
+
+
+@query(o.with_(o.zh(), o.stats([]), o.hits(GENERAL), _ARMS, "flat AS (SELECT 'ungated' AS arm, CAST(label AS INTEGER) AS label, ungated AS v FROM arm UNION ALL SELECT 'gated', CAST(label AS INTEGER), gated FROM arm)", select=_sql_auroc("flat", "arm", "v")))
+def ablation_densities(spark, sf_dir):
+    got = evaluate.ablation(_arms(spark, sf_dir), "label", {"ungated": ["ungated"], "gated": ["gated"]})
+    return got.withColumn("auroc", scaled(F.col("auroc")))
+
+
+_STATS = ["sentence_cv", "ttr", "ngram_repeat"]
+
+
+@query()
+def ablation_fits(spark, sf_dir):
+    """The arms that are fitted: statistics alone, and with the density."""
+    return evaluate.ablation(_arms(spark, sf_dir).na.drop(), "label", {"stats": _STATS, "full": ["ungated", *_STATS]})
+
+
+@query()
+def half_holdout(spark, sf_dir):
+    return evaluate.held_out_auroc(labelled(spark, sf_dir).na.drop(), ["sentence_cv", "ngram_repeat"], "label", "doc_id", 3)
+
+
+@query(o.with_(*[f"half_{k} AS (SELECT doc_id, quality, {k} AS seed, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('{k}:' || CAST(doc_id AS VARCHAR))) - 1) % 2 AS INTEGER) AS fold FROM labels)" for k in range(3)], select=" UNION ALL ".join(f"SELECT * FROM half_{k}" for k in range(3))))
+def half_splits(spark, sf_dir):
+    rows, out = table(spark, sf_dir, "labels").select("doc_id", "quality"), None
+    for k in range(3):
+        part = evaluate.half_split(rows, "quality", "doc_id", k).select("doc_id", "quality", F.lit(k).alias("seed"), "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def tier_fits(spark, sf_dir):
+    return evaluate.tier_fits(labelled(spark, sf_dir).na.drop(), ["sentence_cv", "ngram_repeat"], "label")
+
+
+@query(o.with_(_latin_sql(), _LABELLED, select="SELECT source, count(*) AS n FROM labelled WHERE label = 0 AND sentence_cv IS NOT NULL GROUP BY source HAVING count(*) >= 3"))
+def channels(spark, sf_dir):
+    return evaluate.channels(labelled(spark, sf_dir).where("sentence_cv is not null"), "label", "source")
+
+
+@query()
+def channel_left_out(spark, sf_dir):
+    """Four languages as channels."""
+    held = evaluate.leave_one_out(labelled(spark, sf_dir).na.drop(), ["sentence_cv", "ngram_repeat"], "label", "lang")
+    return evaluate.auroc(held.withColumn("_", F.lit(0)), ["_"], "fitted", "label").drop("_")
+
+
+@query(o.with_(*_SCORED, "model AS (SELECT 'm' || CAST(doc_id % 5 AS VARCHAR) AS model, CAST(round_even(index, 0) AS INTEGER) AS s FROM score WHERE index IS NOT NULL)", select=f"""
+SELECT model, count(*) AS n, list_sort(list(s))[CAST(least(floor(count(*) * 0.5), count(*) - 1) AS INTEGER) + 1] AS median, list_sort(list(s))[CAST(least(floor(count(*) * 0.9), count(*) - 1) AS INTEGER) + 1] AS p90,
+    {o.scaled('CAST(count(*) FILTER (s >= 80) AS DOUBLE) / count(*)')} AS share_above, {o.scaled('CAST(count(*) FILTER (s < 80) AS DOUBLE) / count(*)')} AS share_below FROM model GROUP BY model"""))
+def model_table(spark, sf_dir):
+    rows = _index(spark, sf_dir).select(F.concat(F.lit("m"), F.col("doc_id") % 5).alias("model"), F.bround("index", 0).cast("int").alias("s"))
+    return _rounded(evaluate.group_table(rows, "model", "s"), ("share_above", "share_below"))
+
+
+@query(o.with_(o.zh(), o.stats(OFFICIAL.lexicon), o.hits(OFFICIAL), o.doc_rules(OFFICIAL), "rule AS (SELECT doc_id, count(DISTINCT rule_id) AS k FROM (SELECT doc_id, rule_id FROM hit WHERE NOT is_hint UNION ALL SELECT doc_id, rule_id FROM whole) GROUP BY doc_id)", select=f"SELECT count(*) AS n, count(k) AS flagged, CAST(sum(k) AS BIGINT) AS rules, {o.scaled('CAST(count(k) AS DOUBLE) / count(*)')} AS rate FROM zh_doc LEFT JOIN rule USING (doc_id)"))
+def false_positives(spark, sf_dir):
+    return _rounded(evaluate.false_positives(_index(spark, sf_dir, OFFICIAL)), ("rate",))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY sha256(coalesce(text, '')), doc_id LIMIT 50")
+def hash_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    return evaluate.hash_sample(docs, "text", 50).select("doc_id", "source")
+
+
 _RECON = ("sentence_cv", "ngram_repeat", "n_sentences")
 
 
@@ -352,19 +517,37 @@ def pool_features(spark, sf_dir):
     return evaluate.pool_features(lines, "lang", _POOL)
 
 
+_RANK = "list_sort(list(length(text)) FILTER (text IS NOT NULL))[CAST(least(floor(count(text) * {p}), count(text) - 1) AS INTEGER) + 1]"
+
+
 @query(f"""
-SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, list_sort(list(length(text)))[CAST(least(floor(count(*) * 0.5), count(*) - 1) AS INTEGER) + 1] AS p50,
-    {o.scaled("sum(length(text) - length(translate(text, " + o.lit(o.PUNCTUATION) + ", ''))) * 1000.0 / sum(length(text))")} AS punctuation FROM documents GROUP BY source""")
+SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, {_RANK.format(p=0.25)} AS p25, {_RANK.format(p=0.5)} AS p50, {_RANK.format(p=0.75)} AS p75,
+    {o.scaled("CAST(count(*) FILTER (regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[一-鿿]')) AS DOUBLE) / count(*)")} AS mixed,
+    {o.scaled("sum(length(text) - length(translate(text, " + o.lit(o.PUNCTUATION) + ", ''))) * 1000.0 / sum(length(text))")} AS punctuation
+FROM (SELECT source, text FROM documents UNION ALL SELECT 'customers', c_name || '：第' || CAST(c_custkey AS VARCHAR) || CASE WHEN c_custkey % 3 = 0 THEN '号客户，已核对。' ELSE '!' END FROM customer) GROUP BY source""")
 def corpus_profile(spark, sf_dir):
-    return evaluate.corpus_profile(table(spark, sf_dir, "documents"), "source").withColumn("punctuation", scaled(F.col("punctuation")))
+    made = F.concat("c_name", F.lit("：第"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, "号客户，已核对。").otherwise("!"))
+    rows = table(spark, sf_dir, "documents").select("source", "text").unionByName(table(spark, sf_dir, "customer").select(F.lit("customers").alias("source"), made.alias("text")))
+    return _rounded(evaluate.corpus_profile(rows, "source"), ("mixed", "punctuation"))
 
 
-@query()
+def _attacked_sql() -> str:
+    after = o.with_(
+        o.zh("src"), "line AS (SELECT doc_id, para, pos, text FROM src_sent)", o.advice("line", PERSONAL, "doc_id, para, pos"), """
+part AS (SELECT doc_id, para, string_agg(CASE WHEN action = 'rewrite' AND candidate IS NOT NULL THEN candidate ELSE text END, '' ORDER BY pos) AS s FROM advice WHERE action <> 'delete' GROUP BY doc_id, para),
+zh_doc AS (SELECT doc_id, coalesce(text, '') AS text FROM src_doc d LEFT JOIN (SELECT doc_id, string_agg(s, chr(10) || chr(10) ORDER BY para) AS text FROM part GROUP BY doc_id) USING (doc_id)) """.replace("src_doc d", "(SELECT doc_id FROM src_doc)"),
+        o.segments("zh"), o.stats([]), o.hits(GENERAL), o.flags(), o.score(GENERAL).replace("part AS (", "parted AS (").replace("FROM part)", "FROM parted)"), select="SELECT doc_id, index AS after, n_formal FROM score LEFT JOIN (SELECT doc_id, count(*) AS n_formal FROM hit WHERE NOT is_hint GROUP BY doc_id) USING (doc_id)")
+    before = o.with_(*_SCORED, select="SELECT doc_id, index AS before, n_formal FROM score LEFT JOIN (SELECT doc_id, count(*) AS n_formal FROM hit WHERE NOT is_hint GROUP BY doc_id) USING (doc_id)")
+    return f"SELECT doc_id, {o.scaled('before')} AS before, {o.scaled('after')} AS after, coalesce(b.n_formal, 0) AS hits_before, coalesce(a.n_formal, 0) AS hits_after FROM ({before}) b LEFT JOIN ({after}) a USING (doc_id)"
+
+
+@query(_attacked_sql())
 def attacked(spark, sf_dir):
-    """The index before and after the advice is taken."""
+    """The index and the hits before and after the advice is taken."""
     docs = zh_docs(spark, sf_dir)
-    after = score.analyzed(rewrite.attacked(docs, segment.sentences(docs), PERSONAL), GENERAL).select("doc_id", F.col("index").alias("after"))
-    return score.analyzed(docs, GENERAL).select("doc_id", F.col("index").alias("before")).join(after, "doc_id", "left")
+    told = lambda d, name: score.analyzed(d, GENERAL).select("doc_id", scaled(F.col("index")).alias(name), (F.col("high") + F.col("medium") + F.col("low")).alias(f"hits_{name}"))
+    after = told(rewrite.attacked(docs, segment.sentences(docs), PERSONAL), "after")
+    return told(docs, "before").join(after, "doc_id", "left").na.fill(0, ["hits_after"])
 
 
 # -- collection, drift, mining ------------------------------------------------
@@ -414,10 +597,7 @@ SELECT profile, signal, {o.scaled('before')} AS before, {o.scaled('after')} AS a
     UNION ALL SELECT profile, 'score_rate', a.score_rate, b.score_rate FROM a JOIN b USING (profile) WHERE abs(b.score_rate - a.score_rate) >= 0.2
     UNION ALL SELECT profile, rule_id, coalesce(a_rule.rate, 0.0), b_rule.rate FROM b_rule JOIN a USING (profile) LEFT JOIN a_rule USING (profile, rule_id) WHERE abs(b_rule.rate - coalesce(a_rule.rate, 0.0)) >= 0.1)"""))
 def drift_signals(spark, sf_dir):
-    rows = _samples(spark, sf_dir)
-    g, r = collect.drift_groups(rows), collect.drift_rules(rows)
-    old, new = (lambda df: df.where("month = '2026-08'").drop("month")), (lambda df: df.where("month = '2026-09'").drop("month"))
-    return _rounded(collect.drift_signals(old(g), new(g), old(r), new(r), ["profile"]), ("before", "after"))
+    return _rounded(collect.drift_signals(_samples(spark, sf_dir), "2026-08", "2026-09"), ("before", "after"))
 
 
 @query(o.with_(*_SCORED, o.doc_rules(GENERAL), _SAMPLE_SQL, select="""
@@ -458,21 +638,28 @@ def phrase_df(spark, sf_dir):
     return _phrases(spark, sf_dir)
 
 
-@query()
+SIZES = [3, 4, 5, 6, 7, 8]
+
+
+@query(o.with_(o.zh(), "gram_of AS (SELECT doc_id, unnest(list_distinct(flatten([" + ", ".join(f"list_transform(range(1, length(t) - {n} + 2), lambda i: substr(t, i, {n}))" for n in SIZES) + "]))) AS gram FROM (SELECT doc_id, regexp_replace(text, " + o.lit(o.BARE) + ", '', 'g') AS t FROM zh_doc))", """
+df AS (SELECT gram, count(*) FILTER (doc_id % 3 = 0) AS df_1, count(*) FILTER (doc_id % 3 <> 0) AS df_0 FROM gram_of GROUP BY gram HAVING count(*) >= 2),
+size AS (SELECT count(*) FILTER (doc_id % 3 = 0) AS n1, count(*) FILTER (doc_id % 3 <> 0) AS n0 FROM zh_doc),
+candidate AS (SELECT gram, df_1 FROM df, size WHERE df_1 >= 5 AND (CAST(df_1 AS DOUBLE) / n1) / greatest(CAST(df_0 AS DOUBLE) / n0, CAST(0.5 AS DOUBLE) / n0) >= 1.05)""", o.collapsed(SIZES), select="SELECT gram, df_1 FROM kept ORDER BY df_1 DESC, gram LIMIT 40"))
 def phrase_report(spark, sf_dir):
     """The forty most telling phrases, a report of the top."""
-    n = zh_docs(spark, sf_dir).select(F.sum((F.col("doc_id") % 3 == 0).cast("int")), F.count("*")).first()
-    best = mining.phrase_ratio(_phrases(spark, sf_dir), n[0], n[1] - n[0]).where("df_1 >= 5 and ratio >= 1.05")
-    return mining.collapse(best).orderBy(F.desc("df_1"), "gram").limit(40)
+    docs = zh_docs(spark, sf_dir).withColumn("label", (F.col("doc_id") % 3 == 0).cast("int"))
+    n = docs.select(F.sum("label"), F.count("*")).first()
+    best = mining.phrase_ratio(mining.phrase_df(docs, SIZES), n[0], n[1] - n[0]).where("df_1 >= 5 and ratio >= 1.05")
+    return mining.collapse(best, SIZES).orderBy(F.desc("df_1"), "gram").limit(40)
 
 
-@query(f"""
-SELECT DISTINCT doc_id, gram FROM (SELECT p_partkey AS doc_id, unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) AS gram FROM (SELECT p_partkey, regexp_replace(p_name, {o.lit(o.BARE)}, '', 'g') AS t FROM part))
-WHERE gram IN (SELECT unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) FROM (SELECT regexp_replace(p_type, {o.lit(o.BARE)}, '', 'g') AS t FROM part))""")
+@query(o.with_(o.zh(), select=f"""
+SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) AS gram FROM (SELECT doc_id, regexp_replace(text, {o.lit(o.BARE)}, '', 'g') AS t FROM zh_doc WHERE doc_id % 5 <> 0))
+WHERE gram IN (SELECT unnest(list_transform(range(1, length(t) - 4), lambda i: substr(t, i, 6))) FROM (SELECT regexp_replace(text, {o.lit(o.BARE)}, '', 'g') AS t FROM zh_doc WHERE doc_id % 100 = 95))"""))
 def leaks(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    side = lambda c: p.select(F.col("p_partkey").alias("doc_id"), F.col(c).alias("text"))
-    return mining.leaks(side("p_type"), side("p_name"))
+    """Fragments of the private documents of a few customers in the public ones of others."""
+    docs = zh_docs(spark, sf_dir)
+    return mining.leaks(docs.where("doc_id % 100 = 95"), docs.where("doc_id % 5 <> 0"))
 
 
 _AUDITED = ["赋能", "不得不说", "总之", "众所周知", "(形成|构建|打造).{0,4}闭环", "据悉", "值得(进一步|深入)"]
@@ -491,10 +678,10 @@ def pattern_audit(spark, sf_dir):
 
 @query("""
 SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b
-ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND a.ts <= b.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE""")
+ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND a.ts <= b.ts AND b.ts <= a.ts + INTERVAL 240 MINUTE""")
 def prompt_outputs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", "event_type")
-    return mining.interval_join(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", 5).select("user_id", "first_id", "then_id")
+    return mining.interval_join(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", 240).select("user_id", "first_id", "then_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -514,6 +701,22 @@ def ppl_stats(spark, sf_dir):
     return g.select("doc_id", scaled(mean).alias("avg_nll"), scaled(F.exp(F.least(mean, F.lit(50.0)))).alias("ppl"), "n_tokens")
 
 
+_MINED = ["赋能", "标志着", "昔有", "的灯", "[，、].{1,4}[，、]", "你们", "。。", "(上|下)一段", "老周(说|喊)"]
+
+
+@query(o.with_(o.zh(), "size AS (SELECT count(*) FILTER (doc_id % 3 = 0) AS n1, count(*) FILTER (doc_id % 3 <> 0) AS n0 FROM zh_doc)", "found AS (" + " UNION ALL ".join(f"SELECT {o.lit(p)} AS pattern, doc_id FROM zh_doc WHERE regexp_matches(text, {o.lit(p)})" for p in _MINED) + ")", select=f"""
+SELECT pattern, k1, k0, {o.scaled('d')} AS difference FROM (
+    SELECT pattern, k1, k0, CAST(k1 AS DOUBLE) / n1 - CAST(k0 AS DOUBLE) / n0 AS d FROM (SELECT pattern, count(*) FILTER (doc_id % 3 = 0) AS k1, count(*) FILTER (doc_id % 3 <> 0) AS k0 FROM found GROUP BY pattern), size) WHERE abs(d) >= 0.01"""))
+def pattern_mining(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir).withColumn("label", (F.col("doc_id") % 3 == 0).cast("int"))
+    return _rounded(mining.pattern_mining(docs, _MINED), ("difference",))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY month")
+def months(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
 # -- renderers -----------------------------------------------------------------
 
 
@@ -524,10 +727,17 @@ def sarif_rows(spark, sf_dir):
     return report.sarif_results(_hits(spark, sf_dir).where("not is_hint")).select("doc_id", "para", "rule_id", "level", "fingerprint")
 
 
-@query()
+@query(o.with_(*_SCORED, o.doc_rules(GENERAL), _ORDERED, select="""
+SELECT doc_id, score.n_sentences AS n_sentences, note, coalesce(n_findings, 0) AS n_findings, coalesce(n_hints, 0) AS n_hints, first_rule, first_sentence FROM score LEFT JOIN (
+    SELECT doc_id, CAST(count(*) FILTER (NOT is_hint) AS INTEGER) AS n_findings, CAST(count(*) FILTER (is_hint) AS INTEGER) AS n_hints, arg_min(rule_id, ord) FILTER (NOT is_hint) AS first_rule, arg_min(sentence, ord) FILTER (NOT is_hint) AS first_sentence FROM ordered GROUP BY doc_id) USING (doc_id)"""))
 def json_reports(spark, sf_dir):
+    """What the JSON of each report says when read back."""
     docs = zh_docs(spark, sf_dir)
-    return report.json_reports(score.analyzed(docs, GENERAL), rules.findings(docs, GENERAL))
+    made = report.json_reports(score.analyzed(docs, GENERAL), rules.findings(docs, GENERAL))
+    item = "array<struct<rule_id: string, sentence: string>>"
+    read = made.select("doc_id", F.from_json("report", f"n_sentences long, note string, findings {item}, hints {item}").alias("r")).select("doc_id", "r.*")
+    first = F.get("findings", F.lit(0))
+    return read.select("doc_id", "n_sentences", "note", F.size("findings").alias("n_findings"), F.size("hints").alias("n_hints"), first["rule_id"].alias("first_rule"), first["sentence"].alias("first_sentence"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS digest FROM documents WHERE text IS NOT NULL")
