@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,41 +36,55 @@ def _check(spark, a) -> int:
     docs = _docs(spark, a.target).cache()
     rows = score.analyzed(docs, pack).cache()
     found = rules.at_least(rules.findings(docs, pack), a.min_severity)
-    names = {r.doc_id: r.path for r in docs.select("doc_id", "path").collect()}
-    named = lambda r: {**r.asDict(True), "doc_id": names[r["doc_id"]]}
+    named = docs.select("doc_id", "path")
+    one = docs.limit(2).count() == 1
+
+    def rendered(df: DataFrame) -> Iterator[dict]:
+        """Rows as they come, a partition at a time, under the names of their files."""
+        for r in df.join(named, "doc_id").toLocalIterator():
+            d = r.asDict(True)
+            yield {**d, "doc_id": d.pop("path")}
+
     if a.format == "json":
-        print("\n".join(r.report for r in report.json_reports(rows, found).collect()))
+        for r in report.json_reports(rows, found).toLocalIterator():
+            print(r.report)
     elif a.format == "sarif":
-        lines = rewrite.text_lines(docs)
-        hits = report.start_lines(report.sarif_results(found.where("not is_hint")), lines)
-        print(report.sarif([named(r) for r in hits.collect()], pack))
-    elif a.format in ("csv", "table") or len(names) > 1:
-        out = [named(r) for r in compare.sorted_batch(score.batch_summary(rows)).collect()]
+        hits = report.start_lines(report.sarif_results(found.where("not is_hint")), rewrite.text_lines(docs))
+        print(report.sarif(rendered(hits), pack))
+    elif a.format in ("csv", "table") or not one:
+        out = list(rendered(compare.sorted_batch(score.batch_summary(rows))))  # a table of one short row a document
+        out.sort(key=lambda r: (r["index"] is None, -(r["index"] or 0), -r["findings"], r["doc_id"]))
         print(report.batch_csv(out) if a.format == "csv" else report.batch_markdown(out))
     else:
-        by: dict[int, list[dict]] = {}
-        for r in found.collect():
-            by.setdefault(r.doc_id, []).append(r.asDict(True))
-        draw = report.check_html if a.format == "html" else report.check_markdown
-        for r in rows.collect():
-            print(draw(named(r), by.get(r.doc_id, []), pack))
+        items = found.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "doc_id"])).alias("items"))
+        texts = docs.select("doc_id", "text")
+        for r in rendered(rows.join(items, "doc_id", "left").join(texts, "doc_id")):
+            of = r["items"] or []
+            if a.format == "appeal":
+                print(report.appeal_markdown(r, of, pack, r["text"], datetime.date.today().isoformat()))
+            else:
+                print((report.check_html if a.format == "html" else report.check_markdown)(r, of, pack))
     if a.fail_above is None or a.target == "-":
         return 0
     # a single file is held to its raw index, a batch to the rounded one
-    rows = rows if len(names) == 1 else rows.withColumn("index", F.bround("index", 0))
+    rows = rows if one else rows.withColumn("index", F.bround("index", 0))
     return int(not score.above(rows, a.fail_above).isEmpty())
 
 
 def _diff(spark, a) -> int:
     pack = load(a.profile)
     side = lambda t: rules.findings(_docs(spark, t).withColumn("doc_id", F.lit(0).cast("long")), pack).where("not is_hint")
-    for r in compare.rule_diff(side(a.before), side(a.after)).orderBy(F.expr("array_position(array('new','worse','better','gone'), status)"), F.desc(F.abs(F.col("after") - F.col("before"))), "rule_id").collect():
-        print(f"{r.status}\t{r.rule_id}\t{r.before}\t{r.after}")
+    out = [r.asDict() for r in compare.sorted_diff(compare.rule_diff(side(a.before), side(a.after))).collect()]  # a row a rule
+    if a.format == "text":
+        for r in out:
+            print("\t".join(str(r[k]) for k in ("status", "rule_id", "before", "after")))
+    else:
+        print((report.diff_json if a.format == "json" else report.diff_markdown)(out, a.before, a.after))
     return 0
 
 
 def _stats(spark, a) -> int:
-    for r in score.analyzed(_docs(spark, a.target), load(a.profile)).collect():
+    for r in score.analyzed(_docs(spark, a.target), load(a.profile)).toLocalIterator():
         print(json.dumps(r.asDict(True), ensure_ascii=False))
     return 0
 
@@ -77,9 +93,9 @@ def _rewrite(spark, a) -> int:
     docs = _docs(spark, a.target)
     advice = rewrite.advised(rewrite.text_lines(docs), load("personal"))
     if a.apply:
-        print("\n".join(r.text for r in rewrite.applied(docs, advice).collect()))
+        print("\n".join(r.text for r in rewrite.applied(docs, advice).toLocalIterator()))
     else:
-        for r in advice.orderBy("doc_id", "line").collect():
+        for r in advice.orderBy("doc_id", "line").toLocalIterator():
             print(f"{r.line}\t{r.action}\t{r.text}\t{r.candidate or r.direction}")
     return 0
 
@@ -93,7 +109,7 @@ def _collect(spark, a) -> int:
 
 def _ppl(spark, a) -> int:
     tokens = spark.read.schema("doc_id long, pos int, nll double").json(a.target)
-    for r in perplexity.ppl_stats(tokens, ["doc_id", "pos"]).orderBy("ppl").collect():
+    for r in perplexity.ppl_stats(tokens, ["doc_id", "pos"]).orderBy("ppl").toLocalIterator():
         print(f"{r.doc_id}\t{r.pos}\t{r.ppl:.2f}\t{r.n_tokens}")
     return 0
 
@@ -106,7 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         s.add_argument("target")
         s.add_argument("--profile", choices=PROFILES, default="general")
         if verb == "check":
-            s.add_argument("--format", choices=("text", "table", "csv", "json", "sarif", "html"), default="text")
+            s.add_argument("--format", choices=("text", "table", "csv", "json", "sarif", "html", "appeal"), default="text")
             s.add_argument("--min-severity", choices=("low", "medium", "high"), default="low")
             s.add_argument("--fail-above", type=float)
         if verb == "collect":
@@ -117,6 +133,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     s.add_argument("before")
     s.add_argument("after")
     s.add_argument("--profile", choices=PROFILES, default="general")
+    s.add_argument("--format", choices=("text", "markdown", "json"), default="text")
     s = sub.add_parser("rewrite")
     s.add_argument("target")
     s.add_argument("--apply", action="store_true")
@@ -134,7 +151,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.verb == "explain":
         known = [(n, r) for n in PROFILES for r in load(n).rules if r.id == a.rule]
         for n, r in known:
-            print(f"{n}: {r.id} ({r.name}), {r.scope}, {r.severity}" + "".join(f"\n  {x}" for x in r.patterns))
+            print(f"{n}: {r.id} ({r.name}), {r.scope}, {r.severity}" + "".join(f"\n  {x}" for x in (r.why, r.advice, *([f"{r.example} → {r.better}"] if r.example else []), *r.patterns)))
         return int(not known)
     spark = spark or SparkSession.builder.appName("penstrata").getOrCreate()
     return {"check": _check, "diff": _diff, "stats": _stats, "rewrite": _rewrite, "collect": _collect, "ppl": _ppl}[a.verb](spark, a)

@@ -17,6 +17,11 @@ def rule_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("before <> after").withColumn("status", status)
 
 
+def sorted_diff(rows: DataFrame) -> DataFrame:
+    """New rules first, then what got worse, better and went; larger changes first."""
+    return rows.orderBy(F.array_position(F.array(*[F.lit(x) for x in STATUS]), F.col("status")), F.desc(F.abs(F.col("after") - F.col("before"))), "rule_id")
+
+
 def component_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, feature, before, after, delta); a component on one side only counts 0 on the other."""
     a, b = (df.select("doc_id", "feature", F.col("contribution").alias(n)) for df, n in ((before, "before"), (after, "after")))

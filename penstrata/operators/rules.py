@@ -111,3 +111,9 @@ def para_heat(rows: DataFrame, pack: Pack) -> DataFrame:
     density = F.col("w") / F.col("n_sents")
     level = F.when(density >= 1.0, "high").when(density >= 0.5, "medium").otherwise("low")
     return rows.select("doc_id", "para", "n_sents", density.alias("density"), level.alias("level"), F.substring("head", 1, 16).alias("excerpt"))
+
+
+def with_prose(found: DataFrame, pack: Pack) -> DataFrame:
+    """``found`` with name, why and advice of each rule, looked up in a literal of the pack."""
+    prose = F.create_map(*[x for r in pack.rules for x in (F.lit(r.id), F.struct(F.lit(r.name).alias("name"), F.lit(r.why).alias("why"), F.lit(r.advice).alias("advice")))])
+    return found.withColumn("_prose", F.element_at(prose, F.col("rule_id"))).select(*found.columns, "_prose.name", "_prose.why", "_prose.advice")

@@ -7,6 +7,8 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
+from penstrata.packs.prose import PROSE
+
 PROFILES = ("academic", "essay", "general", "news", "official", "personal", "review")
 WEIGHT = {"high": 3.0, "medium": 2.0, "low": 1.0}
 #: Rules whose short plain patterns also count as the lexicon of conn_density.
@@ -27,6 +29,10 @@ class Rule:
     tiers: tuple[tuple[int | None, float], ...] = ()
     min_sentences: int = 8
     taste: str = ""
+    why: str = ""
+    advice: str = ""
+    example: str = ""
+    better: str = ""
 
     @property
     def weight(self) -> float:
@@ -68,4 +74,5 @@ def load(profile: str) -> Pack:
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile}; there are {', '.join(PROFILES)}")
     m = importlib.import_module(f"{__name__}.{profile}")
-    return pack(profile, m.RULES, m.SCORING)
+    told = [r | dict(zip(("why", "advice", "example", "better"), PROSE[r["id"]], strict=True)) for r in m.RULES]
+    return pack(profile, told, m.SCORING)

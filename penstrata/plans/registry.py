@@ -286,6 +286,11 @@ def findings_grouped(spark, sf_dir):
     return g.withColumns({c: F.array_join(c, "+") for c in ("rule_ids", "explained")})
 
 
+@query(o.with_(o.zh(), o.hits(GENERAL), "prose AS (SELECT * FROM (VALUES " + ", ".join(f"({o.lit(r.id)}, {o.lit(r.name)}, {o.lit(r.why)}, {o.lit(r.advice)})" for r in GENERAL.rules) + ") v(rule_id, name, why, advice))", select="SELECT doc_id, para, pos, rule_id, name, why, advice FROM hit JOIN prose USING (rule_id) WHERE NOT is_hint"))
+def findings_explained(spark, sf_dir):
+    return rules.with_prose(_hits(spark, sf_dir).where("not is_hint"), GENERAL).select("doc_id", "para", "pos", "rule_id", "name", "why", "advice")
+
+
 @query(o.with_(o.zh(), o.stats([]), o.hits(PERSONAL), o.doc_rules(PERSONAL), _ORDERED, select="SELECT doc_id, rule_id, para, pos, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM ordered WHERE is_hint) WHERE place <= 2"))
 def first_hints(spark, sf_dir):
     return rules.first_hints(rules.findings(zh_docs(spark, sf_dir), PERSONAL), 2).select("doc_id", "rule_id", "para", "pos", "place")
@@ -727,6 +732,16 @@ def sarif_rows(spark, sf_dir):
     return report.sarif_results(_hits(spark, sf_dir).where("not is_hint")).select("doc_id", "para", "rule_id", "level", "fingerprint")
 
 
+@query(o.with_(o.zh(between="\n"), o.text_lines("zh"), o.hits(GENERAL), r"""
+needle AS (SELECT DISTINCT doc_id, sentence, substr(regexp_replace(sentence, '[^\p{L}\p{N}]', '', 'g'), 1, 16) AS k FROM hit WHERE NOT is_hint),
+plain AS (SELECT doc_id, line, regexp_replace(raw, '[^\p{L}\p{N}]', '', 'g') AS t FROM zh_line),
+start AS (SELECT doc_id, sentence, min(line) AS start_line FROM needle JOIN plain USING (doc_id) WHERE length(k) >= 4 AND contains(t, k) GROUP BY doc_id, sentence)""", select="SELECT doc_id, para, pos, rule_id, start_line FROM hit LEFT JOIN start USING (doc_id, sentence) WHERE NOT is_hint"))
+def sarif_start_lines(spark, sf_dir):
+    docs = zh_docs(spark, sf_dir, between="\n")
+    found = rules.rule_hits(docs, GENERAL).where("not is_hint")
+    return report.start_lines(found, rewrite.text_lines(docs)).select("doc_id", "para", "pos", "rule_id", "start_line")
+
+
 @query(o.with_(*_SCORED, o.doc_rules(GENERAL), _ORDERED, select="""
 SELECT doc_id, score.n_sentences AS n_sentences, note, coalesce(n_findings, 0) AS n_findings, coalesce(n_hints, 0) AS n_hints, first_rule, first_sentence FROM score LEFT JOIN (
     SELECT doc_id, CAST(count(*) FILTER (NOT is_hint) AS INTEGER) AS n_findings, CAST(count(*) FILTER (is_hint) AS INTEGER) AS n_hints, arg_min(rule_id, ord) FILTER (NOT is_hint) AS first_rule, arg_min(sentence, ord) FILTER (NOT is_hint) AS first_sentence FROM ordered GROUP BY doc_id) USING (doc_id)"""))

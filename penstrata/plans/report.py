@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import html
 import io
 import json
@@ -74,19 +75,88 @@ def batch_markdown(rows: Iterable[dict]) -> str:
     return "\n".join([*lines, *("| " + " | ".join("–" if r[c] is None else str(r[c]).replace("|", "\\|") for c in COLUMNS) + " |" for r in rows)])
 
 
+#: Kinds by what they put in doubt, with what a report says of each.
+DOMAIN_NAMES = {"classical": "classical prose", "verse": "verse of even clauses", "non-chinese": "text that is not Chinese", "issuance-notice": "issuing notice", "approval-reply": "approval reply"}
+STYLE, GENRE = ("classical", "verse", "non-chinese"), ("issuance-notice", "approval-reply")
+#: Hints that a report lists.
+MOST_HINTS = 12
+
+
+def domain_lines(kinds: list[str]) -> list[str]:
+    """What a report says of a document outside the calibrated domain: styles, genres, then officialese."""
+    out = []
+    for group, note in ((STYLE, "the index is only a pointer"), (GENRE, "this genre is not calibrated")):
+        names = [DOMAIN_NAMES[k] for k in kinds if k in group]
+        if names:
+            out.append(f"Outside the calibrated domain ({', '.join(names)}): {note}.")
+    return out + (["Reads like an official document: the official profile fits better."] if "officialese" in kinds else [])
+
+
+def sentence_groups(found: list[dict]) -> tuple[list[list[dict]], list[dict]]:
+    """Formal findings in report order by (paragraph, sentence), and those of the whole document."""
+    groups: dict[tuple, list[dict]] = {}
+    whole = []
+    for f in sorted((f for f in found if not f["is_hint"]), key=lambda f: f["ord"]):
+        if f["para"] < 0:
+            whole.append(f)
+        else:
+            groups.setdefault((f["para"], f["sentence"]), []).append(f)
+    return list(groups.values()), whole
+
+
 def check_markdown(row: dict, found: list[dict], pack: Pack) -> str:
-    """One document's report: index, note, domain, findings in order; a rule is explained where it first appears."""
+    """One document's report: index, note, domain, findings by sentence; a rule is explained where it first appears."""
     out = [f"# {row['doc_id']}", ""]
     out.append(f"Index {row['index']:.0f} of 100" if row["index"] is not None else f"No index: {row['note'] or 'too short'}")
-    if row.get("kinds"):
-        out.append("Outside the calibrated domain: " + ", ".join(row["kinds"]))
-    names, told = {r.id: r.name for r in pack.rules}, set()
-    for f in sorted(found, key=lambda f: f["ord"]):
-        if not f["is_hint"]:
-            out.append(f"- [{f['severity']}] {f['rule_id']}" + ("" if f["rule_id"] in told else f" ({names[f['rule_id']]})") + f": {f['sentence']} « {'、'.join(f['matches'])} »")
-            told.add(f["rule_id"])
-    tips = [f for f in found if f["is_hint"]]
-    return "\n".join([*out, *([f"{len(tips)} hints"] if tips else [])])
+    out += domain_lines(row.get("kinds") or [])
+    by_id, told = {r.id: r for r in pack.rules}, set()
+
+    def explained(ids: list[str]) -> list[str]:
+        fresh = [i for i in ids if i not in told]
+        told.update(fresh)
+        return [f"  - {i}: {by_id[i].why} {by_id[i].advice}" for i in fresh if by_id[i].why]
+
+    groups, whole = sentence_groups(found)
+    for f in whole:
+        out += [f"- [{f['severity']}] {f['rule_id']} {by_id[f['rule_id']].name}: {f['matches'][0]}", *explained([f["rule_id"]])]
+    for g in groups:
+        ids = list(dict.fromkeys(f["rule_id"] for f in g))
+        times = f" x{len(g)}" if len(g) > len(ids) else ""
+        matched = list(dict.fromkeys(m for f in g for m in f["matches"]))
+        out += [f"- [{g[0]['severity']}] {' + '.join(ids)}{times} {' + '.join(by_id[i].name for i in ids)}, paragraph {g[0]['para'] + 1}: {g[0]['sentence']} « {'、'.join(matched)} »", *explained(ids)]
+    tips = sorted((f for f in found if f["is_hint"]), key=lambda f: f["ord"])
+    if tips:
+        out.append(f"{len(tips)} hints, each a rule that hits once: " + "; ".join(f"{f['rule_id']} « {'、'.join(f['matches'])} »" for f in tips[:MOST_HINTS]) + (f"; {len(tips) - MOST_HINTS} more" if len(tips) > MOST_HINTS else ""))
+    return "\n".join(out)
+
+
+def appeal_markdown(row: dict, found: list[dict], pack: Pack, text: str, on: str) -> str:
+    """A statement for a writer whose text was flagged: what was measured, what it cannot say, and a digest that binds it to the text."""
+    groups, whole = sentence_groups(found)
+    s = pack.scoring or {}
+    index = "none" if row["index"] is None else f"{row['index']:.0f} of 100"
+    lines = [
+        f"# Statement on {row['doc_id']}", "", f"Date: {on}. Profile: {pack.name}. Digest of the text (SHA-256): {hashlib.sha256(text.encode()).hexdigest()}", "",
+        "## What was measured", "", f"Index: {index}" + (f" ({row['note']})" if row.get("note") else "") + (f"; half of the texts by people that the profile was fitted on lie below {s['p50']}, nine in ten below {s['p90']}." if s else "."),
+        f"{row['n_sentences']} sentences, {row['n_chars']} characters, {len(groups)} sentences with findings, {len(whole)} findings on the whole text.",
+        *domain_lines(row.get("kinds") or []), "", "## What this cannot say", "",
+        "The index counts patterns of style. It does not tell who wrote a text, and people write such sentences too. It must not be the only ground of a decision.", "", "## Findings", "",
+    ]
+    return "\n".join([*lines, *(f"- {f['rule_id']}: {f['sentence'] or f['matches'][0]}" for g in [*groups, whole] for f in g)]) + "\n"
+
+
+def diff_json(rows: Iterable[dict], before: str, after: str) -> str:
+    """Two versions' rule counts as JSON, in the order of the diff."""
+    keep = ("rule_id", "before", "after", "status")
+    return json.dumps({"before": before, "after": after, "rules": [{k: r[k] for k in keep} for r in rows]}, ensure_ascii=False, indent=2)
+
+
+def diff_markdown(rows: Iterable[dict], before: str, after: str) -> str:
+    rows = list(rows)
+    lines = [f"# {before} → {after}", ""]
+    if not rows:
+        return "\n".join([*lines, "No rule differs."])
+    return "\n".join([*lines, "| rule | before | after | status |", "|---|---|---|---|", *(f"| {r['rule_id']} | {r['before']} | {r['after']} | {r['status']} |" for r in rows)])
 
 
 def check_html(row: dict, found: list[dict], pack: Pack) -> str:
