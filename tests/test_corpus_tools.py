@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstrata import cli
-from penstrata.functions.text import mask_pii, page_text
+from penstrata.functions.text import mask_pii, page_links, page_text
 from penstrata.operators import collect, evaluate, mining, perplexity
 from penstrata.packs import load
 from penstrata.plans import report
@@ -29,16 +29,116 @@ def test_page_text(spark):
     assert one(spark, page_text, "<p>甲 &amp; 乙</p><script>x<y</script><div>丙<br>丁</div><!-- 戊 -->") == "甲 & 乙\n丙\n丁"
 
 
-def test_drift(spark):
-    rows = [("p", "1", 10 * i, ["A"] if i < 2 else []) for i in range(5)] + [("p", "2", 60 + i if i else None, ["A", "B"]) for i in range(5)]
+def test_drift(spark, tmp_path):
+    rows = [("p", "1", 10 * i, ["A"] if i < 2 else []) for i in range(5)] + [("p", "2", 60 + i if i > 1 else None, ["A", "B"]) for i in range(5)]
     df = spark.createDataFrame(rows, "profile string, month string, score int, findings array<string>")
     g = {r.month: r for r in collect.drift_groups(df).collect()}
-    assert (g["1"].n, g["1"].p50, g["1"].p90, g["2"].score_rate, g["2"].p50) == (5, 20, 40, 0.8, 63)
+    assert (g["1"].n, g["1"].p50, g["1"].p90, g["2"].score_rate, g["2"].p50) == (5, 20, 40, 0.6, 63)
     assert g["*"].n == 10
-    groups, rates = collect.drift_groups(df), collect.drift_rules(df)
-    side = lambda x, m: x.where(f"month = '{m}'").drop("month")
-    got = {r.signal: (r.before, r.after) for r in collect.drift_signals(side(groups, 1), side(groups, 2), side(rates, 1), side(rates, 2), ["profile"]).collect()}
-    assert got == {"p50": (20.0, 63.0), "p90": (40.0, 64.0), "score_rate": (1.0, 0.8), "A": (0.4, 1.0), "B": (0.0, 1.0)} or got.keys() >= {"p50", "p90", "A", "B"}
+    got = {r.signal: (r.before, r.after) for r in collect.drift_signals(df, "1", "2").collect()}
+    assert got == {"p50": (20.0, 63.0), "p90": (40.0, 64.0), "score_rate": (1.0, 0.6), "A": (0.4, 1.0), "B": (0.0, 1.0)}
+    # a rule that the new month lacks is not told, nor a profile without both months
+    assert {r.signal for r in collect.drift_signals(df, "2", "1").collect()} == {"p50", "p90", "score_rate", "A"}
+    assert collect.drift_signals(df.where("month = '2'"), "1", "2").count() == 0
+    path = str(tmp_path / "baseline")
+    collect.save_baseline(df, path)
+    groups, rates = collect.load_baseline(spark, path)
+    assert {tuple(r) for r in groups.collect()} == {tuple(r) for r in collect.drift_groups(df).collect()} and rates.count() == 5
+
+
+def test_percentiles_and_ranks_by_bins(spark):
+    """As sorting all of a group gives them, with nulls, ties, negative values, an empty and a null group."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, round(rng.gauss(0, 50), 1), 7.0])) for g in ("a", "b", None) for _ in range(200)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in collect.ranked_percentiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for g in ("a", "b", None, "none"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        at = lambda p: own[min(int(len(own) * p), len(own) - 1)] if own else None  # noqa: E731, B023
+        assert (got[g].n, got[g].known, got[g].p10, got[g].p50, got[g].p99) == (sum(k == g for k, _ in rows), len(own), at(0.1), at(0.5), at(0.99))
+    labelled = [(v, rng.randrange(2)) for _, v in rows if v is not None]
+    pairs = [(p > n) + (p == n) / 2 for p, a in labelled for n, b in labelled if a == 1 and b == 0]
+    r = evaluate.auroc(spark.createDataFrame(labelled, "s double, y int").withColumn("g", F.lit(1)), ["g"], "s", "y").first()
+    assert r.auroc == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_folds_and_halves_go_round_in_the_order_of_the_digest(spark):
+    import hashlib
+
+    df = spark.range(300).withColumn("y", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2))
+    got = {r.id: r.fold for r in evaluate.stratified_folds(df, ["y"], "id", 4).collect()}
+    assert len(got) == 300
+    for y in (None, 0, 1):
+        own = sorted((i for i in range(300) if (None if i % 7 == 0 else i % 2) == y), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert [got[i] for i in own] == [k % 4 for k in range(len(own))]
+    halves = evaluate.half_split(df, "y", "id", 3).groupBy("y").agg(F.count_if(F.col("fold") == 0).alias("a"), F.count_if(F.col("fold") == 1).alias("b")).collect()
+    assert all(0 <= r.a - r.b <= 1 for r in halves)
+
+
+def test_calibration_tools(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 5).cast("string").alias("c"), (F.col("id") % 11 + 6.0 * (F.col("id") % 2)).alias("x"), F.rand(1).alias("z"), (F.col("id") * 2).alias("n_chars")).cache()
+    held = evaluate.held_out_auroc(df, ["x", "z"], "y", "id", 2).collect()
+    assert [r.seed for r in sorted(held)] == [0, 1] and all(r.auroc > 0.7 and r.n_pos == 100 for r in held)
+    arms = {r.arm: r.auroc for r in evaluate.ablation(df, "y", {"x": ["x"], "both": ["x", "z"]}).collect()}
+    assert arms["x"] > 0.7 and abs(arms["both"] - arms["x"]) < 0.1
+    tiers = {r.band: r for r in evaluate.tier_fits(df, ["x"], "y").collect()}
+    assert set(tiers) == {"short", "mid", "long"} and all(r.reliable and r.auroc > 0.7 for r in tiers.values())
+    one_class = evaluate.tier_fits(df.where("y = 1"), ["x"], "y").collect()
+    assert all(r.auroc is None and not r.reliable for r in one_class)
+    few = df.where("c <> '4' or id < 20")
+    assert {r.c: r.n for r in evaluate.channels(few, "y", "c").collect()} == {"0": 40, "1": 40, "2": 40, "3": 40}
+    left = evaluate.leave_one_out(few, ["x"], "y", "c")
+    assert left.where("y = 0").count() == 160 and left.where("y = 1 and fitted is null").count() == 0
+    assert spark.range(1).select(evaluate.gate(F.lit(0.93), F.lit(0.89)), evaluate.gate(F.lit(0.93), F.lit(0.88))).first()[:] == ("PASS", "FAIL")
+
+
+def test_tables_and_samples(spark):
+    df = spark.createDataFrame([("m", 90), ("m", 80), ("m", 79), ("m", None), ("k", 10)], "model string, s int")
+    got = {r.model: (r.n, r.median, r.p90, r.share_above) for r in evaluate.group_table(df, "model", "s").collect()}
+    assert got == {"m": (3, 80, 90, pytest.approx(2 / 3)), "k": (1, 10, 10, 0.0)}
+    fp = evaluate.false_positives(spark.createDataFrame([(["A", "B"],), ([],), (["A"],)], "rule_ids array<string>")).first()
+    assert (fp.n, fp.flagged, fp.rules, fp.rate) == (3, 2, 3, pytest.approx(2 / 3))
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(30)], "doc_id long, text string")
+    one, two = ([r.doc_id for r in evaluate.hash_sample(texts.repartition(n), "text", 5).collect()] for n in (1, 4))
+    assert one == two and len(one) == 5
+    docs = spark.createDataFrame([(0, "甲x", 1), (1, "甲", 1), (2, "乙", 0), (3, "乙甲", 0)], "doc_id long, text string, label int")
+    assert [tuple(r) for r in mining.pattern_mining(docs, ["甲", "x", "乙|甲"]).orderBy("pattern").collect()] == [("x", 1, 0, 0.5), ("甲", 2, 1, 0.5)]
+
+
+def test_corpus_profile_recon_pools_and_leaks(spark):
+    rows = [("a", "甲乙，丙x"), ("a", "甲"), ("a", "abcd"), ("b", None), ("b", "，，")]
+    got = {r.s: tuple(r)[1:] for r in evaluate.corpus_profile(spark.createDataFrame(rows, "s string, text string"), "s").collect()}
+    assert got["a"] == (3, 10, 1, 4, 5, pytest.approx(1 / 3), 100.0) and got["b"][:5] == (2, 2, 2, 2, 2)
+    lines = spark.createDataFrame([("p", "有1"), ("p", "无"), ("q", "2?")], "pool string, text string")
+    assert {(r.feature, r.pool): (r.n, r.hits) for r in evaluate.pool_features(lines, "pool", {"digit": "[0-9]", "ask": "[?]"}).collect()} == {("digit", "p"): (2, 1), ("digit", "q"): (1, 1), ("ask", "p"): (2, 0), ("ask", "q"): (1, 1)}
+    recon = spark.createDataFrame([("d", 1, 3.0, 0.0), ("d", 0, 1.0, 0.0), ("d", 0, 2.0, None)], "lang string, label int, x double, y double")
+    assert {r.feature: r.auroc for r in evaluate.domain_recon(recon, "lang", "label", ["x", "y"]).collect()} == {"x": 1.0, "y": 0.5}
+    private, public = ([(0, "甲乙丙丁戊己庚")], [(1, "说：甲乙，丙丁戊己！"), (2, "甲乙丙丁戊"), (3, None)])
+    found = mining.leaks(*(spark.createDataFrame(x, "doc_id long, text string") for x in (private, public))).collect()
+    assert [(r.doc_id, r.gram) for r in found] == [(1, "甲乙丙丁戊己")]
+
+
+def test_perplexity_of_documents(spark):
+    rows = [(1, i, float(p)) for i, p in enumerate([9, 3, 8, 1, 7, 2, 6, 5, 4, 10])] + [(2, 0, 1.0), (1, 99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, ppl double")
+    assert [tuple(r) for r in perplexity.ppl_features(df).collect()] == [(1, 10, 6.0, 2.0)]
+    assert sorted((r.doc_id, r.pos) for r in perplexity.smoothest(df).collect()) == [(1, 3), (2, 0)]
+
+
+def test_lines_mostly_of_cjk(spark):
+    long = "这一行几乎全是汉字没有别的东西在里面凑够二十个字"
+    df = spark.createDataFrame([(0, f"{long}\nshort\n{long} and a lot of English words follow it so that most is not\n短")], "doc_id long, text string")
+    assert [r.text for r in readers.cjk_lines(df).collect()] == [long]
+
+
+def test_page_blocks_and_links(spark):
+    long = "这一段写得足够长，有三十个以上的汉字，因此会留在页面正文里，而导航和页脚的短句都不会留下来。"
+    html = f"<div>首页</div><p>{long}</p><div>主办单位：{long}</div><a href='/a'>甲</a><a class=x href=\"/b\">乙</a><a href='/a'>丙</a><a href='#top'>丁</a><a href='javascript:go()'>戊</a>"
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(page_text(F.col("h"), least_cjk=30, furniture=False)).first()[0] == long
+    assert df.select(page_links(F.col("h"))).first()[0] == ["/a", "/b"]
 
 
 def test_auroc_with_ties(spark):
@@ -63,10 +163,25 @@ def test_phrases(spark):
     df = spark.createDataFrame([(0, "甲乙丙丁。甲乙丙丁", 1), (1, "甲乙丙丁", 1), (2, "甲乙丙戊", 0)], "doc_id long, text string, label int")
     got = {r.gram: (r.df_1, r.df_0) for r in mining.phrase_df(df, [3]).collect()}
     assert got == {"甲乙丙": (2, 1), "乙丙丁": (2, 0)}
-    kept = mining.collapse(spark.createDataFrame([("甲乙丙丁", 10), ("乙丙", 12), ("丙丁", 30)], "gram string, df_1 long")).collect()
+    kept = mining.collapse(spark.createDataFrame([("甲乙丙丁", 10), ("乙丙", 12), ("丙丁", 30)], "gram string, df_1 long"), [2, 4]).collect()
     assert {r.gram for r in kept} == {"甲乙丙丁", "丙丁"}
 
 
+def test_collapse_takes_any_number_of_candidates(spark):
+    """As the greedy choice one by one, on more candidates than a thousand, where dropped ones drop none."""
+    import random
+
+    rng = random.Random(4)
+    found = {"".join(rng.choice("甲乙丙") for _ in range(rng.randint(3, 8))): rng.randint(1, 40) for _ in range(6000)}
+    assert len(found) > 2000
+    kept = []
+    for g in sorted(found, key=lambda g: -len(g)):
+        if not any(g in k and found[g] <= 2 * found[k] for k in kept):
+            kept.append(g)
+    got = mining.collapse(spark.createDataFrame(list(found.items()), "gram string, df_1 long"), range(3, 9)).collect()
+    assert {r.gram for r in got} == set(kept)
+
+
 def test_interval_join_at_its_bounds(spark):
     a = spark.createDataFrame([("u", 1, "2024-01-01 00:04:59")], "k string, id int, ts string").withColumn("ts", F.to_timestamp("ts"))
     b = spark.createDataFrame([("u", i, t) for i, t in enumerate(["2024-01-01 00:04:58", "2024-01-01 00:04:59", "2024-01-01 00:09:59", "2024-01-01 00:10:00"])], "k string, id int, ts string").withColumn("ts", F.to_timestamp("ts"))

@@ -1,10 +1,12 @@
 """Rules, gate, domain, index and advice on exemplars."""
 
 import math
+from dataclasses import replace
 
 import pytest
 
 from penstrata.operators import compare, domain, rewrite, rules, score, segment
+from penstrata.operators.facts import facts
 from penstrata.packs import PROFILES, load, pack
 
 
@@ -31,9 +33,9 @@ def test_gate_and_order(spark):
 
 
 def test_first_match_per_pattern_and_no_match_without_content(spark):
-    hits = rules.rule_hits(segment.sentences(docs(spark, ["赋能赋能底层逻辑。", "！！！"])), load("general")).collect()
+    hits = rules.rule_hits(docs(spark, ["赋能赋能底层逻辑。", "！！！"]), load("general")).collect()
     assert [(r.rule_id, r.matches) for r in hits] == [("G-HYPE-01", ["赋能", "底层逻辑"])]
-    assert rules.rule_hits(segment.sentences(docs(spark, ["！！！"])), load("official")).count() == 0
+    assert rules.rule_hits(docs(spark, ["！！！"]), load("official")).count() == 0
 
 
 def test_tiers_of_thresholds_and_models(spark):
@@ -49,7 +51,7 @@ def test_domain_kinds(spark):
     verse = "白日依山尽，黄河入海流。" * 8
     english = "This is an English text without any Chinese in it at all, and it goes on and on. " * 2
     official = "现将有关情况通知如下。" * 9
-    got = {r.doc_id: r for r in domain.domain_flags(segment.sentences(docs(spark, [classical, verse, english, official, "短。"]))).collect()}
+    got = {r.doc_id: r for r in domain.domain_flags(facts(docs(spark, [classical, verse, english, official, "短。"]), flags=True)).collect()}
     assert got[0].kinds == ["classical"] and got[1].kinds == ["verse"]
     assert got[2].kinds == ["non-chinese"] and got[3].kinds == ["officialese"] and got[4].kinds == []
 
@@ -69,6 +71,57 @@ def test_index_by_hand_and_notes(spark):
     assert official.note == "genre not calibrated" and official.kinds == ["issuance-notice"]
 
 
+def test_documents_are_scanned_once(spark, tmp_path):
+    """Segmentation, hits, kinds, statistics and index come from one scan without a join."""
+    docs(spark, ["总之赋能。" * 9]).write.parquet(str(tmp_path / "d"))
+    rows = score.analyzed(spark.read.parquet(str(tmp_path / "d")), load("academic"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and plan.count("hashpartitioning") == 1
+
+
+def test_a_genre_may_have_a_model_of_its_own(spark):
+    text = "现将方案印发给你们，请认真执行到位。" + "渡船一天开两班，价钱不变。" * 9
+    p = replace(load("official"), scoring={**load("official").scoring, "genres": {"issuance-notice": {"intercept": 1.0, "ttr": 2.0}}})
+    r = score.analyzed(docs(spark, [text]), p).first()
+    assert r.note is None and r["index"] == pytest.approx(100 / (1 + math.exp(-(1 + 2 * r.ttr)))) and r.c_hit_density is None
+
+
+def test_findings_by_sentence_and_prose(spark):
+    text = "总之赋能，赋能。欢迎在评论区说总之。" + "平常话不长。" * 7 + "总之赋能，赋能。"
+    pack = load("general")
+    found = rules.findings(docs(spark, [text]), pack)
+    got = [(r.sentence, r.top, r.rule_ids, r.times, r.explained) for r in rules.grouped(found).orderBy("ord").collect()]
+    assert got == [
+        ("欢迎在评论区说总之。", "high", ["G-INTERACT-01", "G-SAFE-01"], 2, ["G-INTERACT-01", "G-SAFE-01"]),
+        ("总之赋能，赋能。", "medium", ["G-HYPE-01", "G-SAFE-01"], 4, ["G-HYPE-01"]),
+    ]
+    told = rules.with_prose(found, pack).where("rule_id = 'G-HYPE-01'").first()
+    assert told.name == "hot words" and told.why and told.advice
+    single = rules.findings(docs(spark, ["总之很好。" + "平常话。" * 8]), pack)
+    assert [r.place for r in rules.first_hints(single).collect()] == [1]
+    assert all(r.why and r.advice for p in PROFILES for r in load(p).rules)
+
+
+def test_pack_heat(spark):
+    rows = rules.para_heat(facts(docs(spark, ["总之赋能。平常话。\n\n平常话。\n\n以上就是全部。"]), load("general")), load("general")).orderBy("para").collect()
+    assert [(r.para, r.n_sents, r.density, r.level, r.excerpt) for r in rows] == [(0, 2, 1.5, "high", "总之赋能。"), (2, 1, 3.0, "high", "以上就是全部。")]
+
+
+def test_sorted_batch_and_diff(spark):
+    rows = spark.createDataFrame([(1, 10, 0), (2, None, 9), (3, 10, 4), (4, 90, 1)], "doc_id long, index int, findings long")
+    assert [r.doc_id for r in compare.sorted_batch(rows).collect()] == [4, 3, 1, 2]
+    diff = spark.createDataFrame([("A", 1, 0, "gone"), ("B", 0, 1, "new"), ("C", 1, 4, "worse"), ("D", 1, 2, "worse")], "rule_id string, before int, after int, status string")
+    assert [r.rule_id for r in compare.sorted_diff(diff).collect()] == ["B", "C", "D", "A"]
+
+
+def test_the_advice_against_the_index(spark):
+    """Lines that the advice drops or shortens leave fewer hits; paragraphs stay."""
+    text = "深夜的你，把书桌收拾了。点击按钮选择文件。\n\n总之赋能。" + "平常话说得不多。" * 9
+    d = docs(spark, [text, "平常话。"])
+    after = {r.doc_id: r.text for r in rewrite.attacked(d, segment.sentences(d), load("personal")).collect()}
+    assert after[0].startswith("把书桌收拾了。\n\n总之赋能。") and after[1] == "平常话。"
+
+
 def test_diff(spark):
     rows = lambda xs: spark.createDataFrame([(0, x) for x in xs], "doc_id long, rule_id string")
     got = {r.rule_id: (r.before, r.after, r.status) for r in compare.rule_diff(rows(["A", "B", "B", "C", "D"]), rows(["B", "C", "C", "D", "E"])).collect()}
