@@ -287,6 +287,43 @@ def test_license_scans(spark, docs, empty, rows):
     assert licenses.scanned(docs).count() == len(rows) and licenses.scanned(empty).count() == 0
 
 
+def common_words(a, b):
+    """The length of a longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.integers(0, 10**6))
+def test_scans_like_all_windows(seed):
+    """What is planted within the allowed losses is found; what is found holds by a longest common subsequence; what no window of the text holds is not found."""
+    import random
+
+    rng = random.Random(seed)
+    scanner = licenses.Scanner()
+    noise = lambda n: [rng.choice(["the", "license", "software", "house", "river", "under", "permission", "lamp", "copy", "zeta"]) for _ in range(n)]
+    name, template, _, _, need = rng.choice(scanner.rules)
+    n = len(template)
+    lost = set(rng.sample(range(1, n - 1), rng.randint(0, (n - need) // 3) if n - need >= 3 else 0))
+    planted = [w for i, w in enumerate(template) if i not in lost]
+    words = noise(rng.randint(0, 80)) + planted + noise(rng.randint(0, 80)) if rng.random() < 0.7 else noise(rng.randint(0, 120))
+    got = {r[0]: r for r in scanner.scan(" ".join(words))}
+    if any(words[i : i + len(planted)] == planted for i in range(len(words))):
+        assert name in got
+    for found, coverage, first, last in got.values():
+        rules = [(t, k) for m, t, _, _, k in scanner.rules if m == found]
+        span = words[first : last + 1]
+        assert any(common_words(span, t) >= max(k, round(coverage * len(t))) and len(span) * licenses.LEAST_DENSITY <= common_words(span, t) for t, k in rules)
+    for other, t, _, _, k in scanner.rules:
+        windows = (words[s : s + 2 * len(t)] for s in range(0, max(1, len(words) - len(t) // 2)))
+        if all(common_words(w, t) < k for w in windows) and not any(m == other and t2 != t for m, t2, *_ in scanner.rules):
+            assert other not in got
+
+
 @pytest.mark.parametrize("copies", [2, 3])
 def test_repeated_notices_in_short_texts(copies):
     scanner = licenses.Scanner()
