@@ -277,6 +277,7 @@ def _share(key: str, seed: int, parts: Column) -> Column:
 def parted(rows: DataFrame, size: int = DATA_BLOCK, sample: int = SAMPLE, fan: int = CENTRES) -> DataFrame:
     """``rows`` with ``cell``, the path of centres that lead to each; cells of more than ``size`` rows are parted further.
 
+    A cell takes as many centres as leave its children half full, ``fan`` at most.
     A cell that is one vector many times ends in ``!`` and stays. Rows of a
     large cell are dealt to their centres by many tasks, which a salt parts.
     """
@@ -292,9 +293,10 @@ def parted(rows: DataFrame, size: int = DATA_BLOCK, sample: int = SAMPLE, fan: i
         def choose(t: pa.Table) -> pa.Table:
             t = t.sort_by("row")
             x = _matrix(t.column("v")).astype(float)
-            chosen, _ = farthest_first(x, int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))), fan)
+            n = t.column("n")[0].as_py()
+            chosen, _ = farthest_first(x, int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1))), min(fan, max(2, -(-2 * n // size))))
             v = t.column("v").combine_chunks().take(pa.array(chosen))
-            return pa.table({"cell": [t.column("cell")[0].as_py()], "n": [t.column("n")[0].as_py()], "centres": pa.array([v.to_pylist()], pa.list_(pa.list_(pa.int64())))})
+            return pa.table({"cell": [t.column("cell")[0].as_py()], "n": [n], "centres": pa.array([v.to_pylist()], pa.list_(pa.list_(pa.int64())))})
 
         centres = written(some.select("cell", "n", "row", "v").groupBy("cell").applyInArrow(choose, "cell string, n long, centres array<array<bigint>>"), "centres")
         parts = F.ceil(F.col("n") / DEAL).cast("long")
