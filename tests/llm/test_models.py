@@ -281,6 +281,66 @@ def test_raw_scores_are_sums_over_pairs():
     assert got == pytest.approx(want)
 
 
+def test_terms_are_chosen_as_by_hand(spark, monkeypatch):
+    """Chi-square of every hashed term over the labelled rows outside the held-out fold; repeated labels; ties by term."""
+    import random
+
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 9)
+    rng = random.Random(12)
+    words = ["vermin", "scumbag", "house", "river", "lamp", "brook", "stone"]
+    rows, told = [], []
+    for i in range(240):
+        toxic = rng.random() < 0.3
+        rows.append((i, " ".join(w for w in words if rng.random() < (0.6 if toxic == (w in words[:2]) else 0.25)), "en", "s"))
+        told.append((i, 1, int(toxic)))
+    told += [(3, 1, 1), (5, 1, None), (9999, 1, 1)]
+    labels = spark.createDataFrame(told, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(make(spark, rows), labels)
+    y = {i: max(t for j, _, t in told if j == i and t is not None) for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    seen = {i: toxicity.Terms().of(t) for i, t, *_ in rows if i in y}
+    n1, n = sum(y.values()), len(y)
+    score = {}
+    for term in set().union(*seen.values()):
+        a = sum(y[i] for i in y if term in seen[i])
+        b = sum(1 - y[i] for i in y if term in seen[i])
+        table = np.array([[a, n1 - a], [b, n - n1 - b]], float)
+        even = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / n
+        if 3 <= a + b < n:
+            score[term] = ((table - even) ** 2 / even).sum()
+    best = sorted((t for t in score if score[t] >= toxicity.LEAST_CHI2), key=lambda t: (-score[t], t))[:9]
+    assert best and sorted(model.columns) == sorted(best)
+
+
+def test_steps_follow_the_gradient():
+    """Weights after a few rounds as by plain loops over rows and pairs of terms, with numerical gradients."""
+    rows, y, weight = [[0, 1], [1, 2], [0, 2], [2], []], np.array([1.0, 0, 1, 0, 0]), np.array([2.0, 1, 1, 3, 1])
+    n = np.array([len(r) for r in rows])
+    row, col = np.repeat(np.arange(5), n), np.array([c for r in rows for c in r], np.int64)
+
+    def loss(p):
+        b, w, v = p[0], p[1:4], p[4:].reshape(3, toxicity.FACTORS)
+        total = 0.0
+        for r, t, k in zip(rows, y, weight / weight.sum(), strict=True):
+            z = b + sum(w[i] for i in r) + sum(v[i] @ v[j] for a, i in enumerate(r) for j in r[a + 1 :])
+            total += k * (math.log1p(math.exp(z)) - t * z)
+        return total + 0.5e-6 * (p[1:] ** 2).sum()
+
+    share = (weight * y).sum() / weight.sum()
+    p = np.concatenate([[math.log(share / (1 - share))], np.zeros(3), np.random.default_rng(11).normal(0, 0.05, (3, toxicity.FACTORS)).ravel()])
+    m1 = m2 = np.zeros_like(p)
+    for t in range(1, 21):
+        g = np.array([(loss(p + e) - loss(p - e)) / 2e-6 for e in 1e-6 * np.eye(len(p))])
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        p = p - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
+    before, toxicity.ROUNDS = toxicity.ROUNDS, 20
+    try:
+        got = toxicity.fitted(row, col, y, weight, 3, {})
+    finally:
+        toxicity.ROUNDS = before
+    assert got.bias == pytest.approx(p[0], abs=1e-4) and got.weights == pytest.approx(p[1:4], abs=1e-4)
+    assert got.factors.ravel() == pytest.approx(p[4:], abs=1e-3)
+
+
 def test_toxicity_held_out(spark, empty):
     import random
 
