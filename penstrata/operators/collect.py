@@ -27,21 +27,25 @@ def bin_of(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64).cast("long")
 
 
-def below(h: DataFrame, by: list[str], value: str, n: str, name: str = "below") -> DataFrame:
-    """``h`` with the sum of ``n`` over all rows of the same ``by`` with a lesser ``value``.
+def below(h: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """``h`` with below and tied: the sums of ``n`` over the rows of the same ``by`` with a lesser ``value``, and with the same.
 
     Rows are summed inside bins of the value, bins by their totals, of which
     there are few: a group with most rows is parted by value and never sorted
-    in one task.
+    in one task. ``h`` should end in an aggregate of one sum: both branches
+    then read one exchange.
     """
     binned = h.withColumn("_bin", bin_of(F.col(value).cast("double")))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, "_bin"]
     totals = binned.groupBy(*keys).agg(F.sum(n).alias("_total")).withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy(*keys).orderBy(value)
+    upto = F.sum(n).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    tied = F.sum(n).over(inside.rangeBetween(Window.currentRow, Window.currentRow))
     right = totals.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_start")
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return binned.withColumn("_inside", inside).join(right, same).withColumn(name, F.col("_start") + F.col("_inside")).select(*h.columns, name)
+    out = binned.withColumn("tied", tied).withColumn("_upto", upto).join(right, same)
+    return out.select(*h.columns, (F.col("_start") + F.col("_upto") - F.col("tied")).alias("below"), "tied")
 
 
 def ranked_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -49,15 +53,13 @@ def ranked_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[
 
     By ranks over a histogram, so that no group is gathered.
     """
-    h = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    h = h.withColumn("k", F.when(F.col(value).isNotNull(), F.col("c")).otherwise(0))
+    h = rows.groupBy(*by, value).agg(F.count("*").alias("c")).withColumn("k", F.when(F.col(value).isNotNull(), F.col("c")).otherwise(0))
     totals = h.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("k").alias("known"))
-    run = below(h.where(F.col(value).isNotNull()), by, value, "k")
     right = totals.select(*[F.col(k).alias(f"_t_{k}") for k in by], "n", "known")
-    both = right.join(run, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in by] or F.lit(True), "left")
+    both = below(h, by, value, "k").join(right, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in by])
     at = lambda p: F.least(F.floor(F.col("known") * F.lit(p)), F.col("known") - 1)
     picks = [F.min(F.when((F.col("below") <= at(p)) & (at(p) < F.col("below") + F.col("k")), F.col(value))).alias(name) for name, p in shares.items()]
-    return both.groupBy(*[f"_t_{k}" for k in by]).agg(F.first("n").alias("n"), F.first("known").alias("known"), *picks).withColumnsRenamed({f"_t_{k}": k for k in by})
+    return both.groupBy(*by).agg(F.first("n").alias("n"), F.first("known").alias("known"), *picks)
 
 
 def drift_groups(rows: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ def auroc(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     Ranks come from a histogram of scores, summed by bins of the score, so
     that no group is sorted in one task.
     """
-    h = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    h = below(h, by, score, "n").withColumn("twice", F.col("p") * (2 * F.col("below") + F.col("n") + 1))
-    g = h.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"), F.sum("twice").alias("t"))
+    h = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score, F.col(label).cast("long").alias("_y")).agg(F.count("*").alias("n"))
+    h = below(h, by, score, "n").withColumn("p", F.col("_y") * F.col("n"))
+    g = h.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"), F.sum(F.col("p") * (2 * F.col("below") + F.col("tied") + 1)).alias("t"))
     value = (F.col("t") - F.col("n_pos") * (F.col("n_pos") + 1)) / (2 * F.col("n_pos") * F.col("n_neg"))
     return g.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), value).alias("auroc"))
 
