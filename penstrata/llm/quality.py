@@ -56,6 +56,8 @@ CONDITION = 50.0
 REJECT_P = 1e-9
 #: Words at which half of a rate's variance comes from the document's length alone; deviations count by the rest.
 WHOLE = 1000.0
+#: Words that stand together when repetition is counted.
+BLOCK = 50
 #: Components of the vector: length, and four rates.
 FEATURES = ("log_words", "word_length", "log_others", "repetition", "line_length")
 P = len(FEATURES)
@@ -71,8 +73,9 @@ def counted(text: bytes | None) -> tuple[int, int, int, int, int, int, int, floa
     """COUNTS of a text, then characters that are no letters, lines with a word, and repetition.
 
     Its words are the runs of anything but 20 and 09-0D; null has none.
-    Repetition is what the entropy of the words falls short of that of as many
-    different ones.
+    Repetition is the share of words that are not distinct inside blocks of
+    BLOCK words, the last of which ends with the text, so that it does not
+    grow with the length.
     """
     words = text.split() if text else ()
     if not words:
@@ -89,9 +92,12 @@ def counted(text: bytes | None) -> tuple[int, int, int, int, int, int, int, floa
     m = len(number)
     if m == n:
         return n, chars, symbols, same_lines, 0, others, len(lines), 0.0
-    often = np.bincount(ids)
-    often = often[often > 1]
-    repetition = float((often * np.log(often)).sum() / n)
+    size = min(n, BLOCK)
+    blocks = ids[: n // size * size].reshape(-1, size)
+    if n % size:
+        blocks = np.vstack([blocks, ids[-size:]])
+    distinct = len(blocks) + int((np.diff(np.sort(blocks, axis=1), axis=1) != 0).sum())
+    repetition = 1 - distinct / blocks.size
     repeated = 0
     if n > WINDOW:
         pair = np.unique(ids[:-1] * m + ids[1:], return_inverse=True)[1] if m > 2_000_000 else ids[:-1] * m + ids[1:]

@@ -101,7 +101,9 @@ def slow_counts(text):
     grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     inside = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
     others = len(re.findall(r"[!-@\[-`{-~]", text or ""))
-    short = math.log(len(words)) + sum(c / len(words) * math.log(c / len(words)) for c in Counter(words).values()) if words else 0.0
+    size = min(quality.BLOCK, len(words))
+    blocks = [words[i : i + size] for i in range(0, len(words) - size + 1, size)] + ([words[-size:]] if len(words) % size else []) if words else []
+    short = 1 - sum(len(set(b)) for b in blocks) / sum(map(len, blocks)) if words else 0.0
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside), others, len(lines), pytest.approx(short, abs=1e-9))
 
 
