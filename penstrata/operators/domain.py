@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from penstrata.functions.text import bare, chars_in
+from penstrata.functions.text import PUNCTUATION, SPACE, chars_in
 
 LEAST_CHARS = 80
 #: Characters, phrases and bounds of the kinds.
 STRONG, PARTICLES, LE = "乎哉兮矣焉欤俟汝尓乃遂皆曰", "的地得", "了"
 DE_MAX, STRONG_MIN, LE_MAX = 0.010, 0.008, 0.006
 VERSE_SENTENCES, VERSE_SHARE, CLAUSE = 4, 0.60, (5, 9)
+COMMAS = "，、；"
 CJK_MIN = 0.30
 GENRES = {"issuance-notice": "印发给你们，请", "approval-reply": "批复如下"}
 OFFICIAL = [
@@ -37,12 +38,16 @@ def _shape(clean: Column, n: Column, balanced: Column, sentences: Column, length
     return F.when(n >= LEAST_CHARS, F.filter(kinds, lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
-def of_sentence() -> dict[str, Column]:
-    """even: two clauses of verse length, with their lengths in lens."""
-    parts = F.filter(F.split("text", "[，、；]"), lambda p: F.trim(bare(p)) != "")
-    lens = F.transform(parts, lambda p: F.length(bare(p)))
-    even = F.coalesce((F.size(parts) == 2) & F.forall(lens, lambda x: x.between(*CLAUSE)), F.lit(False))
-    return {"even": even, "lens": F.when(even, lens).otherwise(F.array().cast("array<int>")), "head": F.coalesce(F.col("text").startswith(OFFICIAL_HEADS[0]) | F.col("text").startswith(OFFICIAL_HEADS[1]), F.lit(False))}
+def of_sentence(rows: DataFrame) -> DataFrame:
+    """``rows`` of sentences with even: two clauses of verse length, with their lengths in lens, and head."""
+    other = "".join(c for c in PUNCTUATION + SPACE if c not in COMMAS)
+    clauses = F.filter(F.transform(F.split(F.translate("text", other, ""), f"[{COMMAS}]"), F.length), lambda n: n > 0)
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("lens", F.when(F.col("text").rlike(f"[{COMMAS}]"), clauses).otherwise(none))
+    even = (F.size("lens") == 2) & F.get("lens", F.lit(0)).between(*CLAUSE) & F.get("lens", F.lit(1)).between(*CLAUSE)
+    rows = rows.withColumn("even", F.coalesce(even, F.lit(False)))
+    head = F.coalesce(F.col("text").startswith(OFFICIAL_HEADS[0]) | F.col("text").startswith(OFFICIAL_HEADS[1]), F.lit(False))
+    return rows.withColumn("lens", F.when(F.col("even"), F.col("lens")).otherwise(none)).withColumn("head", head)
 
 
 def of_para() -> list[Column]:

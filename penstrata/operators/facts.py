@@ -56,7 +56,7 @@ def facts(docs: DataFrame, pack: Pack | None = None, lexicon: list[str] | None =
         s = s.withColumn("hits", F.when(has_content(text), sentence_hits(pack, text)))
         fields.append("hits")
     if flags:
-        s = s.withColumns(domain.of_sentence())
+        s = domain.of_sentence(s)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     by_para = s.groupBy("doc_id", "para", "kind").agg(
         F.count("text").alias("n"), zero(F.sum(n)).alias("len"), zero(F.sum(n * n)).alias("sq"), zero(F.sum(words)).alias("words"),
