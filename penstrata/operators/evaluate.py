@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from penstrata.functions.text import PUNCTUATION, chars_in
 from penstrata.operators.collect import below, ranked_percentiles
+from penstrata.session import kept
 
 #: Bands of length that tables and models are split by.
 BANDS = ((300, "short"), (600, "mid"))
@@ -132,7 +133,7 @@ def leave_one_out(rows: DataFrame, features: list[str], label: str, channel: str
 
 def group_table(rows: DataFrame, by: str, score: str, limit: float = 80.0) -> DataFrame:
     """(by, n, median, p90, share_above, share_below): scores by model or channel; shares at ``limit`` or above, and below it, of those with a score."""
-    some = rows.where(F.col(score).isNotNull())
+    some = kept(rows.select(by, score)).where(F.col(score).isNotNull())
     shares = some.groupBy(by).agg(F.count_if(F.col(score) >= limit).alias("above"))
     g = ranked_percentiles(some, [by], score, {"median": 0.5, "p90": 0.9}).join(shares, by)
     return g.select(by, "n", "median", "p90", (F.col("above") / F.col("n")).alias("share_above"), ((F.col("n") - F.col("above")) / F.col("n")).alias("share_below"))
