@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from penstrata.functions.text import ENTITIES, mask_pii, page_links, page_text, scaled, sha_prefix
 from penstrata.operators import collect, compare, domain, evaluate, mining, perplexity, rewrite, rules, score, segment, stats
 from penstrata.operators.facts import facts
-from penstrata.packs import PROFILES, load
+from penstrata.packs import PROFILES, Pack, load
 from penstrata.plans import oracles as o
 from penstrata.plans import report
 from penstrata.session import table
@@ -158,12 +158,14 @@ def domain_flags_official(spark, sf_dir):
 
 @query(o.with_(o.zh(), *[o.hits(load(p), out=f"hit_{p}") for p in PROFILES], select=" UNION ALL ".join(f"SELECT '{p}' AS pack, rule_id, is_hint, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM hit_{p} GROUP BY rule_id, is_hint" for p in PROFILES)))
 def pack_hits(spark, sf_dir):
-    """Every rule of every pack."""
-    docs, out = zh_docs(spark, sf_dir), None
-    for p in PROFILES:
-        part = rules.rule_hits(docs, load(p)).groupBy("rule_id", "is_hint").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).select(F.lit(p).alias("pack"), "rule_id", "is_hint", "n", "n_docs")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every rule of every pack, all packs in one pass over the documents."""
+    of_pack = [(p, r) for p in PROFILES for r in load(p).rules]
+    both = Pack("all", tuple(r for _, r in of_pack))
+    hits = rules.hits_of(facts(zh_docs(spark, sf_dir), both, lexicon=[]), both)
+    by_doc = hits.groupBy("doc_id", "rule_ord", "rule_id", "is_hint").agg(F.count("*").alias("n"))  # in place: rows are dealt by document
+    g = by_doc.groupBy("rule_ord", "rule_id", "is_hint").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    name = F.element_at(F.array(*[F.lit(p) for p, _ in of_pack]), F.col("rule_ord") + 1)
+    return g.select(name.alias("pack"), "rule_id", "is_hint", "n", "n_docs")
 
 
 def _index(spark, sf_dir, pack=GENERAL, step=7):
