@@ -104,7 +104,7 @@ def ablation(rows: DataFrame, label: str, arms: dict[str, list[str]]) -> DataFra
 
 def tier_fits(rows: DataFrame, features: list[str], label: str, least: tuple[int, int] = (30, 10)) -> DataFrame:
     """(band, n_pos, n_neg, auroc, reliable): a model for each length band; reliable with at least so many of label 1 and of label 0. A band of one class has no model."""
-    banded = rows.withColumn("band", band(F.col("n_chars")))
+    banded = kept(rows.select(label, *features, band(F.col("n_chars")).alias("band")))
     out = rows.sparkSession.createDataFrame([], "band string, n_pos long, n_neg long, auroc double, reliable boolean")
     for r in banded.groupBy("band").agg(F.sum(label).alias("p"), F.count("*").alias("n")).orderBy("band").collect():
         own = banded.where(F.col("band") == r["band"])
