@@ -94,7 +94,7 @@ def held_out_auroc(rows: DataFrame, features: list[str], label: str, key: str, s
 
 def ablation(rows: DataFrame, label: str, arms: dict[str, list[str]]) -> DataFrame:
     """(arm, n_pos, n_neg, auroc): of a single feature as it is, of several as a fitted model."""
-    out = None
+    rows, out = kept(rows.select(label, *dict.fromkeys(f for features in arms.values() for f in features))), None
     for name, features in arms.items():
         score = rows.withColumn("_s", F.col(features[0]).cast("double")) if len(features) == 1 else apply_fit(rows, *logistic_fit(rows, features, label), "_s")
         part = score.select(F.lit(name).alias("arm"), "_s", label)
