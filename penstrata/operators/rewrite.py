@@ -103,10 +103,14 @@ def applied(docs: DataFrame, advice: DataFrame) -> DataFrame:
 
 
 def attacked(docs: DataFrame, sents: DataFrame, pack: Pack) -> DataFrame:
-    """(doc_id, text): drafts rewritten sentence by sentence, paragraph breaks kept, for scoring an index against its own advice."""
+    """(doc_id, text): drafts rewritten sentence by sentence, paragraph breaks kept, for scoring an index against its own advice.
+
+    What goes is left out where sentences are gathered: a filter on the action
+    would be pushed below it, with the whole decision, once for each mention.
+    """
     lines = sents.select("doc_id", "para", "unit", "pos", "text")
-    told = advised(lines, pack).where(f"action <> '{DROP}'")
+    told = advised(lines, pack)
     s = F.when((F.col("action") == CHANGE) & F.col("candidate").isNotNull(), F.col("candidate")).otherwise(F.col("text"))
-    paras = told.groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "pos", s.alias("s")))), lambda x: x["s"]), "").alias("s"))
+    paras = told.groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("action") != DROP, F.struct("unit", "pos", s.alias("s"))))), lambda x: x["s"]), "").alias("s"), F.count_if(F.col("action") != DROP).alias("n")).where("n > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "s"))), lambda x: x["s"]), "\n\n")
     return docs.select("doc_id").join(paras.groupBy("doc_id").agg(text.alias("text")), "doc_id", "left").na.fill("", ["text"])

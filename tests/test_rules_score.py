@@ -147,3 +147,19 @@ def test_rewrite_advice(spark):
     assert got == ADVICE
     draft = rewrite.applied(d, advice).first().text.split("\n")
     assert draft == ["- 实测失败率降到3%，别急，慢慢来，总会好的", "论文写完了。", "把书桌收拾了。", "路还长。", "今天买了咖啡"]
+
+
+def test_all_packs_meet_the_documents_in_one_pass(spark):
+    from penstrata.plans.registry import QUERIES
+
+    plan = QUERIES["pack_hits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("lineitem.parquet") == 1
+
+
+def test_the_decision_on_a_line_is_no_filter(spark):
+    """A filter on the action is pushed below the decision, which it then makes again for each mention of it."""
+    d = docs(spark, ["深夜的你，把书桌收拾了。", "点击按钮选择文件。"])
+    rows = rewrite.attacked(d, segment.sentences(d), load("personal"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "RLIKE" in x]
+    assert {r.doc_id for r in rows.where("text <> ''").collect()} == {0}
