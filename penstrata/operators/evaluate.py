@@ -123,6 +123,7 @@ def channels(rows: DataFrame, label: str, channel: str, least: int = 3) -> DataF
 
 def leave_one_out(rows: DataFrame, features: list[str], label: str, channel: str, least: int = 3) -> DataFrame:
     """The rows of label 0 of each such channel scored by a model of all the others; those of label 1 by one of all rows."""
+    rows = kept(rows)
     known = [r[channel] for r in channels(rows, label, channel, least).orderBy(channel).collect()]
     out = apply_fit(rows.where(F.col(label) == 1), *logistic_fit(rows, features, label))
     for c in known:
