@@ -178,7 +178,7 @@ def apply_fit(rows: DataFrame, intercept: float, coefs: dict[str, float], name:
 
 def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str) -> DataFrame:
     """Each group's rows scored by a model of all others: k-fold with ``group`` a fold, leave-one-out with a channel. Groups are few."""
-    out = None
+    rows, out = kept(rows), None
     for (g,) in rows.select(group).distinct().orderBy(group).collect():
         fit = logistic_fit(rows.where(F.col(group) != g), features, label)
         part = apply_fit(rows.where(F.col(group) == g), *fit)

@@ -18,7 +18,7 @@ from penstrata.operators.facts import facts
 from penstrata.packs import PROFILES, Pack, load
 from penstrata.plans import oracles as o
 from penstrata.plans import report
-from penstrata.session import table
+from penstrata.session import kept, table
 from penstrata.sources.synthetic import md_docs, zh_docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,7 +427,7 @@ def calibrated(spark, sf_dir):
 
 @query()
 def cross_validated(spark, sf_dir):
-    rows = evaluate.stratified_folds(labelled(spark, sf_dir).na.drop(), ["lang", "label"], "doc_id", 3)
+    rows = evaluate.stratified_folds(kept(labelled(spark, sf_dir).na.drop()), ["lang", "label"], "doc_id", 3)
     held = evaluate.out_of_fold(rows, ["sentence_cv", "ngram_repeat"], "label", "fold")
     return evaluate.auroc(held.withColumn("_", F.lit(0)), ["_"], "fitted", "label").drop("_")
 
