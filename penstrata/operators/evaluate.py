@@ -84,9 +84,9 @@ def half_split(rows: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 
 def held_out_auroc(rows: DataFrame, features: list[str], label: str, key: str, seeds: int = 10) -> DataFrame:
     """(seed, n_pos, n_neg, auroc) of models fitted on one half and tried on the other."""
-    out = None
+    rows, out = kept(rows.select(key, label, *features)), None
     for seed in range(seeds):
-        parts = half_split(rows, label, key, seed)
+        parts = kept(half_split(rows, label, key, seed))
         held = apply_fit(parts.where("fold = 1"), *logistic_fit(parts.where("fold = 0"), features, label)).withColumn("seed", F.lit(seed))
         out = held if out is None else out.unionByName(held)
     return auroc(out, ["seed"], "fitted", label)

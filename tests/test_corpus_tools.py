@@ -269,3 +269,29 @@ def test_stream_counts_by_window(spark, tmp_path):
     hits = drift.live_hits(stream, load("general"))
     drift.run_into(hits, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("rule_id").count().orderBy("rule_id").collect() == [("G-HYPE-01", 6), ("G-SAFE-01", 3)]
+
+
+def counted(spark, df):
+    """``df`` and a count of its rows as they are computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    def one_more(row):
+        n.add(1)
+        return row
+
+    return spark.createDataFrame(df.rdd.map(one_more), df.schema), n
+
+
+@pytest.mark.parametrize("step", ["group_table", "tier_fits", "ablation", "leave_one_out", "out_of_fold", "held_out_auroc", "collapse"])
+def test_rows_are_computed_once(spark, step):
+    """Whatever reads its rows many times computes them once, however many models or lengths there are."""
+    df = spark.range(0, 240, 1, 2).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 11 + 6.0 * (F.col("id") % 2)).alias("x"), F.rand(1).alias("z"), (F.col("id") * 4).alias("n_chars"))
+    if step == "collapse":
+        df = spark.createDataFrame([("甲乙丙丁" + c, 9) for c in "一二三四五六"] + [(a + b, 7) for a in "甲乙" for b in "丙丁"], "gram string, df_1 long")
+    rows, n = counted(spark, df)
+    {
+        "group_table": lambda: evaluate.group_table(rows, "g", "x", 9.0), "tier_fits": lambda: evaluate.tier_fits(rows, ["x"], "y"), "ablation": lambda: evaluate.ablation(rows, "y", {"x": ["x"], "both": ["x", "z"]}),
+        "leave_one_out": lambda: evaluate.leave_one_out(rows, ["x"], "y", "g"), "out_of_fold": lambda: evaluate.out_of_fold(rows, ["x"], "y", "g"), "held_out_auroc": lambda: evaluate.held_out_auroc(rows, ["x", "z"], "y", "id", 2),
+        "collapse": lambda: mining.collapse(rows, [2, 3, 4, 5]),
+    }[step]().collect()
+    assert n.value == df.count()
