@@ -421,7 +421,7 @@ def rule_discrimination(spark, sf_dir):
 
 @query()
 def calibrated(spark, sf_dir):
-    rows = labelled(spark, sf_dir).na.drop()
+    rows = kept(labelled(spark, sf_dir).na.drop())
     return evaluate.apply_fit(rows, *evaluate.logistic_fit(rows, ["sentence_cv", "ngram_repeat"], "label")).select("doc_id", "label", "fitted")
 
 
