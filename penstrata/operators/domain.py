@@ -55,9 +55,9 @@ def of_para() -> list[Column]:
 
 
 def para_kinds() -> Column:
-    """Kinds of a paragraph with its sentences in ``s``."""
+    """Kinds of a paragraph with its sentences in ``s`` and their length in ``len``, so that short ones are not put together."""
     clean = F.array_join(F.transform("s", lambda x: x["clean"]), "")
-    return _shape(clean, F.length(clean), F.col("b"), F.col("n"), F.col("lens"))
+    return _shape(clean, F.col("len"), F.col("b"), F.col("n"), F.col("lens"))
 
 
 def of_doc() -> list[Column]:

@@ -34,7 +34,8 @@ def sentence_hits(pack: Pack, text: Column) -> Column:
     rules = [(i, r) for i, r in enumerate(pack.rules) if r.scope == "sentence" and r.patterns]
     if not rules:
         return F.array().cast(_HITS)
-    any_of = lambda r: text.rlike("|".join(f"(?:{p})" for p in r.patterns))
+    # alternatives bind loosest, so only flags need a group, which costs at each place of a text
+    any_of = lambda r: text.rlike("|".join(f"(?:{p})" if "(?" in p else p for p in r.patterns))
     made = [F.when(any_of(r), F.struct(F.lit(i).alias("rule_ord"), matches(r, text).alias("matches"))) for i, r in rules]
     return F.array_compact(F.array(*made)).cast(_HITS)
 

@@ -163,3 +163,9 @@ def test_the_decision_on_a_line_is_no_filter(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and "RLIKE" in x]
     assert {r.doc_id for r in rows.where("text <> ''").collect()} == {0}
+
+
+def test_flags_of_a_pattern_stay_with_it(spark):
+    own = pack("own", [{"id": "A", "name": "a", "scope": "sentence", "severity": "high", "patterns": ["(?i)abc", "XYZ", "q|r"]}])
+    got = rules.rule_hits(docs(spark, ["xyz。ABC。XYZ。r。"]), own).orderBy("pos").collect()
+    assert [(r.pos, r.matches) for r in got] == [(1, ["ABC"]), (2, ["XYZ"]), (3, ["r"])]
