@@ -64,18 +64,24 @@ def of_doc() -> list[Column]:
     return [F.sum("b").alias("b"), F.array_distinct(F.flatten(F.collect_list("lens"))).alias("lens"), F.bool_or("head").alias("head")]
 
 
+def of_facts() -> dict[str, Column]:
+    """shapes: classical and verse, of the document and then of its paragraphs; cjk: its Chinese characters."""
+    whole = _shape(F.col("clean"), F.length("clean"), F.col("b"), F.col("n_sentences"), F.col("lens"))
+    return {"shapes": F.concat(whole, F.flatten(F.transform("p", lambda x: x["kinds"]))), "cjk": F.length(F.regexp_replace("clean", "[^一-鿿]", "")).cast("long")}
+
+
 def kinds(genre: bool = False, officialese: bool = True) -> dict[str, Column]:
     """kinds in order, each once, non_chinese and has_content of a row of ``facts``.
 
     Whole-document kinds come first, then those of single paragraphs, genre,
     officialese and non-chinese.
     """
-    n = F.length("clean")
+    n = F.col("n_chars")
     long = n >= LEAST_CHARS
     official = long & (F.col("raw").rlike("|".join(OFFICIAL)) | F.col("head"))
-    foreign = long & (F.length(F.regexp_replace("clean", "[^一-鿿]", "")) / n < CJK_MIN)
+    foreign = long & (F.col("cjk") / n < CJK_MIN)
     when = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    found = [_shape(F.col("clean"), n, F.col("b"), F.col("n_sentences"), F.col("lens")), F.flatten(F.transform("p", lambda x: x["kinds"]))]
+    found = [F.col("shapes")]
     if genre:
         found += [when(long & F.col("raw").contains(phrase), k) for k, phrase in GENRES.items()]
     if officialese:

@@ -1,10 +1,9 @@
 """All that later steps need of a document, from one pass: segmented once, hit once, one row each.
 
-Sentences are matched as they are cut, in generated code; they come together
-by paragraph and by document, which needs no exchange beyond the one that
-segmentation deals documents by. Statistics, domain kinds, gate, findings and
-index are then expressions over a document's own row, without a join or a
-window.
+A document is read whole, in one call (``bydoc``), dealt by its id. Statistics,
+domain kinds, gate, findings and index are then expressions over a document's
+own row, without a join or a window. ``by_rows`` makes the same of rows of
+lines and sentences, for rules whose patterns only Spark's regex reads.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import count_of
-from penstrata.operators import domain
+from penstrata.operators import bydoc, domain
 from penstrata.operators.segment import ZH, Config, has_content, sentences
 from penstrata.packs import Pack, Rule
 
@@ -40,15 +39,27 @@ def sentence_hits(pack: Pack, text: Column) -> Column:
     return F.array_compact(F.array(*made)).cast(_HITS)
 
 
-def facts(docs: DataFrame, pack: Pack | None = None, lexicon: list[str] | None = None, config: Config = ZH, flags: bool = False) -> DataFrame:
+def facts(docs: DataFrame, pack: Pack | None = None, lexicon: list[str] | None = None, config: Config = ZH, flags: bool = False, need: tuple[str, ...] | None = None) -> DataFrame:
     """One row per document with a block.
 
     doc_id, n_paragraphs, n_sentences, n_chars, sum_sq, para_sq, conn, dashes,
-    raw and clean; with ``pack`` also ``found``, its hits with their places,
-    ungated; with ``flags`` what ``domain.kinds`` reads. ``lexicon`` defaults
-    to the pack's.
+    sums over windows (``bydoc.SUMS``), raw, clean and p, its paragraphs; with
+    ``pack`` also ``found``, its hits with their places, ungated; with
+    ``flags`` what ``domain.kinds`` reads. ``lexicon`` defaults to the pack's,
+    ``need`` names the columns wanted, if not all.
     """
     lexicon = list(lexicon if lexicon is not None else pack.lexicon if pack else ())
+    if not bydoc.supports(pack, lexicon):
+        return by_rows(docs, pack, lexicon, config, flags)
+    columns = [*bydoc.COUNTS, *bydoc.SUMS, "raw", "clean", "p", *(["found"] if pack else []), *(bydoc.FLAGS if flags else [])]
+    columns = [c for c in columns if need is None or c in need]
+    texts = docs.groupBy("doc_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))  # in place where documents are dealt by doc_id
+    made = bydoc.extractor(pack, lexicon, config, flags, SHAPE_CHARS, columns)(F.col("texts"))
+    return texts.select("doc_id", made.alias("f")).where("f is not null").select("doc_id", "f.*")
+
+
+def by_rows(docs: DataFrame, pack: Pack | None, lexicon: list[str], config: Config = ZH, flags: bool = False) -> DataFrame:
+    """``facts`` from rows: sentences come together by paragraph and by document. The sums over windows are left to ``stats_of``."""
     s = sentences(docs, config, outer=True)
     text, n = F.col("text"), F.length("clean").cast("long")
     words = sum((count_of(text, w) for w in lexicon), F.lit(0)).cast("long")
@@ -74,7 +85,11 @@ def facts(docs: DataFrame, pack: Pack | None = None, lexicon: list[str] | None =
     doc = doc.withColumn("raw", join("text")).withColumn("clean", join("clean"))
     double = count_of(F.col("raw"), "——")
     doc = doc.withColumn("dashes", double + (count_of(F.col("raw"), "—") - 2 * double))
-    return doc.withColumn("found", _found(pack)) if pack else doc
+    if pack:
+        doc = doc.withColumn("found", _found(pack))
+    if flags:
+        doc = doc.withColumns(domain.of_facts())
+    return doc.withColumn("p", F.transform("p", lambda q: F.struct(q["para"].alias("para"), q["kind"].alias("kind"), F.size(q["s"]).cast("long").alias("n"), F.get(q["s"], F.lit(0))["text"].alias("head"))))
 
 
 def _found(pack: Pack) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penstrata.operators.bydoc import COUNTS, SUMS
 from penstrata.operators.facts import facts, gated_found, per_rule
 from penstrata.operators.segment import ZH, Config
 from penstrata.operators.stats import stats_of
@@ -28,7 +29,7 @@ def hits_of(rows: DataFrame, pack: Pack) -> DataFrame:
 
 def rule_hits(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
     """All hits of documents, findings and hints alike."""
-    return hits_of(facts(docs, pack, config=config), pack)
+    return hits_of(facts(docs, pack, config=config, need=("found",)), pack)
 
 
 def threshold_of(rule: Rule, n_chars: Column) -> Column:
@@ -60,7 +61,7 @@ def doc_findings(stats: DataFrame, pack: Pack) -> DataFrame:
 
 def findings(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
     """All findings and hints, document rules with para -1, and ``ord``, the order of a report: severity, place, first hit of the rule."""
-    rows = stats_of(facts(docs, pack, config=config), pack.lexicon, "found").withColumn("whole", doc_rules(pack))
+    rows = stats_of(facts(docs, pack, config=config, need=(*COUNTS, *SUMS, "found")), pack.lexicon, "found").withColumn("whole", doc_rules(pack))
     rank = lambda s: F.when(s == "high", -2).when(s == "medium", -1).otherwise(0)
     fields = ("para", "unit", "pos", "rule_ord", "rule_id", "severity", "weight", "sentence", "matches", "is_hint")
     told = lambda h: F.array(F.concat(h["metric"], F.lit("="), F.format_string("%.3f", h["value"]), F.lit(" ("), h["threshold"].cast("string"), F.lit(")")))
@@ -106,7 +107,7 @@ def para_heat(rows: DataFrame, pack: Pack) -> DataFrame:
     """(doc_id, para, n_sents, density, level, excerpt) of paragraphs with a hit, of rows of ``facts``."""
     weights = per_rule(pack, "weight")
     weight = lambda q: F.aggregate(F.filter("found", lambda h: h["para"] == q["para"]), F.lit(0.0), lambda t, h: t + F.element_at(weights, h["rule_ord"] + 1))
-    hot = F.transform("p", lambda q: F.struct(q["para"].alias("para"), F.size(q["s"]).cast("long").alias("n_sents"), weight(q).alias("w"), F.get(q["s"], F.lit(0))["text"].alias("head")))
+    hot = F.transform("p", lambda q: F.struct(q["para"].alias("para"), q["n"].alias("n_sents"), weight(q).alias("w"), q["head"].alias("head")))
     rows = rows.select("doc_id", F.explode(F.filter(hot, lambda q: q["w"] > 0)).alias("q")).select("doc_id", "q.*")
     density = F.col("w") / F.col("n_sents")
     level = F.when(density >= 1.0, "high").when(density >= 0.5, "medium").otherwise("low")

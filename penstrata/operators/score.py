@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penstrata.operators.bydoc import COUNTS, FLAGS, SUMS
 from penstrata.operators.domain import kinds
 from penstrata.operators.facts import facts, gated_found
 from penstrata.operators.rules import doc_rules
@@ -52,7 +53,7 @@ def scored(rows: DataFrame, pack: Pack) -> DataFrame:
 def analyzed(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
     """One row per document with a block: statistics, counts of findings, the rules behind them (``rule_ids``, document rules among them), index, components, domain kinds and a note."""
     s = pack.scoring or {}
-    rows = facts(docs, pack, config=config, flags=True)
+    rows = facts(docs, pack, config=config, flags=True, need=(*COUNTS, *SUMS, *FLAGS, "raw", "found"))
     rows = rows.withColumns(kinds(bool(s.get("genre_ood")), pack.name != "official")).withColumn("hits", gated_found(pack))
     count = lambda f: F.size(F.filter("hits", f)).cast("long")
     rows = rows.withColumn("weight", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["weight"]))

@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import cv
+from penstrata.functions.windows import MATTR_WINDOW, window_sums
+from penstrata.operators.bydoc import COUNTS, SUMS
 from penstrata.operators.facts import facts
 from penstrata.operators.segment import ZH, Config
 
-MATTR_WINDOW = 100
-GRAM = 4
 #: Texts shorter than this repeat nothing.
 LEAST_REPEAT = 8
 
 
-def window_sums(text: str, window: int = MATTR_WINDOW, n: int = GRAM) -> tuple[int, int, int, int]:
-    """Of a text without punctuation: bigrams, distinct bigrams summed over all windows, n-grams, distinct n-grams.
-
-    A bigram at p whose last equal one is at q is new in every window that
-    begins behind q and holds p; their number is a difference of bounds, so
-    that no window is visited.
-    """
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    t = c[:-1] << 21 | c[1:] if len(c) >= 2 else c
-    m = len(t)
-    if not m:
-        return 0, 0, 0, 0
-    order = np.argsort(t, kind="stable")
-    last = np.full(m, -1)
-    same = t[order[1:]] == t[order[:-1]]
-    last[order[1:][same]] = order[:-1][same]
-    w, p = min(window, m), np.arange(m)
-    total = np.maximum(0, np.minimum(p, m - w) - np.maximum(last + 1, np.maximum(p - w + 1, 0)) + 1).sum()
-    if len(c) < n:
-        return m, int(total), 0, 0
-    pairs = np.unique(t[: len(t)], return_inverse=True)[1]
-    g = pairs[:-2] * (m + 1) + pairs[2:]
-    return m, int(total), len(g), len(np.unique(g))
-
-
 def _sums(clean: str):
     """``window_sums`` of a column, by document in memory: exploded bigrams would be a shuffle of many times the text."""
 
@@ -57,12 +31,13 @@ def doc_stats(docs: DataFrame, lexicon: list[str] = (), config: Config = ZH) ->
 
     What cannot be judged is null, never NaN. A document without a block has no row.
     """
-    return stats_of(facts(docs, lexicon=lexicon, config=config), lexicon)
+    return stats_of(facts(docs, lexicon=lexicon, config=config, need=(*COUNTS, *SUMS)), lexicon)
 
 
 def stats_of(c: DataFrame, lexicon: list[str] = (), *more: str) -> DataFrame:
     """The statistics of rows of ``facts``, and their columns ``more``."""
-    c = c.withColumn("w", _sums("clean")).select("*", "w.*")
+    if "tokens" not in c.columns:
+        c = c.withColumn("w", _sums("clean")).select("*", "w.*")
     n = F.col("n_sentences").cast("double")
     w = F.least(F.col("tokens"), F.lit(MATTR_WINDOW)).cast("double")
     return c.select(

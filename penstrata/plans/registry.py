@@ -161,7 +161,7 @@ def pack_hits(spark, sf_dir):
     """Every rule of every pack, all packs in one pass over the documents."""
     of_pack = [(p, r) for p in PROFILES for r in load(p).rules]
     both = Pack("all", tuple(r for _, r in of_pack))
-    hits = rules.hits_of(facts(zh_docs(spark, sf_dir), both, lexicon=[]), both)
+    hits = rules.hits_of(facts(zh_docs(spark, sf_dir), both, lexicon=[], need=("found",)), both)
     by_doc = hits.groupBy("doc_id", "rule_ord", "rule_id", "is_hint").agg(F.count("*").alias("n"))  # in place: rows are dealt by document
     g = by_doc.groupBy("rule_ord", "rule_id", "is_hint").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
     name = F.element_at(F.array(*[F.lit(p) for p, _ in of_pack]), F.col("rule_ord") + 1)
@@ -209,7 +209,7 @@ SELECT doc_id, para, n_sents, {o.scaled('w / n_sents')} AS density, CASE WHEN w
     SELECT doc_id, para, count(*) AS n_sents, substr(arg_min(text, pos), 1, 16) AS excerpt FROM zh_sent GROUP BY doc_id, para)
 JOIN (SELECT doc_id, para, sum(weight) AS w FROM hit GROUP BY doc_id, para) USING (doc_id, para)"""))
 def para_heat(spark, sf_dir):
-    return rules.para_heat(facts(zh_docs(spark, sf_dir), GENERAL), GENERAL).withColumn("density", scaled(F.col("density")))
+    return rules.para_heat(facts(zh_docs(spark, sf_dir), GENERAL, need=("p", "found")), GENERAL).withColumn("density", scaled(F.col("density")))
 
 
 _COUNTS = "sev AS (SELECT doc_id, count(*) FILTER (severity = 'high' AND NOT is_hint) AS high, count(*) FILTER (severity = 'medium' AND NOT is_hint) AS medium, count(*) FILTER (severity = 'low' AND NOT is_hint) AS low FROM hit GROUP BY doc_id)"
