@@ -166,10 +166,10 @@ def splitter(config: Config) -> Callable[[str], list[str]]:
 
 
 class Judge:
-    """What a sentence yields, whichever document it stands in: (text, clean, hits, words, clause lengths, head)."""
+    """What a sentence yields, whichever document it stands in: (text, clean, hits, words, clause lengths, head). Rules hit what has content, with ``contentless`` any text."""
 
-    def __init__(self, pack: Pack | None, lexicon: list[str], flags: bool) -> None:
-        self.words, self.flags, self.known = lexicon, flags, {}
+    def __init__(self, pack: Pack | None, lexicon: list[str], flags: bool, contentless: bool = False) -> None:
+        self.words, self.flags, self.contentless, self.known = lexicon, flags, contentless, {}
         rules = [(i, r.patterns) for i, r in enumerate(pack.rules) if r.scope == "sentence" and r.patterns] if pack else []
         self.rules = []
         for i, patterns in rules:
@@ -180,7 +180,7 @@ class Judge:
 
     def _hits(self, texts: list[str]) -> list[list]:
         out = [[] for _ in texts]
-        worth = [i for i, t in enumerate(texts) if _CONTENT.search(t)]
+        worth = [i for i, t in enumerate(texts) if self.contentless or _CONTENT.search(t)]
         column = pa.array([texts[i] for i in worth], pa.string()) if len(worth) >= FEW else None
         for i, patterns, fast, slow, whole in self.rules:
             if column is None:
@@ -327,3 +327,22 @@ def extractor(pack: Pack | None, lexicon: list[str], config: Config, flags: bool
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     # not computed anew for a filter on what it yields
     return F.arrow_udf(run, f"struct<{', '.join(f'{c}: {_SQL[c]}' for c in columns)}>").asNondeterministic()
+
+
+def matcher(pack: Pack):
+    """A column function: a text to the ids of the sentence rules that hit it, in order, none for null."""
+    ids = [r.id for r in pack.rules]
+    state: dict = {}
+
+    def run(column: pa.Array) -> pa.Array:
+        if not state:
+            state.update(judge=Judge(pack, [], False, contentless=True))
+        judge = state["judge"]
+        if len(judge.known) > REMEMBERED:
+            judge.known = {}
+        texts = column.to_pylist()
+        judge.learn(dict.fromkeys(t for t in texts if t is not None))
+        return pa.array([[ids[i] for i, _ in judge.known[t][2]] if t is not None else [] for t in texts], pa.list_(pa.string()))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>").asNondeterministic()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import LINE_BREAK, WS, strip
+from penstrata.operators import bydoc
 from penstrata.packs import Pack
 
 #: What a line is judged by.
@@ -40,15 +41,19 @@ def _without_paren(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"[（(][^）)]*[）)]{WS}*$", ""))
 
 
+def rules_hit(pack: Pack, text: Column) -> Column:
+    """Ids of the sentence rules that hit a text, in order; batches are searched together where Python's regex reads the patterns as Spark's does."""
+    if bydoc.supports(pack, []):
+        return bydoc.matcher(pack)(text)
+    any_of = lambda r: F.exists(F.array(*[text.rlike(p) for p in r.patterns]), lambda x: x)
+    return F.filter(F.array(*[F.when(any_of(r), F.lit(r.id)) for r in pack.of_scope("sentence") if r.patterns]), lambda x: x.isNotNull())
+
+
 def advised(lines: DataFrame, pack: Pack) -> DataFrame:
     """``lines(…, text)`` with action, rules, taste, candidate (null if none) and direction."""
     t = F.col("text")
     rules = pack.of_scope("sentence")
-    hit = {r.id: F.lit(False) for r in rules}
-    for r in rules:
-        for p in r.patterns:
-            hit[r.id] = hit[r.id] | t.rlike(p)
-    rows = lines.withColumn("rules", F.filter(F.array(*[F.when(hit[r.id], F.lit(r.id)) for r in rules]), lambda x: x.isNotNull()))
+    rows = lines.withColumn("rules", rules_hit(pack, t))
     tastes = F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.taste)])
     rows = rows.withColumn("taste", F.filter(F.transform("rules", lambda i: F.element_at(tastes, i)), lambda x: x != ""))
     body = _without_paren(F.regexp_replace(t, "[。！？～]+$", ""))

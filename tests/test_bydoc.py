@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from penstrata.operators import bydoc, score
+from penstrata.operators import bydoc, rewrite, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
 from penstrata.packs import PROFILES, load, pack
@@ -52,3 +53,15 @@ def test_many_sentences_are_searched_as_few_are():
             one.learn([t])
         all_.learn(texts)
         assert one.known == all_.known
+
+
+def test_advice_searches_rules_once_for_a_batch(spark):
+    texts = [*odd(200), *BANK]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line long, text string")
+    p = load("personal")
+    any_of = {r.id: sum((F.col("text").rlike(x).cast("int") for x in r.patterns), F.lit(0)) > 0 for r in p.of_scope("sentence")}
+    plain = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in any_of.items()]))
+    got = rows.select(rewrite.rules_hit(p, F.col("text")).alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(map(len, (r.a for r in got))) > 50
+    plan = rewrite.advised(rows, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and not any(f", {x})" in plan for r in p.of_scope("sentence") for x in r.patterns)
