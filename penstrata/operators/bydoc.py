@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import CONTENT, LINE_BREAK, PUNCTUATION, SPACE, WS
-from penstrata.functions.windows import window_sums
+from penstrata.functions.windows import sums_of
 from penstrata.operators import domain as d
 from penstrata.operators import segment as g
 from penstrata.operators.segment import Config
@@ -117,9 +117,12 @@ def units(text: str | None, config: Config) -> list[tuple[int, str, list[tuple[i
     out, before, coded = [], "b", False
     for n, raw in enumerate(_BREAK.split(text or "")):
         s = raw.strip(SPACE)
-        if s and s[0] == ">":
+        if not s:
+            before = "b"
+            continue
+        if s[0] == ">":
             s = _QUOTED.sub("", s)
-        if _FENCE.search(s):
+        if ("```" in s or "~~~" in s) and _FENCE.search(s):
             kind, coded = "b", not coded
         else:
             kind, s = typed(s, coded)
@@ -139,7 +142,8 @@ def units(text: str | None, config: Config) -> list[tuple[int, str, list[tuple[i
 def splitter(config: Config) -> Callable[[str], list[str]]:
     """The sentences of a unit, as in ``segment.split_sentences``."""
     away = "".join(chr(g.HIDDEN + i) for i in range(len(config.ends)))
-    hide, show, shown = str.maketrans(config.ends, away), str.maketrans(away, config.ends), re.compile(f"[{away}]")
+    hide, show = str.maketrans(config.ends, away), str.maketrans(away, config.ends)
+    special = re.compile(f'[{g.OPEN_QUOTES}{g.CLOSE_QUOTES}"{away}]')
     e, a = config.ends.replace("]", r"\]"), g.ABSORBED + config.ends
     whole = re.compile(f"[^{e}]++(?:[{e}][{a}]*+)?+|[{e}][{a}]*+")
 
@@ -157,10 +161,11 @@ def splitter(config: Config) -> Callable[[str], list[str]]:
         return "".join(out)
 
     def split(text: str) -> list[str]:
-        cut = whole.findall(hidden(text) if _QUOTE.search(text) else text)
-        if shown.search("".join(cut)):
-            cut = [x.translate(show) for x in cut]
-        return [x for x in (x.strip(SPACE) for x in cut) if x]
+        if special.search(text):
+            cut = [x.translate(show) for x in whole.findall(hidden(text))]
+        else:
+            cut = whole.findall(text)
+        return [y for x in cut if (y := x.strip(SPACE))]
 
     return split
 
@@ -221,7 +226,7 @@ def shape(clean: str, n: int, balanced: int, sentences: int, lengths: int) -> li
 
 
 def fact(cut: list, known: dict, shapes: list[int], most: int, flags: bool, need: list[str]) -> dict | None:
-    """The row of a document of which ``cut`` holds (para, kind, [(unit, pos, text)])."""
+    """The row of a document of which ``cut`` holds (para, kind, [(unit, pos, text)]), without the sums over windows."""
     if not cut:
         return None
     n_s = n_c = sq = psq = conn = b = 0
@@ -229,19 +234,21 @@ def fact(cut: list, known: dict, shapes: list[int], most: int, flags: bool, need
     for para, kind, sents in cut:
         length, own_b, own_lens, own = 0, 0, {}, []
         for unit, pos, text in sents:
-            text, bare, hits, words, clauses, is_head = known[text]
+            _, bare, hits, words, clauses, is_head = known[text]
             n = len(bare)
             length += n
             sq += n * n
-            conn += words
             raw.append(text)
             own.append(bare)
-            for i, m in hits:
-                found.append((para, unit, pos, text, i, m))
+            if words:
+                conn += words
+            if hits:
+                found += [(para, unit, pos, text, i, m) for i, m in hits]
             if clauses:
                 own_b += 1
                 own_lens.update(dict.fromkeys(clauses))
-            head = head or is_head
+            if is_head:
+                head = True
         n_s += len(sents)
         n_c += length
         psq += length * length
@@ -260,8 +267,6 @@ def fact(cut: list, known: dict, shapes: list[int], most: int, flags: bool, need
     raw, clean = "".join(raw), "".join(clean)
     double = raw.count("——")
     row = {"n_paragraphs": len(cut), "n_sentences": n_s, "n_chars": n_c, "sum_sq": sq, "para_sq": psq, "conn": conn, "dashes": raw.count("—") - double, "raw": raw, "clean": clean, "found": found, "p": paras}
-    if "tokens" in need:
-        row |= zip(SUMS, window_sums(clean))
     if flags:
         row |= {"head": head, "shapes": shape(clean, n_c, b, n_s, len(lens)) + kinds, "cjk": sum(map(len, _CJK.findall(clean)))}
     return row
@@ -321,6 +326,10 @@ def extractor(pack: Pack | None, lexicon: list[str], config: Config, flags: bool
                 judge.known = {}
             judge.learn(dict.fromkeys(s for cut in cuts for _, _, sents in cut for _, _, s in sents))
             rows = [fact(cut, judge.known, shapes, most, flags, columns) for cut in cuts]
+            if "tokens" in columns:
+                some = [r for r in rows if r]
+                for r, sums in zip(some, sums_of([r["clean"] for r in some])):
+                    r |= zip(SUMS, sums)
             parts.append(pa.StructArray.from_arrays([_column(rows, c) for c in columns], names=columns, mask=pa.array([r is None for r in rows], pa.bool_())))
         return pa.concat_arrays(parts)
 

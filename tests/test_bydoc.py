@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from penstrata.functions import windows
 from penstrata.operators import bydoc, rewrite, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
@@ -65,3 +66,13 @@ def test_advice_searches_rules_once_for_a_batch(spark):
     assert [r.a for r in got] == [r.b for r in got] and sum(map(len, (r.a for r in got))) > 50
     plan = rewrite.advised(rows, p)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and not any(f", {x})" in plan for r in p.of_scope("sentence") for x in r.patterns)
+
+
+def test_texts_are_put_together_for_their_sums(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab一二三😀\U0010ffff"[: r.randint(1, 7)]) for _ in range(r.choice([0, 1, 2, 3, 4, 5, 100, 101, 102, 400]))) for _ in range(300)]
+    want, alone, one = [windows.window_sums(t) for t in texts], [], windows.window_sums
+    monkeypatch.setattr(windows, "window_sums", lambda t: alone.append(t) or one(t))
+    assert windows.sums_of(texts) == want and max(map(len, alone)) < 2
+    monkeypatch.setattr(windows, "TOGETHER", 300)
+    assert windows.sums_of(texts) == want and windows.sums_of([]) == []
