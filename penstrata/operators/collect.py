@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penstrata.functions.text import mask_pii, sha_prefix
+from penstrata.session import kept
 
 KIND = "style-calibration-sample"
 #: What counts as drift: percentiles in points, shares otherwise.
@@ -88,7 +89,7 @@ def drift_signals(rows: DataFrame, old: str, new: str) -> DataFrame:
     Profiles must have both months; a rule that the new month lacks is not
     reported.
     """
-    some = rows.where(F.col("month").isin(old, new))
+    some = kept(rows.where(F.col("month").isin(old, new)).select("profile", "month", "score", "findings"))  # read twice: by group and by rule
     at = lambda month, c: F.max(F.when(F.col("month") == month, F.col(c)))
     values = ("score_rate", "p50", "p90")
     g = drift_groups(some).groupBy("profile").agg(at(old, "n").alias("was"), at(new, "n").alias("now"), *[at(m, c).cast("double").alias(f"{p}_{c}") for c in values for m, p in ((old, "o"), (new, "n"))]).where("was > 0 and now > 0")

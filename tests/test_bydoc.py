@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstrata.functions import windows
-from penstrata.operators import bydoc, rewrite, score
+from penstrata.operators import bydoc, collect, rewrite, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
 from penstrata.packs import PROFILES, load, pack
@@ -76,3 +76,16 @@ def test_texts_are_put_together_for_their_sums(monkeypatch):
     assert windows.sums_of(texts) == want and max(map(len, alone)) < 2
     monkeypatch.setattr(windows, "TOGETHER", 300)
     assert windows.sums_of(texts) == want and windows.sums_of([]) == []
+
+
+def counted(spark, rows, schema, column):
+    """A table of which ``column`` counts how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda x: (seen.add(1), x)[1], dict(x.split() for x in schema.split(", "))[column]).asNondeterministic()
+    return spark.createDataFrame(rows, schema).withColumn(column, touch(column)), seen
+
+
+def test_drift_signals_compute_their_samples_once(spark):
+    rows = [("p", m, s, ["A"] * (s > 50)) for m, s in (("1", 10), ("1", 20), ("2", 60), ("2", 80))]
+    df, seen = counted(spark, rows, "profile string, month string, score int, findings array<string>", "score")
+    assert {r.signal for r in collect.drift_signals(df, "1", "2").collect()} == {"p50", "p90", "A"} and seen.value == len(rows)
