@@ -55,7 +55,7 @@ def band(n_chars: Column) -> Column:
 
 def length_tiers(rows: DataFrame, value: str, label: str) -> DataFrame:
     """(band, n, median, n_pos, n_neg, auroc) of one metric by length."""
-    banded = rows.withColumn("band", band(F.col("n_chars")))
+    banded = kept(rows.select(band(F.col("n_chars")).alias("band"), value, label))  # read twice: for medians and for ranks
     n = ranked_percentiles(banded, ["band"], value, {"median": 0.5}).select("band", "n", "median")
     return n.join(auroc(banded, ["band"], value, label), "band", "left")
 

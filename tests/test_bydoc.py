@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstrata.functions import windows
-from penstrata.operators import bydoc, collect, rewrite, score
+from penstrata.operators import bydoc, collect, evaluate, rewrite, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
 from penstrata.packs import PROFILES, load, pack
@@ -89,3 +89,10 @@ def test_drift_signals_compute_their_samples_once(spark):
     rows = [("p", m, s, ["A"] * (s > 50)) for m, s in (("1", 10), ("1", 20), ("2", 60), ("2", 80))]
     df, seen = counted(spark, rows, "profile string, month string, score int, findings array<string>", "score")
     assert {r.signal for r in collect.drift_signals(df, "1", "2").collect()} == {"p50", "p90", "A"} and seen.value == len(rows)
+
+
+def test_length_tiers_compute_their_rows_once(spark):
+    rows = [(n, v, y) for n, v, y in ((10, 0.1, 0), (20, 0.3, 1), (400, 0.2, 0), (900, 0.5, 1))]
+    df, seen = counted(spark, rows, "n_chars long, v double, y int", "v")
+    got = {r.band: (r.n, r["median"], r.auroc) for r in evaluate.length_tiers(df, "v", "y").collect()}
+    assert got == {"short": (2, 0.3, 1.0), "mid": (1, 0.2, None), "long": (1, 0.5, None)} and seen.value == len(rows)
