@@ -13,10 +13,14 @@ KIND = "style-calibration-sample"
 POINTS, SCORE_SHARE, RULE_SHARE = 15.0, 0.20, 0.10
 
 
-def samples(docs: DataFrame, rows: DataFrame, profile: str, month: str, label: str = "hit") -> DataFrame:
-    """(type, time, label, profile, text, text_sha256, score, findings, n_chars) of ``docs`` and their analysed ``rows``; the text is masked first."""
-    text = mask_pii(F.col("text"))
-    out = docs.select("doc_id", text.alias("text")).join(rows.select("doc_id", "index", "n_chars", "rule_ids"), "doc_id")
+def samples(docs: DataFrame | None, rows: DataFrame, profile: str, month: str, label: str = "hit") -> DataFrame:
+    """(type, time, label, profile, text, text_sha256, score, findings, n_chars) of ``docs`` and their analysed ``rows``; the text is masked first. Rows that bring their ``texts`` need no ``docs``, which are then not read again."""
+    of = ("index", "n_chars", "rule_ids")
+    if "texts" in rows.columns:
+        both = rows.select("doc_id", F.explode("texts").alias("t"), *of).select("doc_id", "t.text", *of)
+    else:
+        both = docs.select("doc_id", "text").join(rows.select("doc_id", *of), "doc_id")
+    out = both.withColumn("text", mask_pii(F.col("text")))
     return out.select(
         "doc_id", F.lit(KIND).alias("type"), F.lit(month).alias("time"), F.lit(label).alias("label"), F.lit(profile).alias("profile"), "text", sha_prefix(F.col("text")).alias("text_sha256"),
         F.bround("index", 0).cast("int").alias("score"), F.col("rule_ids").alias("findings"), F.col("n_chars").cast("long").alias("n_chars"),

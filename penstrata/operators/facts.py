@@ -46,16 +46,22 @@ def facts(docs: DataFrame, pack: Pack | None = None, lexicon: list[str] | None =
     sums over windows (``bydoc.SUMS``), raw, clean and p, its paragraphs; with
     ``pack`` also ``found``, its hits with their places, ungated; with
     ``flags`` what ``domain.kinds`` reads. ``lexicon`` defaults to the pack's,
-    ``need`` names the columns wanted, if not all.
+    ``need`` names the columns wanted, if not all; ``texts``, the document's own
+    texts as structs, comes only where it is named.
     """
     lexicon = list(lexicon if lexicon is not None else pack.lexicon if pack else ())
+    carried = [c for c in ("texts",) if c in (need or ())]
+    texts = docs.groupBy("doc_id").agg(F.collect_list(F.struct("text")).alias("texts"))  # in place where documents are dealt by doc_id
     if not bydoc.supports(pack, lexicon):
-        return by_rows(docs, pack, lexicon, config, flags)
+        rows = by_rows(docs, pack, lexicon, config, flags)
+        return rows.join(texts, "doc_id") if carried else rows
     columns = [*bydoc.COUNTS, *bydoc.SUMS, "raw", "clean", "p", *(["found"] if pack else []), *(bydoc.FLAGS if flags else [])]
     columns = [c for c in columns if need is None or c in need]
-    texts = docs.groupBy("doc_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))  # in place where documents are dealt by doc_id
-    made = bydoc.extractor(pack, lexicon, config, flags, SHAPE_CHARS, columns)(F.col("texts"))
-    return texts.select("doc_id", made.alias("f")).where("f is not null").select("doc_id", "f.*")
+    if not carried:
+        texts = docs.groupBy("doc_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    read = F.transform("texts", lambda x: F.coalesce(x["text"], F.lit(""))) if carried else F.col("texts")
+    made = bydoc.extractor(pack, lexicon, config, flags, SHAPE_CHARS, columns)(read)
+    return texts.select("doc_id", made.alias("f"), *carried).where("f is not null").select("doc_id", "f.*", *carried)
 
 
 def by_rows(docs: DataFrame, pack: Pack | None, lexicon: list[str], config: Config = ZH, flags: bool = False) -> DataFrame:

@@ -50,10 +50,11 @@ def scored(rows: DataFrame, pack: Pack) -> DataFrame:
     return rows.withColumn("index", F.when(enough, 100.0 / (1.0 + F.exp(-z))))
 
 
-def analyzed(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
-    """One row per document with a block: statistics, counts of findings, the rules behind them (``rule_ids``, document rules among them), index, components, domain kinds and a note."""
+def analyzed(docs: DataFrame, pack: Pack, config: Config = ZH, texts: bool = False) -> DataFrame:
+    """One row per document with a block: statistics, counts of findings, the rules behind them (``rule_ids``, document rules among them), index, components, domain kinds and a note; with ``texts`` also what it was made of."""
+    carried = ["texts"] if texts else []
     s = pack.scoring or {}
-    rows = facts(docs, pack, config=config, flags=True, need=(*COUNTS, *SUMS, *FLAGS, "raw", "found"))
+    rows = facts(docs, pack, config=config, flags=True, need=(*COUNTS, *SUMS, *FLAGS, "raw", "found", *carried))
     rows = rows.withColumns(kinds(bool(s.get("genre_ood")), pack.name != "official")).withColumn("hits", gated_found(pack))
     count = lambda f: F.size(F.filter("hits", f)).cast("long")
     rows = rows.withColumn("weight", F.aggregate("hits", F.lit(0.0), lambda t, h: t + h["weight"]))
@@ -61,7 +62,7 @@ def analyzed(docs: DataFrame, pack: Pack, config: Config = ZH) -> DataFrame:
     rows = rows.withColumns({v: formal(v) for v in ("high", "medium", "low")}).withColumn("hints", count(lambda h: h["is_hint"]))
     local = F.transform(F.filter("hits", lambda h: ~h["is_hint"]), lambda h: h["rule_id"])
     rows = rows.withColumn("rule_ids", local)
-    rows = stats_of(rows, pack.lexicon, "weight", "high", "medium", "low", "hints", "rule_ids", "kinds", "non_chinese", "has_content")
+    rows = stats_of(rows, pack.lexicon, "weight", "high", "medium", "low", "hints", "rule_ids", "kinds", "non_chinese", "has_content", *carried)
     rows = rows.withColumn("rule_ids", F.array_sort(F.array_union("rule_ids", F.transform(doc_rules(pack), lambda h: h["rule_id"]))))
     rows = scored(rows.withColumn("genre", genre_of(s)), pack)
     suppressed = F.coalesce(F.col("genre").isin([k for k, v in s.get("genres", {}).items() if v.get("suppress")]), F.lit(False))

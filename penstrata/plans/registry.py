@@ -611,8 +611,7 @@ def drift_signals(spark, sf_dir):
 SELECT doc_id, text, substr(sha256(text), 1, 16) AS text_sha256, CAST(round_even(index, 0) AS INTEGER) AS score, array_to_string(findings, ',') AS findings, n_chars
 FROM (SELECT doc_id, replace(text, '13800138000', '【手机号】') AS text FROM zh_doc) JOIN score USING (doc_id) JOIN (SELECT doc_id, findings FROM sample) USING (doc_id)"""))
 def samples(spark, sf_dir):
-    docs = zh_docs(spark, sf_dir)
-    out = collect.samples(docs, score.analyzed(docs, GENERAL), "general", "2026-09")
+    out = collect.samples(None, score.analyzed(zh_docs(spark, sf_dir), GENERAL, texts=True), "general", "2026-09")
     return out.select("doc_id", "text", "text_sha256", "score", F.array_join("findings", ",").alias("findings"), "n_chars")
 
 

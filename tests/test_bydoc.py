@@ -96,3 +96,13 @@ def test_length_tiers_compute_their_rows_once(spark):
     df, seen = counted(spark, rows, "n_chars long, v double, y int", "v")
     got = {r.band: (r.n, r["median"], r.auroc) for r in evaluate.length_tiers(df, "v", "y").collect()}
     assert got == {"short": (2, 0.3, 1.0), "mid": (1, 0.2, None), "long": (1, 0.5, None)} and seen.value == len(rows)
+
+
+def test_samples_read_documents_once(spark):
+    docs = spark.createDataFrame([*enumerate(odd(300)), (3, "又一份。"), (3, None), (4, "- 1. 首先，核对单据。\r\n首先，核对单据。")], "doc_id long, text string")
+    p = load("general")
+    rows = lambda df: sorted(map(str, df.collect()))
+    one = collect.samples(None, score.analyzed(docs, p, texts=True), "general", "m")
+    assert rows(one) == rows(collect.samples(docs, score.analyzed(docs, p), "general", "m"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
