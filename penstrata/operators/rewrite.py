@@ -37,6 +37,15 @@ def text_lines(docs: DataFrame) -> DataFrame:
     return out.where("text <> ''")
 
 
+def lines_of(texts: Column) -> Column:
+    """(line, raw) of the lines that ``text_lines`` gives of a document's ``texts``, as an array."""
+    def of(t: Column) -> Column:
+        raw = F.transform(F.split(F.coalesce(t["text"], F.lit("")), LINE_BREAK), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")))
+        return F.filter(raw, lambda x: strip(F.regexp_replace(x["raw"], MARKER, "")) != "")
+
+    return F.flatten(F.transform(texts, of))
+
+
 def _without_paren(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"[（(][^）)]*[）)]{WS}*$", ""))
 

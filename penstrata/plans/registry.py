@@ -738,9 +738,7 @@ needle AS (SELECT DISTINCT doc_id, sentence, substr(regexp_replace(sentence, '[^
 plain AS (SELECT doc_id, line, regexp_replace(raw, '[^\p{L}\p{N}]', '', 'g') AS t FROM zh_line),
 start AS (SELECT doc_id, sentence, min(line) AS start_line FROM needle JOIN plain USING (doc_id) WHERE length(k) >= 4 AND contains(t, k) GROUP BY doc_id, sentence)""", select="SELECT doc_id, para, pos, rule_id, start_line FROM hit LEFT JOIN start USING (doc_id, sentence) WHERE NOT is_hint"))
 def sarif_start_lines(spark, sf_dir):
-    docs = zh_docs(spark, sf_dir, between="\n")
-    found = rules.rule_hits(docs, GENERAL).where("not is_hint")
-    return report.start_lines(found, rewrite.text_lines(docs)).select("doc_id", "para", "pos", "rule_id", "start_line")
+    return report.placed(zh_docs(spark, sf_dir, between="\n"), GENERAL).select("doc_id", "para", "pos", "rule_id", "start_line")
 
 
 @query(o.with_(*_SCORED, o.doc_rules(GENERAL), _ORDERED, select="""

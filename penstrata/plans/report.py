@@ -9,9 +9,12 @@ import io
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penstrata.operators.facts import facts, gated_found
+from penstrata.operators.rewrite import lines_of
+from penstrata.operators.segment import ZH, Config
 from penstrata.packs import Pack
 
 #: Levels of SARIF.
@@ -30,11 +33,26 @@ def start_lines(found: DataFrame, lines: DataFrame, needle: int = 16, least: int
 
     Lines and findings meet inside their document, gathered once per document.
     """
-    plain = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
-    by = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", plain(F.col("raw")).alias("t")))).alias("lines"))
-    key = F.substring(plain(F.col("sentence")), 1, needle)
+    by = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", _plain(F.col("raw")).alias("t")))).alias("lines"))
+    return _started(found.withColumn("_key", F.substring(_plain(F.col("sentence")), 1, needle)).join(by, "doc_id", "left"), least)
+
+
+def _plain(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+
+
+def _started(found: DataFrame, least: int) -> DataFrame:
     at = F.get(F.filter("lines", lambda x: F.contains(x["t"], F.col("_key"))), F.lit(0))["line"]
-    return found.withColumn("_key", key).join(by, "doc_id", "left").withColumn("start_line", F.when(F.length("_key") >= least, at)).drop("_key", "lines")
+    return found.withColumn("start_line", F.when(F.length("_key") >= least, at)).drop("_key", "lines")
+
+
+def placed(docs: DataFrame, pack: Pack, config: Config = ZH, needle: int = 16, least: int = 4) -> DataFrame:
+    """The findings of ``docs``, hints apart, with what ``start_lines`` says of them: hits and lines come from one reading of a document, without a join."""
+    rows = facts(docs, pack, config=config, need=("found", "texts"))
+    lines = F.array_sort(F.transform(lines_of(F.col("texts")), lambda x: F.struct(x["line"].alias("line"), _plain(x["raw"]).alias("t"))))
+    formal = F.filter(gated_found(pack), lambda h: ~h["is_hint"])
+    found = rows.select("doc_id", lines.alias("lines"), formal.alias("hits")).select("doc_id", "lines", F.explode("hits").alias("h")).select("doc_id", "h.*", "lines")
+    return _started(found.withColumn("_key", F.substring(_plain(F.col("sentence")), 1, needle)), least)
 
 
 def json_reports(rows: DataFrame, found: DataFrame) -> DataFrame:

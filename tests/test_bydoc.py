@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstrata.functions import windows
-from penstrata.operators import bydoc, collect, evaluate, rewrite, score
+from penstrata.operators import bydoc, collect, evaluate, rewrite, rules, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
 from penstrata.packs import PROFILES, load, pack
+from penstrata.plans import report
 from penstrata.sources.synthetic import BANK, SPECIAL
 
 ODD = list("一二。！？；…!?;.””』」“『「\"\"，、：—— —\n\n\n\r\x85 \t  　-*+#>|=`~_[]()0123ａwx@.:/1、)抄送主送的地得乎哉😀")
@@ -98,11 +99,15 @@ def test_length_tiers_compute_their_rows_once(spark):
     assert got == {"short": (2, 0.3, 1.0), "mid": (1, 0.2, None), "long": (1, 0.5, None)} and seen.value == len(rows)
 
 
-def test_samples_read_documents_once(spark):
+def test_samples_and_start_lines_read_documents_once(spark):
     docs = spark.createDataFrame([*enumerate(odd(300)), (3, "又一份。"), (3, None), (4, "- 1. 首先，核对单据。\r\n首先，核对单据。")], "doc_id long, text string")
     p = load("general")
     rows = lambda df: sorted(map(str, df.collect()))
     one = collect.samples(None, score.analyzed(docs, p, texts=True), "general", "m")
     assert rows(one) == rows(collect.samples(docs, score.analyzed(docs, p), "general", "m"))
-    plan = one._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and plan.count("LogicalRDD") == 1
+    placed = report.placed(docs, p)
+    want = report.start_lines(rules.rule_hits(docs, p).where("not is_hint"), rewrite.text_lines(docs))
+    assert rows(placed) == rows(want.select(placed.columns)) and want.where("start_line > 1").count()
+    for df in (one, placed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("LogicalRDD") == 1
