@@ -272,6 +272,17 @@ def fact(cut: list, known: dict, shapes: list[int], most: int, flags: bool, need
     return row
 
 
+def found_of(cut: list, known: dict, shapes: list[int], most: int) -> dict | None:
+    """``fact`` where only the hits are wanted."""
+    if not cut:
+        return None
+    found = [(para, unit, pos, text, i, m) for para, _, sents in cut for unit, pos, text in sents for i, m in known[text][2]]
+    if shapes:
+        first = [(para, *sents[0]) for para, kind, sents in cut if kind == "para" and len(sents) == 1 and len(sents[0][2]) <= most and _CONTENT.search(sents[0][2])]
+        found += [(q, u, x, t, i, [t]) for i in shapes for q, u, x, t in first]
+    return {"found": found}
+
+
 SUMS = ("tokens", "window_sum", "grams", "distinct_grams")
 COUNTS = ("n_paragraphs", "n_sentences", "n_chars", "sum_sq", "para_sq", "conn", "dashes")
 FLAGS = ("head", "shapes", "cjk")
@@ -325,7 +336,10 @@ def extractor(pack: Pack | None, lexicon: list[str], config: Config, flags: bool
             if len(judge.known) > REMEMBERED:
                 judge.known = {}
             judge.learn(dict.fromkeys(s for cut in cuts for _, _, sents in cut for _, _, s in sents))
-            rows = [fact(cut, judge.known, shapes, most, flags, columns) for cut in cuts]
+            if columns == ["found"]:
+                rows = [found_of(cut, judge.known, shapes, most) for cut in cuts]
+            else:
+                rows = [fact(cut, judge.known, shapes, most, flags, columns) for cut in cuts]
             if "tokens" in columns:
                 some = [r for r in rows if r]
                 for r, sums in zip(some, sums_of([r["clean"] for r in some])):

@@ -79,6 +79,18 @@ def test_texts_are_put_together_for_their_sums(monkeypatch):
     assert windows.sums_of(texts) == want and windows.sums_of([]) == []
 
 
+@pytest.mark.parametrize("profile", ["general", "academic"])
+def test_hits_alone_are_found_without_the_other_facts(spark, profile):
+    docs = spark.createDataFrame(list(enumerate(odd(300))), "doc_id long, text string")
+    p = load(profile)
+    rows = lambda df: {r.doc_id: r.found for r in df.collect()}
+    assert rows(facts(docs, p, need=("found",))) == rows(facts(docs, p).select("doc_id", "found"))
+    judge, cut = bydoc.Judge(p, [], False), [(0, "para", [(0, 0, "首先，核对单据。")])]
+    judge.learn(["首先，核对单据。"])
+    for shapes in ([], [3]):
+        assert bydoc.found_of(cut, judge.known, shapes, 40)["found"] == bydoc.fact(cut, judge.known, shapes, 40, False, ["found"])["found"]
+
+
 def counted(spark, rows, schema, column):
     """A table of which ``column`` counts how often its rows are computed."""
     seen = spark.sparkContext.accumulator(0)
