@@ -12,13 +12,14 @@ import re
 import warnings
 from collections.abc import Callable, Iterable
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain, count, repeat
+from operator import itemgetter, mul
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from penstrata.functions.text import CONTENT, LINE_BREAK, PUNCTUATION, SPACE, WS
+from penstrata.functions.text import CONTENT, PUNCTUATION, SPACE, WS
 from penstrata.functions.windows import sums_of
 from penstrata.operators import domain as d
 from penstrata.operators import segment as g
@@ -61,7 +62,7 @@ def _line(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\p{Nd}", r"\d").replace(r"\P{Nd}", r"\D"))
 
 
-_BREAK, _CONTENT = re.compile(LINE_BREAK), re.compile(CONTENT)
+_CONTENT = re.compile(CONTENT)
 _FENCE, _HEADING, _RULE, _ITEM, _CHECKBOX, _QUOTED, _TABLE_RULE = (_line(p) for p in (g.FENCE, g.HEADING, g.RULE, g.ITEM, g.CHECKBOX, g.QUOTED, g.TABLE_RULE))
 _CODE, _IMAGE, _LINK, _EMAIL, _EMPHASIS = (re.compile(p) for p in (g.CODE, g.IMAGE, g.LINK, g.EMAIL, g.EMPHASIS))
 # letters of ASCII only, as in Java; Python would fold others into them
@@ -72,8 +73,11 @@ _BARE = str.maketrans("", "", PUNCTUATION + SPACE)
 _CLAUSES = str.maketrans("", "", "".join(c for c in PUNCTUATION + SPACE if c not in d.COMMAS))
 _COMMAS = re.compile(f"[{d.COMMAS}]")
 _CJK = re.compile("[一-鿿]+")
+_HEADS = tuple(d.OFFICIAL_HEADS)
 #: A line without any of these is plain text and needs no other test.
 _MARKED = re.compile(rf"^{WS}*[-+*#=_~\d]|[`\[*|@]|://|[wW]\.|[ \t]{{2,}}")
+#: The same by look-up: a document without any of INLINE has marks only where a line starts.
+_INLINE, _STARTS = ("`", "[", "*", "|", "@", "://", "w.", "W.", "  ", "\t"), frozenset("-+*#=_~")
 
 
 def inline_clean(s: str) -> str:
@@ -115,17 +119,22 @@ def units(text: str | None, config: Config) -> list[tuple[int, str, list[tuple[i
         parts = ((i, s.strip(SPACE)) for i, s in enumerate((text or "").split("\n")))
         return [(i, "para", [(0, s)]) for i, s in parts if s]
     out, before, coded = [], "b", False
-    for n, raw in enumerate(_BREAK.split(text or "")):
-        s = raw.strip(SPACE)
+    text = text or ""
+    plain = not any(x in text for x in _INLINE) and "~~~" not in text
+    for n, raw in enumerate(text.splitlines()):  # at LINE_BREAK, but for an empty last line
+        s = raw.strip()  # of SPACE
         if not s:
             before = "b"
             continue
-        if s[0] == ">":
-            s = _QUOTED.sub("", s)
-        if ("```" in s or "~~~" in s) and _FENCE.search(s):
-            kind, coded = "b", not coded
+        if plain and s[0] != ">" and s[0] not in _STARTS and not s[0].isdecimal():
+            kind = "p"
         else:
-            kind, s = typed(s, coded)
+            if s[0] == ">":
+                s = _QUOTED.sub("", s)
+            if ("```" in s or "~~~" in s) and _FENCE.search(s):
+                kind, coded = "b", not coded
+            else:
+                kind, s = typed(s, coded)
         if kind != "b":
             if kind != before:
                 out.append((len(out), {"li": "list", "tr": "table"}.get(kind, "para"), []))
@@ -143,7 +152,7 @@ def splitter(config: Config) -> Callable[[str], list[str]]:
     """The sentences of a unit, as in ``segment.split_sentences``."""
     away = "".join(chr(g.HIDDEN + i) for i in range(len(config.ends)))
     hide, show = str.maketrans(config.ends, away), str.maketrans(away, config.ends)
-    special = re.compile(f'[{g.OPEN_QUOTES}{g.CLOSE_QUOTES}"{away}]')
+    special, strange = re.compile(f'[{g.OPEN_QUOTES}{g.CLOSE_QUOTES}"{away}]'), re.compile(f"[{away[0]}-{away[-1]}]")
     e, a = config.ends.replace("]", r"\]"), g.ABSORBED + config.ends
     whole = re.compile(f"[^{e}]++(?:[{e}][{a}]*+)?+|[{e}][{a}]*+")
 
@@ -162,16 +171,16 @@ def splitter(config: Config) -> Callable[[str], list[str]]:
 
     def split(text: str) -> list[str]:
         if special.search(text):
-            cut = [x.translate(show) for x in whole.findall(hidden(text))]
+            cut = [x.translate(show) if strange.search(x) else x for x in whole.findall(hidden(text))]
         else:
             cut = whole.findall(text)
-        return [y for x in cut if (y := x.strip(SPACE))]
+        return list(filter(None, map(str.strip, cut)))  # of SPACE
 
     return split
 
 
 class Judge:
-    """What a sentence yields, whichever document it stands in: (text, clean, hits, words, clause lengths, head). Rules hit what has content, with ``contentless`` any text."""
+    """What a sentence yields, whichever document it stands in: (clean, its length, CJK characters, more), where more is (hits, words, clause lengths, head), or null if there is none of them. Rules hit what has content, with ``contentless`` any text."""
 
     def __init__(self, pack: Pack | None, lexicon: list[str], flags: bool, contentless: bool = False) -> None:
         self.words, self.flags, self.contentless, self.known = lexicon, flags, contentless, {}
@@ -213,7 +222,8 @@ class Judge:
             if self.flags and _COMMAS.search(t):
                 lens = tuple(n for n in map(len, _COMMAS.split(t.translate(_CLAUSES))) if n)
                 lens = lens if len(lens) == 2 and all(d.CLAUSE[0] <= n <= d.CLAUSE[1] for n in lens) else ()
-            self.known[t] = (t, t.translate(_BARE), hits, sum(t.count(w) for w in self.words), lens, t.startswith(tuple(d.OFFICIAL_HEADS)))
+            clean, more = t.translate(_BARE), (hits, sum(t.count(w) for w in self.words), lens, t.startswith(_HEADS))
+            self.known[t] = (clean, len(clean), sum(map(len, _CJK.findall(clean))), more if any(more) else None)
 
 
 def shape(clean: str, n: int, balanced: int, sentences: int, lengths: int) -> list[str]:
@@ -229,46 +239,42 @@ def fact(cut: list, known: dict, shapes: list[int], most: int, flags: bool, need
     """The row of a document of which ``cut`` holds (para, kind, [(unit, pos, text)]), without the sums over windows."""
     if not cut:
         return None
-    n_s = n_c = sq = psq = conn = b = 0
-    raw, clean, found, shaped, paras, kinds, head, lens = [], [], [], [], [], [], False, {}
+    texts = [s[2] for _, _, sents in cut for s in sents]
+    cleans, sizes, cjk, more = zip(*[known[s] for s in texts]) if texts else ((),) * 4
+    upto = [0, *accumulate(sizes)]
+    psq = conn = b = at = 0
+    found, shaped, paras, kinds, head, lens = [], [], [], [], False, {}
     for para, kind, sents in cut:
-        length, own_b, own_lens, own = 0, 0, {}, []
-        for unit, pos, text in sents:
-            _, bare, hits, words, clauses, is_head = known[text]
-            n = len(bare)
-            length += n
-            sq += n * n
-            raw.append(text)
-            own.append(bare)
-            if words:
-                conn += words
-            if hits:
-                found += [(para, unit, pos, text, i, m) for i, m in hits]
-            if clauses:
-                own_b += 1
-                own_lens.update(dict.fromkeys(clauses))
-            if is_head:
-                head = True
-        n_s += len(sents)
-        n_c += length
+        start, at = at, at + len(sents)
+        length, own_b, own_lens = upto[at] - upto[start], 0, {}
         psq += length * length
-        clean += own
+        for (unit, pos, text), own in zip(sents, more[start:at]):
+            if own:
+                hits, words, clauses, is_head = own
+                conn += words
+                for i, m in hits:
+                    found.append((para, unit, pos, text, i, m))
+                if clauses:
+                    own_b += 1
+                    own_lens.update(dict.fromkeys(clauses))
+                if is_head:
+                    head = True
         if flags:
             b += own_b
             lens |= own_lens
             if length >= d.LEAST_CHARS:
-                kinds += shape("".join(own), length, own_b, len(sents), len(own_lens))
+                kinds += shape("".join(cleans[start:at]), length, own_b, len(sents), len(own_lens))
         if shapes and kind == "para" and len(sents) == 1 and len(sents[0][2]) <= most and _CONTENT.search(sents[0][2]):
             shaped.append((para, *sents[0]))
         if "p" in need:
             paras.append((para, kind, len(sents), sents[0][2] if sents else None))
     for i in shapes:
         found += [(q, u, x, t, i, [t]) for q, u, x, t in shaped]
-    raw, clean = "".join(raw), "".join(clean)
+    n_s, n_c, sq, raw, clean = len(texts), upto[-1], sum(map(mul, sizes, sizes)), "".join(texts), "".join(cleans)
     double = raw.count("——")
     row = {"n_paragraphs": len(cut), "n_sentences": n_s, "n_chars": n_c, "sum_sq": sq, "para_sq": psq, "conn": conn, "dashes": raw.count("—") - double, "raw": raw, "clean": clean, "found": found, "p": paras}
     if flags:
-        row |= {"head": head, "shapes": shape(clean, n_c, b, n_s, len(lens)) + kinds, "cjk": sum(map(len, _CJK.findall(clean)))}
+        row |= {"head": head, "shapes": shape(clean, n_c, b, n_s, len(lens)) + kinds, "cjk": sum(cjk)}
     return row
 
 
@@ -276,7 +282,7 @@ def found_of(cut: list, known: dict, shapes: list[int], most: int) -> dict | Non
     """``fact`` where only the hits are wanted."""
     if not cut:
         return None
-    found = [(para, unit, pos, text, i, m) for para, _, sents in cut for unit, pos, text in sents for i, m in known[text][2]]
+    found = [(para, unit, pos, text, i, m) for para, _, sents in cut for unit, pos, text in sents if (more := known[text][3]) for i, m in more[0]]
     if shapes:
         first = [(para, *sents[0]) for para, kind, sents in cut if kind == "para" and len(sents) == 1 and len(sents[0][2]) <= most and _CONTENT.search(sents[0][2])]
         found += [(q, u, x, t, i, [t]) for i in shapes for q, u, x, t in first]
@@ -318,7 +324,7 @@ def extractor(pack: Pack | None, lexicon: list[str], config: Config, flags: bool
     state: dict = {}
 
     def cut_of(texts: list[str | None], split: Callable[[str], list[str]]) -> list:
-        cut = [[(q, k, [(u, pos, s) for u, t in own for pos, s in enumerate(split(t))]) for q, k, own in units(text, config)] for text in texts]
+        cut = [[(q, k, [x for u, t in own for x in zip(repeat(u), count(), split(t))]) for q, k, own in units(text, config)] for text in texts]
         if len(cut) == 1:
             return cut[0]
         both: dict = {}
@@ -335,7 +341,7 @@ def extractor(pack: Pack | None, lexicon: list[str], config: Config, flags: bool
             cuts = [cut_of(texts, state["split"]) for texts in docs]
             if len(judge.known) > REMEMBERED:
                 judge.known = {}
-            judge.learn(dict.fromkeys(s for cut in cuts for _, _, sents in cut for _, _, s in sents))
+            judge.learn(dict.fromkeys(map(itemgetter(2), chain.from_iterable(sents for cut in cuts for _, _, sents in cut))))
             if columns == ["found"]:
                 rows = [found_of(cut, judge.known, shapes, most) for cut in cuts]
             else:
@@ -365,7 +371,7 @@ def matcher(pack: Pack):
             judge.known = {}
         texts = column.to_pylist()
         judge.learn(dict.fromkeys(t for t in texts if t is not None))
-        return pa.array([[ids[i] for i, _ in judge.known[t][2]] if t is not None else [] for t in texts], pa.list_(pa.string()))
+        return pa.array([[ids[i] for i, _ in more[0]] if t is not None and (more := judge.known[t][3]) else [] for t in texts], pa.list_(pa.string()))
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<string>").asNondeterministic()

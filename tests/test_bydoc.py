@@ -1,11 +1,13 @@
 """A document's facts in one call, against the same from rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from penstrata.functions import windows
+from penstrata.functions.text import LINE_BREAK, SPACE
 from penstrata.operators import bydoc, collect, evaluate, rewrite, rules, score
 from penstrata.operators.facts import by_rows, facts
 from penstrata.operators.segment import LATIN, ZH
@@ -79,6 +81,27 @@ def test_texts_are_put_together_for_their_sums(monkeypatch):
     assert windows.sums_of(texts) == want and windows.sums_of([]) == []
 
 
+def test_python_cuts_lines_and_white_space_as_listed():
+    every = [chr(c) for c in range(0x110000)]
+    assert {c for c in every if c.isspace()} == {c for c in every if not c.strip()} == set(SPACE)
+    assert {c for c in every if len(f"a{c}a".splitlines()) > 1} == {c for c in every if re.search(LINE_BREAK, c)} and "a\r\na".splitlines() == ["a", "a"]
+    assert {c for c in every if re.match(r"\d", c)} == {c for c in every if c.isdecimal()}
+
+
+@pytest.mark.parametrize("config", [ZH, LATIN])
+def test_plain_lines_are_taken_without_a_test_of_their_marks(spark, monkeypatch, config):
+    r = random.Random(11)
+    some = [*"一二。！？；.””』」“『「\"，— \n\n\n\r\x85\u3000\x1f-+#>=_~03٣ａ、)的乎哉抄送\ue100\ue101\ue106\ue107", *BANK[:12], "- ", "1. ", "\n> ", "> - ", "\n~~~\n", "——", "===\n"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 50))) for _ in range(400)]
+    docs, p = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), load("academic")
+    a, b = facts(docs, p, config=config, flags=True), by_rows(docs, p, p.lexicon, config, flags=True)
+    rows = lambda df: {x.doc_id: x for x in df.select([c for c in a.columns if c not in bydoc.SUMS]).collect()}
+    assert rows(a) == rows(b)
+    tested, typed = [], bydoc.typed
+    monkeypatch.setattr(bydoc, "typed", lambda s, coded: tested.append(s) or typed(s, coded))
+    assert bydoc.units("平常话。\n又一句。\n\n- 一项。", ZH) == [(0, "para", [(0, "平常话。\n又一句。")]), (1, "list", [(3, "一项。")])] and tested == ["- 一项。"]
+
+
 @pytest.mark.parametrize("profile", ["general", "academic"])
 def test_hits_alone_are_found_without_the_other_facts(spark, profile):
     docs = spark.createDataFrame(list(enumerate(odd(300))), "doc_id long, text string")
